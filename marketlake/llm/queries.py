@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlake.llm import near_dedup
+from marketlake.llm import near_dedup, packing, token_store
+from marketlake.llm.encode import default_path
+from marketlake.llm.shared import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +19,21 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, threshold=0.8)
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    store = token_store.write_store(docs, scratch_path(spark, "tokens"), default_path("word_bpe_49k.json"), split="words", end_id=1)
+    return store.read(docs.select("doc_id"), with_ids=False)
+
+
+def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(docs, default_path("byte_bpe_50k.json"), split="spaces", with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_token_store": op2_token_store,
+    "op8_harmonic_packing": op8_harmonic_packing,
 }
 
 ORACLE: dict[str, str] = {}
