@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: White space that the tokenizers' and Python's patterns may see differently, and marks of special tokens.
-_PLAIN_ONLY = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -     　]|<\\|")
+_PLAIN_ONLY = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Letters before punctuation are a piece of their own: every pre-tokenizer here cuts between the two.
 _WORDS = re.compile(rf"[{_LETTERS}]+(?=[.,!?;:])|[^ \t-\r]+")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketlake.llm import near_dedup, packing, token_store
+from marketlake.llm import decontaminate, html_extract, near_dedup, packing, quality_classifier, quality_rules, secret_scan, token_store, url_filter
 from marketlake.llm.encode import default_path
 from marketlake.llm.shared import scratch_path
 
@@ -25,15 +26,55 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(docs.select("doc_id"), with_ids=False)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+#: The rules of the query, as verdict and host/path.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return packing.pack(docs, default_path("byte_bpe_50k.json"), split="spaces", with_ids=False)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    base = F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256")
+    spans = secret_scan.listed(secret_scan.by_start(F.col("base"), F.col("random"))).alias("spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base, spans)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_token_store": op2_token_store,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_decontamination": op5_decontamination,
+    "op6_url_filter": op6_url_filter,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_harmonic_packing": op8_harmonic_packing,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 ORACLE: dict[str, str] = {}
