@@ -7,10 +7,11 @@ similarity s share a given branch with probability s. Nodes with few documents a
 only larger ones are branched further. With two branches a level a tree loses a pair of similarity 0.8
 with a probability of 0.063 at most, however deep it grows, and four trees lose it with 0.000015.
 
-Two passes keep large groups of near copies linear. The first links each document of a node with two pivots of
-the node (the most copied document and a random one) and joins what is linked into components. The
-second compares exhaustively, but only documents of different components. Every candidate is confirmed on
-the full sets.
+Sketches of the sets come first: each document of a node is compared with two pivots of the node (the most copied
+document and a random one), then, in small nodes, with every document that is not in its component yet. What
+sketches cannot tell apart makes clusters. Then every cluster is compared on the full sets, best candidates first,
+skipping pairs that are connected already; clusters too large for one task walk down the trees again with what their
+confirmed pivots connect. So large groups of near copies cost linear work, and no step emits all pairs of one.
 """
 
 from __future__ import annotations
@@ -144,64 +145,128 @@ def _pivot_pairs(reps: DataFrame, threshold: float, trees: int, branches: int) -
     return rows.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of rows that agree in the first ``keys`` columns; the input is sorted by them."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        change = np.zeros(table.num_rows - 1, dtype=bool)
+        for c in range(keys):
+            change |= np.diff(table.column(c).to_numpy()) != 0
+        cuts = [0, *(np.flatnonzero(change) + 1)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield table.slice(lo, hi - lo)
+        rest = table.slice(cuts[-1])
+    if rest is not None:
+        yield rest
+
+
+class Sets:
+    """Disjoint sets of any keys."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.root(x)] = self.root(y)
+
+
+def _alike_pairs(t: dict[str, np.ndarray], probes: np.ndarray, members: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(probe, member, equal lanes) of different components that sizes and sketches let pass, in slices of the probes."""
+    need, even = agreement_needed(threshold), np.uint64(_EVEN)
+    sk = [t[x].view(np.uint64) for x in ("sk1", "sk2")]
+    n, comp = t["n"], t["comp"]
+    for at in range(0, len(probes), 256):
+        p = probes[at : at + 256]
+        same = np.full((len(p), len(members)), HASHES, dtype=np.int16)
+        for s in sk:
+            z = s[p][:, None] ^ s[members][None, :]
+            same -= np.bitwise_count((z | (z >> np.uint64(1))) & even).astype(np.int16)
+        i, j = np.nonzero((same >= need) & (comp[p][:, None] != comp[members][None, :]))
+        x, y = p[i], members[j]
+        fits = np.minimum(n[x], n[y]) >= np.floor(np.maximum(n[x], n[y]) * (threshold - 1e-9))
+        if fits.any():
+            yield x[fits], y[fits], same[i, j][fits]
+
+
 def _compare_blocks(rows: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs of different components within each (node, block): every probe against every member."""
-    need = agreement_needed(threshold)
-    even = np.uint64(_EVEN)
-
-    def pairs(t: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        probes, members = np.flatnonzero(t["probe"]), np.flatnonzero(t["member"])
-        sk = [t[x].view(np.uint64) for x in ("sk1", "sk2")]
-        n, comp, rep = t["n"], t["comp"], t["rep"]
-        for at in range(0, len(probes), 512):
-            p = probes[at : at + 512]
-            same = np.full((len(p), len(members)), HASHES, dtype=np.int16)
-            for s in sk:
-                z = s[p][:, None] ^ s[members][None, :]
-                same -= np.bitwise_count((z | (z >> np.uint64(1))) & even).astype(np.int16)
-            near = same >= need
-            near &= comp[p][:, None] != comp[members][None, :]
-            i, j = np.nonzero(near)
-            if len(i):
-                a, b = p[i], members[j]
-                low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-                fits = low >= np.floor(high * (threshold - 1e-9))
-                yield np.minimum(rep[a], rep[b])[fits], np.maximum(rep[a], rep[b])[fits]
+    """(a, b) components to join, because a probe and a member of a (node, block) may be similar; a spanning forest only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: dict[str, np.ndarray] | None = None
-
-        def emit(t: dict[str, np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            out_a, out_b = [], []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi - lo > 1:
-                    for a, b in pairs({k: v[lo:hi] for k, v in t.items()}):
-                        out_a.append(a)
-                        out_b.append(b)
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
+        out: list[tuple[int, int]] = []
+        for table in _groups(batches, 2):
+            if table.num_rows < 2:
                 continue
-            t = {x: batch.column(i).to_numpy(zero_copy_only=False) for i, x in enumerate(batch.schema.names)}
-            if rest is not None:
-                t = {k: np.concatenate([rest[k], t[k]]) for k in t}
-            change = np.flatnonzero((np.diff(t["node"]) != 0) | (np.diff(t["block"]) != 0)) + 1
-            cuts = np.concatenate([[0], change])
-            yield from emit(t, cuts)
-            rest = {k: v[cuts[-1] :] for k, v in t.items()}
-        if rest is not None:
-            yield from emit(rest, np.array([0, len(rest["node"])]))
+            t = {x: table.column(x).to_numpy() for x in ("comp", "n", "sk1", "sk2", "probe", "member")}
+            sets = Sets()
+            for x, y, _ in _alike_pairs(t, np.flatnonzero(t["probe"]), np.flatnonzero(t["member"]), threshold):
+                for a, b in zip(t["comp"][x].tolist(), t["comp"][y].tolist(), strict=True):
+                    if sets.root(a) != sets.root(b):
+                        sets.join(a, b)
+                        out.append((a, b))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     rows = rows.select("node", "block", "rep", "comp", "n", "sk1", "sk2", "probe", "member")
     rows = rows.repartition("node", "block").sortWithinPartitions("node", "block")
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _leaf_pairs(reps: DataFrame, threshold: float, trees: int, branches: int, leaf: int, block: int, depth: int) -> DataFrame:
-    """Candidates of different components from all leaves of all trees; reps has a column comp."""
-    spark = reps.sparkSession
+def _verify_groups(rows: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(a, b) documents of a group (node, block) that reach the threshold on their full sets and belong to different
+    components so far; a spanning forest of these links only. rows: node, block, rep, comp, n, sk1, sk2, text."""
+    percent = round(threshold * 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, 2):
+            if table.num_rows < 2:
+                continue
+            t = {x: table.column(x).to_numpy() for x in ("rep", "comp", "n", "sk1", "sk2")}
+            everyone, texts = np.arange(table.num_rows), table.column("text")
+            found = list(_alike_pairs(t, everyone, everyone, threshold))
+            if not found:
+                continue
+            x, y, same = (np.concatenate(c) for c in zip(*found, strict=True))
+            x, y, same = x[x < y], y[x < y], same[x < y]
+            best = np.argsort(-same, kind="stable")
+            comp, sets, full, out = t["comp"].tolist(), Sets(), {}, []
+            for a, b in zip(x[best].tolist(), y[best].tolist(), strict=True):
+                if sets.root(comp[a]) == sets.root(comp[b]):
+                    continue
+                for d in (a, b):
+                    if d not in full:
+                        full[d] = shingle_set(texts[d].as_py(), k)
+                one, two = full[a], full[b]
+                at = np.minimum(np.searchsorted(one, two), len(one) - 1)
+                common = int((one[at] == two).sum())
+                if 100 * common >= percent * (len(one) + len(two) - common):
+                    sets.join(comp[a], comp[b])
+                    out.append((int(t["rep"][a]), int(t["rep"][b])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    rows = rows.select("node", "block", "rep", "comp", "n", "sk1", "sk2", "text")
+    rows = rows.repartition("node", "block").sortWithinPartitions("node", "block")
+    return materialize(rows.mapInArrow(run, "a long, b long"), "links")
+
+
+def _leaves(reps: DataFrame, trees: int, branches: int, leaf: int, block: int, depth: int) -> DataFrame:
+    """The rows of all leaves of all trees, in blocks; reps has a column comp, and only different components meet.
+
+    A node is a leaf once at most ``leaf`` of its documents are outside its largest component. In a leaf of many
+    rows each has a home block, and those outside the largest component are probes in every block.
+    """
     rows, found = _first_level(reps, trees, branches), None
     for level in range(depth):
         by_comp = rows.groupBy("node", "comp").agg(F.count("*").alias("c"))
@@ -215,15 +280,18 @@ def _leaf_pairs(reps: DataFrame, threshold: float, trees: int, branches: int, le
         mine = mine.withColumn("home", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         spread = F.when(F.col("probe") & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
         mine = mine.withColumn("block", F.explode(spread)).withColumn("member", F.col("block") == F.col("home"))
-        # what a node has left is compared here; a node above the leaf size goes one level down instead
-        here = _compare_blocks(mine, threshold)
-        found = here if found is None else found.unionByName(here)
+        found = mine if found is None else found.unionByName(mine)
         if last or nodes.filter("not leaf").limit(1).count() == 0:
             break
         below = at.filter("not leaf").select("rep", "comp", "n", "sk1", "sk2", "sig", "tree", "node")
         rows = materialize(_next_level(below, level + 1, trees, branches), "rows")
-    assert found is not None and spark is not None
-    return found.distinct()
+    assert found is not None
+    return found
+
+
+def _with_component(reps: DataFrame, components: DataFrame) -> DataFrame:
+    joined = reps.join(components.toDF("rep", "found"), "rep", "left")
+    return materialize(joined.withColumn("comp", F.coalesce("found", "rep")).drop("found"), "reps")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -281,17 +349,29 @@ def near_duplicates(
     own = sigs.select(F.col("id").alias("rep"), "set_key", F.col("n_shingles").alias("n"), "sig", "sk1", "sk2")
     reps = materialize(own.join(classes, ["rep", "set_key"]).dropDuplicates(["rep"]).drop("set_key"), "reps")
 
-    near = confirm(texts, _pivot_pairs(reps, threshold, trees, branches), k, threshold)
-    first = materialize(connected_components(near), "first")
-    joined = reps.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    reps = materialize(joined.drop("component"), "reps")
-
-    rest = confirm(texts, _leaf_pairs(reps, threshold, trees, branches, leaf, block, depth), k, threshold)
-    label = reps.select("rep", "comp")
-    ends = rest.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    second = connected_components(ends).toDF("comp", "merged")
-    label = label.join(second, "comp", "left").select("rep", F.coalesce("merged", "comp").alias("component_id"))
-    label = classes.join(label, "rep").select("set_key", "component_id")
+    # clusters of documents that sketches cannot tell apart: every link is inside one
+    reps = _with_component(reps, connected_components(_pivot_pairs(reps, threshold, trees, branches)))
+    across = connected_components(_compare_blocks(_leaves(reps, trees, branches, leaf, block, depth), threshold))
+    cluster = F.coalesce("component", "comp")
+    reps = reps.join(across.withColumnRenamed("id", "comp"), "comp", "left").withColumn("cluster", cluster).drop("component", "comp")
+    reps = materialize(reps, "reps")
+    sizes = materialize(reps.groupBy("cluster").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    reps = materialize(reps.join(sizes, "cluster"), "clustered")
+    own = texts.withColumnRenamed("id", "rep").join(reps.drop("sig").withColumn("comp", F.col("rep")), "rep")
+    own = materialize(own, "texts")
+
+    small = own.filter(F.col("size") <= block).withColumn("node", F.col("cluster")).withColumn("block", F.lit(0))
+    links = _verify_groups(small, k, threshold)
+    if sizes.filter(F.col("size") > block).limit(1).count():
+        big = materialize(reps.filter(F.col("size") > block), "big")
+        known = own.filter(F.col("size") > block).select("rep", "text")
+        near = confirm(known.withColumnRenamed("rep", "id"), _pivot_pairs(big, threshold, trees, branches), k, threshold)
+        big = _with_component(big, connected_components(near))
+        rows = _leaves(big, trees, branches, leaf, block, depth).select("node", "block", "rep", "comp", "n", "sk1", "sk2")
+        links = links.unionByName(near).unionByName(_verify_groups(rows.join(known, "rep"), k, threshold))
+    label = connected_components(links).toDF("rep", "component_id")
+    label = classes.join(label, "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
+    label = label.select("set_key", "component_id")
     out = sigs.select("id", "n_shingles", "set_key").join(materialize(label, "labels"), "set_key", "left")
     component = F.coalesce("component_id", "id")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id"))
