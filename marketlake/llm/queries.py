@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm import decontaminate, html_extract, near_dedup, packing, quality_classifier, quality_rules, secret_scan, token_store, url_filter
+from marketlake.llm import decontaminate, html_extract, lm_score, near_dedup, packing, quality_classifier, quality_rules, secret_scan, token_store, url_filter
 from marketlake.llm.encode import default_path
 from marketlake.llm.shared import scratch_path
 
@@ -65,6 +65,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", base, spans)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_token_store": op2_token_store,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_secret_scan": op9_secret_scan,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE: dict[str, str] = {}
