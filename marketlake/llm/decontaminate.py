@@ -104,6 +104,50 @@ def _count(docs: DataFrame, blocks: list, sizes: list[int]) -> DataFrame:
     return docs.mapInArrow(run, "shingle long, count long").groupBy("shingle").agg(F.sum("count").alias("count"))
 
 
+def _blocks(picked: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, window: int, shingle: int, block_chars: int) -> tuple[int, Iterator]:
+    """How many blocks of items there are, and of each its windows, ordered and broadcast. picked: (id, text)."""
+    spark = picked.sparkSession
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).filter("item is not null").distinct()
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-size // block_chars))
+
+    def each() -> Iterator:
+        for number in range(n_blocks):
+            own = items.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == number)
+            windows = Windows(sorted((r[0], r[1] or "") for r in own.collect()), window, shingle)
+            if windows.spans:
+                whole = spark.sparkContext.broadcast(windows)
+                windows.order({r[0] % 2**64: r[1] for r in _count(picked, [whole], windows.sizes).collect()})
+            yield spark.sparkContext.broadcast(windows)
+
+    return n_blocks, each()
+
+
+def remove(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text: str = "text",
+    window: int = 10,
+    shingle: int = 3,
+    block_chars: int = 16_000_000,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no window of an item occurs; judged in place."""
+    picked = docs.select(F.lit(None).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    at = docs.columns.index(text_col)
+    for ordered in _blocks(picked, benchmark, item_col, item_text, window, shingle, block_chars)[1]:
+
+        def run(batches: Iterator[pa.RecordBatch], ordered=ordered) -> Iterator[pa.RecordBatch]:
+            w = ordered.value
+            for batch in batches:
+                words = map(item_words, batch.column(at).cast(pa.string()).to_pylist())
+                yield batch.filter(pa.array([not (x and w.spans and w.find(x)[0]) for x in words], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -126,21 +170,12 @@ def contamination(
     Items are broadcast in blocks of at most about ``block_chars`` characters; the usual benchmark is one block.
     With more blocks every block passes over the documents, and a document's rows meet by a row key.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).filter("item is not null").distinct()
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-size // block_chars))
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    n_blocks, blocks = _blocks(picked, benchmark, item_col, item_text, window, shingle, block_chars)
     if n_blocks > 1:
         picked = materialize(picked.withColumn("row", F.monotonically_increasing_id()), "rows").select("id", "text", "row")
     found = None
-    for number in range(n_blocks):
-        own = items.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == number)
-        windows = Windows(sorted((r[0], r[1]) for r in own.collect()), window, shingle)
-        if windows.spans:
-            whole = spark.sparkContext.broadcast(windows)
-            windows.order({r[0] % 2**64: r[1] for r in _count(picked, [whole], windows.sizes).collect()})
-        ordered = spark.sparkContext.broadcast(windows)
+    for ordered in blocks:
 
         def run(batches: Iterator[pa.RecordBatch], ordered=ordered) -> Iterator[pa.RecordBatch]:
             w = ordered.value

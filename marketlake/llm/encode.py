@@ -29,23 +29,32 @@ class Encoder:
     same ids wherever it stands. Texts are cut where every such pre-tokenizer cuts, and each distinct piece is
     encoded once by the library and remembered. split: "words" where white space is dropped and letters are
     lower-cased (pieces are words), "spaces" where a space goes with the word behind it, None to encode whole texts.
-    Texts with white space beyond ASCII or with special tokens are encoded whole. About ``keep`` pieces are remembered.
+    Texts with white space beyond ASCII or with special tokens are encoded whole. About ``keep`` pieces are
+    remembered; beyond that the half that was used last stays.
     """
 
-    def __init__(self, path: str, split: str | None, keep: int = 1_000_000) -> None:
+    def __init__(self, path: str, split: str | None, keep: int = 1_500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.split, self.keep = split, keep
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.empty(1 << 16, dtype=np.uint32)
-        self.starts = np.empty(1 << 14, dtype=np.int64)
-        self.sizes = np.empty(1 << 14, dtype=np.int64)
-        self.used = 0
+        self.starts, self.sizes, self.last = (np.empty(1 << 14, dtype=np.int64) for _ in range(3))
+        self.used = self.now = 0
+
+    def _forget(self) -> None:
+        """Keep the half of the pieces that was used last."""
+        n = len(self.known)
+        stay = np.sort(np.argpartition(self.last[:n], n // 2)[n // 2 :])
+        pieces = list(self.known)
+        sizes = self.sizes[stay]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.repeat(self.starts[stay] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        self.known = {pieces[i]: at for at, i in enumerate(stay.tolist())}
+        self.starts, self.sizes, self.last = ends - sizes, sizes, self.last[stay]
+        self.used = int(ends[-1])
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -56,8 +65,7 @@ class Encoder:
             while end > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
             if at >= len(self.starts):
-                self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
-                self.sizes = np.concatenate([self.sizes, np.empty_like(self.sizes)])
+                self.starts, self.sizes, self.last = (np.concatenate([a, np.empty_like(a)]) for a in (self.starts, self.sizes, self.last))
             self.flat[self.used : end] = ids
             self.starts[at], self.sizes[at], self.known[piece] = self.used, len(ids), at
             self.used = end
@@ -84,6 +92,8 @@ class Encoder:
                 self._learn(list({p for p, c in zip(pieces, codes, strict=True) if c is None}))
                 codes = list(map(self.known.get, pieces))
             code = np.array(codes, dtype=np.int64)
+            self.now += 1
+            self.last[code] = self.now
             sizes = self.sizes[code]
             ends = np.cumsum(sizes)
             total = int(ends[-1]) if len(ends) else 0

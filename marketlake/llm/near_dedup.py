@@ -376,3 +376,14 @@ def near_duplicates(
     component = F.coalesce("component_id", "id")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id")))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, the one with the smallest id; equal rows are one.
+
+    Rows without an id and rows without words are kept as they are.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, threshold)
+    kept = materialize(found.filter(F.col(id_col).isNotNull() & F.col("kept")).select(F.col(id_col).alias("__kept")).distinct(), "kept")
+    rows = docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    return rows.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -12,12 +12,13 @@ rejects nothing beyond the base rules.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marketlake.llm.shared import hash_windows, hash_words, materialize
 
@@ -71,15 +72,29 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-def metrics(docs: DataFrame, id_col: str, text_col: str, strata: str | None) -> DataFrame:
+_PREFIX = "__quality_"
+
+
+def metrics(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with the counts of each text, in columns that start with __quality_."""
+    at = docs.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([measure(t) for t in batch.column(2).to_pylist()], dtype=np.int64).reshape(-1, len(_METRICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(c)) for c in rows.T]], names=["id", "stratum", *_METRICS])
+            rows = np.array([measure(t) for t in batch.column(at).cast(pa.string()).to_pylist()], dtype=np.int64).reshape(-1, len(_METRICS))
+            arrays = [*batch.columns, *[pa.array(np.ascontiguousarray(c)) for c in rows.T]]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *[_PREFIX + m for m in _METRICS]])
+
+    schema = StructType(list(docs.schema.fields))
+    for m in _METRICS:
+        schema = schema.add(_PREFIX + m, "long")
+    return docs.mapInArrow(run, schema)
+
 
+def _table(docs: DataFrame, id_col: str, text_col: str, strata: str | None) -> DataFrame:
     stratum = F.coalesce(F.col(strata).cast("string"), F.lit("")) if strata else F.lit("")
     picked = docs.select(F.col(id_col).cast("long").alias("id"), stratum.alias("stratum"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, stratum string, " + ", ".join(f"{m} long" for m in _METRICS))
+    return metrics(picked, "text").select("id", "stratum", *[F.col(_PREFIX + m).alias(m) for m in _METRICS])
 
 
 def binomial_upper(k: int, n: int, delta: float) -> float:
@@ -143,9 +158,28 @@ def fit_cutoffs(table: DataFrame, labels: DataFrame, label_id: str, label_col: s
     return out, sorted(set(goods) - {POOLED})
 
 
-def _ratio(measure_sql: str) -> Column:
-    head, _, tail = measure_sql.partition(" / ")
-    return F.expr(f"1 - try_divide({head.removeprefix('1 - ')}, {tail})" if head.startswith("1 - ") else f"try_divide({head}, {tail})")
+def _ratio(measured: str, at: Callable[[str], str] = str) -> Column:
+    head, _, tail = measured.partition(" / ")
+    share = F.try_divide(F.col(at(head.removeprefix("1 - "))), F.col(at(tail)))
+    return 1 - share if head.startswith("1 - ") else share
+
+
+Cutoffs = tuple[dict[str, dict[str, float]], list[str]]
+
+
+def _verdict(cutoffs: Cutoffs, stratum: Column, at: Callable[[str], str], min_words: int, repeat_percent: int) -> tuple[Column, Column]:
+    """(base_failed, rules that fail); ``at`` gives the column that holds a count."""
+    by_rule, own = cutoffs
+    known = F.when(stratum.isin(own), stratum).otherwise(F.lit(POOLED))
+    failed = []
+    for rule, by in by_rule.items():
+        if by:
+            lookup = F.create_map(*[F.lit(x) for pair in sorted(by.items()) for x in pair])
+            cutoff = F.coalesce(F.try_element_at(lookup, known), F.lit(float("inf")))
+            failed.append(F.when(_ratio(RULES[rule][0], at) > cutoff, F.lit(rule)))
+    rules = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
+    words, repeats = F.col(at("n_words")), F.col(at("n_repeat_words"))
+    return (words < min_words) | (100 * repeats > repeat_percent * words), rules
 
 
 def quality_rules(
@@ -169,16 +203,29 @@ def quality_rules(
     a label are judged like others but teach nothing; an id labelled twice counts once, as bad if any label is 0.
     Equal rows are judged alike. Other columns are ignored; empty tables give an empty result or no rules.
     """
-    table = materialize(metrics(docs, id_col, text_col, strata), "metrics")
-    cutoffs, own = fit_cutoffs(table, labels, label_id, label_col, risk, delta, cost)
-    failed = []
-    for rule, by in cutoffs.items():
-        if by:
-            lookup = F.create_map(*[F.lit(x) for pair in sorted(by.items()) for x in pair])
-            cutoff = F.coalesce(F.try_element_at(lookup, F.col("known")), F.lit(float("inf")))
-            failed.append(F.when(_ratio(RULES[rule][0]) > cutoff, F.lit(rule)))
-    rules = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
-    table = table.withColumn("known", F.when(F.col("stratum").isin(own), F.col("stratum")).otherwise(F.lit(POOLED)))
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+    table = materialize(_table(docs, id_col, text_col, strata), "metrics")
+    cutoffs = fit_cutoffs(table, labels, label_id, label_col, risk, delta, cost)
+    base, rules = _verdict(cutoffs, F.col("stratum"), str, min_words, repeat_percent)
     out = table.withColumn("base_failed", base).withColumn("rules", rules)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("rules") == 0)).drop("known").withColumnRenamed("id", id_col)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("rules") == 0)).withColumnRenamed("id", id_col)
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    strata: str | None = "lang",
+    label_id: str = "doc_id",
+    label_col: str = "quality",
+    risk: float = 0.05,
+    delta: float = 0.05,
+    cost: float = 5.0,
+    min_words: int = 50,
+    repeat_percent: int = 50,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps; judged in place, without a shuffle."""
+    cutoffs = fit_cutoffs(materialize(_table(docs, id_col, text_col, strata), "metrics"), labels, label_id, label_col, risk, delta, cost)
+    stratum = F.coalesce(F.col(strata).cast("string"), F.lit("")) if strata else F.lit("")
+    base, rules = _verdict(cutoffs, stratum, lambda m: _PREFIX + m, min_words, repeat_percent)
+    return metrics(docs, text_col).filter(~base & (F.size(rules) == 0)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,6 +20,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+#: Plain words: letters of one case, perhaps after a capital.
+_PLAIN = "^([A-Z]?[a-z]+|[A-Z]+)$"
 _CLASSES = [16, 20, 24, 32, 48, 64]
 _STEP, _BINS = 0.25, 400
 _OPEN, _SHUT, _OTHER = "\ue000", "\ue001", "\ue002"
@@ -99,19 +101,12 @@ def _cutoffs(tokens: DataFrame, rate: float) -> list[int]:
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.01, least: int = 20) -> DataFrame:
-    """One row for each row of ``docs``: id, n_assign, n_access, n_hex, base, random, each span a (kind, s, e).
-
-    base are the spans of the known patterns by start and then kind; random are tokens of ``least`` characters or
-    more that overlap no base span and that the tests take for generated, at a false discovery rate of ``rate``; positions are
-    code points, ends exclusive. Null and empty texts have no spans. Rows without an id and equal rows are
-    scanned one by one. Other columns are ignored. An empty table gives an empty result. Texts are read once; what
-    is kept of them for the second step are the matches alone.
-    """
-    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), _OPEN + _SHUT, _OTHER + _OTHER)
-    read = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"))
+def _matches(docs: DataFrame, text_col: str, carry: list[Column]) -> DataFrame:
+    """The carried columns, the counts of each kind, base spans, and tested tokens with their bins."""
+    text = F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), _OPEN + _SHUT, _OTHER + _OTHER)
+    read = docs.select(F.struct(*carry).alias("row"), text.alias("t"))
     found = read.select(
-        "id",
+        "row",
         F.filter(_found(F.col("t"), ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6).alias("assign"),
         _found(F.col("t"), ACCESS).alias("access"),
         _found(F.col("t"), HEX).alias("hex"),
@@ -123,23 +118,45 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
 
     found = found.withColumn("base", F.array_sort(F.concat(named("assign", 0), named("access", 1), named("hex", 2))))
     free = F.filter("token", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    plain = "^([A-Z]?[a-z]+|[A-Z]+)$"
     tested = F.transform(
         free,
         lambda x: F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), F.rlike(x["m"], F.lit(plain)).alias("control"), _length_class(x["e"] - x["s"]).alias("class"),
+            x["s"].alias("s"), x["e"].alias("e"), F.rlike(x["m"], F.lit(_PLAIN)).alias("control"), _length_class(x["e"] - x["s"]).alias("class"),
             F.least(F.floor(_statistic(x["m"]) / _STEP), F.lit(_BINS)).cast("int").alias("bin"),
         ),
     )
-    kept = found.select("id", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")], "base", tested.alias("tested"))
-    kept = materialize(kept, "matches")
-    cuts = F.array(*map(F.lit, _cutoffs(kept.select(F.explode("tested").alias("x")).select("x.*").filter(F.col("control") | (F.col("e") - F.col("s") >= least)), rate)))
-    random = F.filter("tested", lambda x: ~x["control"] & (x["e"] - x["s"] >= least) & (x["bin"] <= F.element_at(cuts, x["class"] + 1)))
-    return kept.select(
-        F.col("id").alias(id_col), "n_assign", "n_access", "n_hex",
-        F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))).alias("base"),
-        F.transform(random, lambda x: F.struct(F.lit("random").alias("kind"), x["s"].alias("s"), x["e"].alias("e"))).alias("random"),
-    )
+    return found.select("row", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")], "base", tested.alias("tested"))
+
+
+def _random(kept: DataFrame, rate: float, least: int) -> Column:
+    """The spans of tested tokens that count as generated, with cutoffs from all of them."""
+    tokens = kept.filter(F.size("tested") > 0).select(F.explode("tested").alias("x")).select("x.*")
+    cuts = F.array(*map(F.lit, _cutoffs(tokens.filter(F.col("control") | (F.col("e") - F.col("s") >= least)), rate)))
+    found = F.filter("tested", lambda x: ~x["control"] & (x["e"] - x["s"] >= least) & (x["bin"] <= F.element_at(cuts, x["class"] + 1)))
+    return F.transform(found, lambda x: F.struct(F.lit("random").alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.01, least: int = 20) -> DataFrame:
+    """One row for each row of ``docs``: id, n_assign, n_access, n_hex, base, random, each span a (kind, s, e).
+
+    base are the spans of the known patterns by start and then kind; random are tokens of ``least`` characters or
+    more that overlap no base span and that the tests take for generated, at a false discovery rate of ``rate``; positions are
+    code points, ends exclusive. Null and empty texts have no spans. Rows without an id and equal rows are
+    scanned one by one. Other columns are ignored. An empty table gives an empty result. Texts are read once; what
+    is kept of them for the second step are the matches alone.
+    """
+    kept = materialize(_matches(docs, text_col, [F.col(f"`{id_col}`").cast("long").alias("id")]), "matches")
+    base = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    return kept.select(F.col("row.id").alias(id_col), "n_assign", "n_access", "n_hex", base.alias("base"), _random(kept, rate, least).alias("random"))
+
+
+def mask(docs: DataFrame, text_col: str = "text", rate: float = 0.01, least: int = 20, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every secret of the text replaced by a mark; texts without secrets and other columns stay as they are."""
+    random = _random(_matches(docs, text_col, [F.lit(0)]), rate, least)
+    found = _matches(docs, text_col, [F.col(f"`{c}`") for c in docs.columns])
+    spans = by_start(F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))), random)
+    clean = redact(F.col("row")[text_col], F.col("spans"), mark)
+    return found.withColumn("spans", spans).select(*[clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def listed(spans: Column) -> Column:
