@@ -1,10 +1,9 @@
-"""All registered queries of the library and the SQL that checks them, gathered from the operator modules."""
+"""All registered queries of the library and the SQL that checks them, gathered from the query modules."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from marketlake.queries import market
+from marketlake.queries.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Query] = dict(market.QUERIES)
+ORACLE: dict[str, str] = dict(market.ORACLE)
