@@ -131,18 +131,20 @@ def _alike(threshold: float, p: str) -> Column:
     )
 
 
-def _pivot_pairs(reps: DataFrame, threshold: float, trees: int, branches: int) -> DataFrame:
+def _with_pivots(reps: DataFrame, threshold: float, trees: int, branches: int) -> DataFrame:
+    """(rep, o, p) for each node in which rep may be similar to the node's pivot p, o being the pivot's rank: the most copied
+    document comes first, then the one with the least hash, so ranks lead from every document to better ones only."""
     rows = _first_level(reps, trees, branches)
-    body = [F.col(x) for x in ("rep", "n", "sk1", "sk2")]
-    pivots = rows.groupBy("node").agg(
-        F.count("*").alias("members"),
-        F.min(F.struct((-F.col("copies")).alias("o"), *body)).alias("most"),
-        F.min(F.struct(F.xxhash64("rep").alias("o"), *body)).alias("any"),
-    )
+    rank = F.struct((-F.col("copies")).alias("c"), F.xxhash64("rep").alias("h"))
+    pivots = rows.groupBy("node").agg(F.count("*").alias("members"), F.min(F.struct(rank.alias("o"), *[F.col(x) for x in ("rep", "n", "sk1", "sk2")])).alias("p"))
     pivots = materialize(pivots.filter("members > 1").drop("members"), "pivots")
-    rows = rows.drop("sig").join(pivots, "node").withColumn("p", F.explode(F.array("most", "any")))
-    rows = rows.filter((F.col("rep") != F.col("p.rep")) & _alike(threshold, "p"))
-    return rows.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+    rows = rows.select("node", "rep", "n", "sk1", "sk2").join(pivots, "node")
+    return rows.filter((F.col("rep") != F.col("p.rep")) & _alike(threshold, "p")).select("rep", "p.o", F.col("p.rep").alias("p"))
+
+
+def _follow(best: DataFrame) -> DataFrame:
+    """(rep, comp) from (rep, p): the pivot, or the pivot's pivot."""
+    return best.join(best.select(F.col("rep").alias("p"), F.col("p").alias("q")), "p", "left").select("rep", F.coalesce("q", "p").alias("comp"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -223,26 +225,21 @@ def _compare_blocks(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _verify_groups(rows: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b) documents of a group (node, block) that reach the threshold on their full sets and belong to different
-    components so far; a spanning forest of these links only. rows: node, block, rep, comp, n, sk1, sk2, text."""
+def _verify_groups(rows: DataFrame, k: int, threshold: float, whole: bool) -> DataFrame:
+    """(a, b) links of documents of one group (node, block) that reach the threshold on their full sets and belong to different
+    components so far: a spanning forest only. With ``whole`` groups are closed and b is the least document of a's component.
+    rows: node, block, rep, comp, n, sk1, sk2, text."""
     percent = round(threshold * 100)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 2):
-            if table.num_rows < 2:
-                continue
-            t = {x: table.column(x).to_numpy() for x in ("rep", "comp", "n", "sk1", "sk2")}
-            everyone, texts = np.arange(table.num_rows), table.column("text")
-            found = list(_alike_pairs(t, everyone, everyone, threshold))
-            if not found:
-                continue
-            x, y, same = (np.concatenate(c) for c in zip(*found, strict=True))
-            x, y, same = x[x < y], y[x < y], same[x < y]
-            best = np.argsort(-same, kind="stable")
-            comp, sets, full, out = t["comp"].tolist(), Sets(), {}, []
-            for a, b in zip(x[best].tolist(), y[best].tolist(), strict=True):
-                if sets.root(comp[a]) == sets.root(comp[b]):
+    def links(table: pa.Table) -> list[tuple[int, int]]:
+        t = {x: table.column(x).to_numpy().copy() for x in ("rep", "comp", "n", "sk1", "sk2")}
+        everyone, texts = np.arange(table.num_rows), table.column("text")
+        first, sets, full, out = t["comp"].tolist(), Sets(), {}, []
+        for x, y, same in _alike_pairs(t, everyone, everyone, threshold):
+            best = np.argsort(-same[x < y], kind="stable")
+            before = len(out)
+            for a, b in zip(x[x < y][best].tolist(), y[x < y][best].tolist(), strict=True):
+                if sets.root(first[a]) == sets.root(first[b]):
                     continue
                 for d in (a, b):
                     if d not in full:
@@ -251,14 +248,26 @@ def _verify_groups(rows: DataFrame, k: int, threshold: float) -> DataFrame:
                 at = np.minimum(np.searchsorted(one, two), len(one) - 1)
                 common = int((one[at] == two).sum())
                 if 100 * common >= percent * (len(one) + len(two) - common):
-                    sets.join(comp[a], comp[b])
+                    sets.join(first[a], first[b])
                     out.append((int(t["rep"][a]), int(t["rep"][b])))
-            if out:
+            if len(out) > before:  # what is connected now is skipped from here on
+                t["comp"][:] = [sets.root(c) for c in first]
+        if not whole or not out:
+            return out
+        least: dict[int, int] = {}
+        for r, c in zip(t["rep"].tolist(), first, strict=True):
+            root = sets.root(c)
+            least[root] = min(least.get(root, r), r)
+        return [(r, least[sets.root(c)]) for r, c in zip(t["rep"].tolist(), first, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, 2):
+            if table.num_rows > 1 and (out := links(table)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     rows = rows.select("node", "block", "rep", "comp", "n", "sk1", "sk2", "text")
     rows = rows.repartition("node", "block").sortWithinPartitions("node", "block")
-    return materialize(rows.mapInArrow(run, "a long, b long"), "links")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _leaves(reps: DataFrame, trees: int, branches: int, leaf: int, block: int, depth: int) -> DataFrame:
@@ -267,7 +276,8 @@ def _leaves(reps: DataFrame, trees: int, branches: int, leaf: int, block: int, d
     A node is a leaf once at most ``leaf`` of its documents are outside its largest component. In a leaf of many
     rows each has a home block, and those outside the largest component are probes in every block.
     """
-    rows, found = _first_level(reps, trees, branches), None
+    cols = ["rep", "comp", "n", "sk1", "sk2"]
+    rows, found = _first_level(reps, trees, branches).select("node", "tree", *cols), None
     for level in range(depth):
         by_comp = rows.groupBy("node", "comp").agg(F.count("*").alias("c"))
         nodes = by_comp.groupBy("node").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("most"))
@@ -283,17 +293,12 @@ def _leaves(reps: DataFrame, trees: int, branches: int, leaf: int, block: int, d
         found = mine if found is None else found.unionByName(mine)
         if last or nodes.filter("not leaf").limit(1).count() == 0:
             break
-        below = at.filter("not leaf").select("rep", "comp", "n", "sk1", "sk2", "sig", "tree", "node")
-        rows = materialize(_next_level(below, level + 1, trees, branches), "rows")
+        below = at.filter("not leaf").select("node", "tree", *cols).join(reps.select("rep", "sig"), "rep")
+        rows = materialize(_next_level(below, level + 1, trees, branches).select("node", "tree", *cols), "rows")
     assert found is not None
     return found
 
 
-def _with_component(reps: DataFrame, components: DataFrame) -> DataFrame:
-    joined = reps.join(components.toDF("rep", "found"), "rep", "left")
-    return materialize(joined.withColumn("comp", F.coalesce("found", "rep")).drop("found"), "reps")
-
-
 def confirm(docs: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets reach the threshold. docs: (id, text)."""
     pairs = materialize(pairs, "pairs")
@@ -329,6 +334,7 @@ def near_duplicates(
     leaf: int = 256,
     block: int = 2048,
     depth: int = 8,
+    cluster_rows: int = 4096,
 ) -> DataFrame:
     """One row for each row of ``docs``: (doc id, n_shingles, component_id, kept).
 
@@ -339,7 +345,8 @@ def near_duplicates(
     whatever their names, are ignored. An empty table gives an empty result.
 
     leaf: documents outside a node's largest component up to which the node is compared exhaustively;
-    block: rows of a node that one comparison holds in memory; depth: levels after which any node is compared.
+    block: rows of a node that one comparison holds in memory; depth: levels after which any node is compared;
+    cluster_rows: documents of a cluster up to which one task compares their texts.
     """
     k = shingle
     sigs = materialize(signatures(docs, id_col, text_col, k), "signatures")
@@ -350,26 +357,28 @@ def near_duplicates(
     reps = materialize(own.join(classes, ["rep", "set_key"]).dropDuplicates(["rep"]).drop("set_key"), "reps")
 
     # clusters of documents that sketches cannot tell apart: every link is inside one
-    reps = _with_component(reps, connected_components(_pivot_pairs(reps, threshold, trees, branches)))
-    across = connected_components(_compare_blocks(_leaves(reps, trees, branches, leaf, block, depth), threshold))
-    cluster = F.coalesce("component", "comp")
-    reps = reps.join(across.withColumnRenamed("id", "comp"), "comp", "left").withColumn("cluster", cluster).drop("component", "comp")
-    reps = materialize(reps, "reps")
-    sizes = materialize(reps.groupBy("cluster").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-    reps = materialize(reps.join(sizes, "cluster"), "clustered")
-    own = texts.withColumnRenamed("id", "rep").join(reps.drop("sig").withColumn("comp", F.col("rep")), "rep")
-    own = materialize(own, "texts")
-
-    small = own.filter(F.col("size") <= block).withColumn("node", F.col("cluster")).withColumn("block", F.lit(0))
-    links = _verify_groups(small, k, threshold)
-    if sizes.filter(F.col("size") > block).limit(1).count():
-        big = materialize(reps.filter(F.col("size") > block), "big")
-        known = own.filter(F.col("size") > block).select("rep", "text")
-        near = confirm(known.withColumnRenamed("rep", "id"), _pivot_pairs(big, threshold, trees, branches), k, threshold)
-        big = _with_component(big, connected_components(near))
+    best = _with_pivots(reps, threshold, trees, branches).groupBy("rep").agg(F.min(F.struct("o", "p")).alias("b"))
+    near = materialize(_follow(materialize(best.select("rep", "b.p"), "best")), "near")
+    marked = reps.join(near, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    across = _compare_blocks(_leaves(marked, trees, branches, leaf, block, depth), threshold)
+    clusters = connected_components(near.toDF("a", "b").unionByName(across)).toDF("rep", "cluster")
+    sizes = materialize(clusters.groupBy("cluster").agg(F.count("*").alias("size")), "sizes")
+    known = reps.select("rep", "n", "sk1", "sk2").join(clusters.join(sizes, "cluster"), "rep")
+    own = materialize(texts.withColumnRenamed("id", "rep").join(known, "rep"), "texts")
+
+    small = own.filter(F.col("size") <= cluster_rows).select("*", F.col("cluster").alias("node"), F.lit(0).alias("block"), F.col("rep").alias("comp"))
+    label = _verify_groups(small, k, threshold, whole=True)
+    if sizes.filter(F.col("size") > cluster_rows).limit(1).count():
+        large = own.filter(F.col("size") > cluster_rows)
+        big = materialize(reps.join(large.select("rep"), "rep", "left_semi"), "big")
+        pairs = _with_pivots(big, threshold, trees, branches).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+        close = confirm(large.select(F.col("rep").alias("id"), "text"), pairs, k, threshold)
+        comps = materialize(connected_components(close).toDF("rep", "comp"), "comps")
+        big = big.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         rows = _leaves(big, trees, branches, leaf, block, depth).select("node", "block", "rep", "comp", "n", "sk1", "sk2")
-        links = links.unionByName(near).unionByName(_verify_groups(rows.join(known, "rep"), k, threshold))
-    label = connected_components(links).toDF("rep", "component_id")
+        rows = rows.join(large.select("rep", "text"), "rep")
+        label = label.unionByName(connected_components(close.unionByName(_verify_groups(rows, k, threshold, whole=False))).toDF("a", "b"))
+    label = label.toDF("rep", "component_id").groupBy("rep").agg(F.min("component_id").alias("component_id"))
     label = classes.join(label, "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
     label = label.select("set_key", "component_id")
     out = sigs.select("id", "n_shingles", "set_key").join(materialize(label, "labels"), "set_key", "left")
