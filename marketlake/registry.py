@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from marketlake.queries import market
+from marketlake.queries import market, portfolio
 from marketlake.queries.base import Query
 
-QUERIES: dict[str, Query] = dict(market.QUERIES)
-ORACLE: dict[str, str] = dict(market.ORACLE)
+QUERIES: dict[str, Query] = market.QUERIES | portfolio.QUERIES
+ORACLE: dict[str, str] = market.ORACLE | portfolio.ORACLE
