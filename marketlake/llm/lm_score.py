@@ -15,7 +15,7 @@ log10 of (c(v, w) + mass * p0(w)) / (c(v) + mass). As c(v, w) = P(v | w) * (c(w)
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,18 +105,16 @@ def _counts(docs: DataFrame, shards: int, hot: np.ndarray, limit: int) -> DataFr
     return docs.mapInArrow(run, "shard long, words binary, degree binary, contexts binary, counts binary")
 
 
-def build_trie(words: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """The levels of a shard from pairs sorted by (word, context), all of them distinct."""
-    first = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
-    unique, total = words[first], np.add.reduceat(counts, first)
-    place = np.repeat(np.arange(len(unique)), np.diff(np.append(first, len(words))))
+def build_trie(words: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """The levels of a shard from its sorted words and its sorted distinct pairs, (place of the word) << 32 | context."""
+    place = (pairs >> np.uint64(32)).astype(np.int64)
+    total = np.bincount(place, weights=counts, minlength=len(words)).astype(np.int64)
     share = np.log10(counts / (total[place] + 1))
     code = np.clip(np.rint((share - _LOW) / -_LOW * _STEPS), 0, _STEPS).astype(np.uint8)
-    pairs = place.astype(np.uint64) << np.uint64(32) | contexts
-    pointers = np.append(first, len(words)).astype(np.uint64)
-    out = EliasFano.build(unique, 2**64).arrays("words")
-    out |= EliasFano.build(pointers, len(words) + 1).arrays("pointers")
-    out |= EliasFano.build(pairs, max(1, len(unique)) << 32).arrays("pairs")
+    pointers = np.searchsorted(place, np.arange(len(words) + 1)).astype(np.uint64)
+    out = EliasFano.build(words, 2**64).arrays("words")
+    out |= EliasFano.build(pointers, len(pairs) + 1).arrays("pointers")
+    out |= EliasFano.build(pairs, max(1, len(words)) << 32).arrays("pairs")
     return out | {"totals": total.astype(np.uint32 if not len(total) or total.max() < 2**32 else np.uint64), "codes": code}
 
 
@@ -149,22 +147,29 @@ class Trie:
         return out
 
 
-def _merge(path: str, hot: np.ndarray) -> object:
+def _merge(path: str, hot: np.ndarray) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
-        cols = [[np.frombuffer(x, dtype=k) for x in group.column(c).to_pylist()] for c, k in (("words", np.uint64), ("degree", np.uint32), ("contexts", np.uint32), ("counts", np.uint32))]
-        words = np.concatenate([np.repeat(w, d) for w, d in zip(cols[0], cols[1], strict=True)])
-        contexts, counts = np.concatenate(cols[2]), np.concatenate(cols[3]).astype(np.int64)
-        order = np.lexsort((contexts, words))
-        words, contexts, counts = words[order], contexts[order], counts[order]
-        first = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1])))
-        counts = np.add.reduceat(counts, first)
-        words, contexts = words[first], contexts[first]
+        column = lambda name, kind: [np.frombuffer(x.as_buffer(), dtype=kind) for x in group.column(name)]
+        each = column("words", np.uint64)
+        words = np.unique(np.concatenate(each))
+        degree, contexts = column("degree", np.uint32), column("contexts", np.uint32)
+        keys, at = np.empty(sum(map(len, contexts)), dtype=np.uint64), 0
+        for w, d, c in zip(each, degree, contexts, strict=True):
+            keys[at : at + len(c)] = np.repeat(np.searchsorted(words, w).astype(np.uint64) << np.uint64(32), d)
+            keys[at : at + len(c)] |= c
+            at += len(c)
+        order = np.argsort(keys)
+        keys, counts = keys[order], np.concatenate(column("counts", np.uint32))[order]
+        del order
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        counts = np.add.reduceat(counts, first, dtype=np.int64)
+        keys = keys[first]
         shard = group.column("shard")[0].as_py()
-        _put(f"{path}/trie-{shard:05d}.bin", dump(build_trie(words, contexts, counts)))
-        unique, inverse = np.unique(words, return_inverse=True)
-        total = np.bincount(inverse, weights=counts).astype(np.int64)
-        split = np.isin(unique, hot)
-        return pa.table({"shard": [shard], "tokens": [int(counts.sum())], "words": [int((~split).sum())], "hot": pa.array([unique[split].view(np.int64)], pa.list_(pa.int64())), "hot_counts": pa.array([total[split]], pa.list_(pa.int64()))})
+        arrays = build_trie(words, keys, counts)
+        _put(f"{path}/trie-{shard:05d}.bin", dump(arrays))
+        split = np.isin(words, hot)
+        total = arrays["totals"].astype(np.int64)
+        return pa.table({"shard": [shard], "tokens": [int(counts.sum())], "words": [int((~split).sum())], "hot": pa.array([words[split].view(np.int64)], pa.list_(pa.int64())), "hot_counts": pa.array([total[split]], pa.list_(pa.int64()))})
 
     return run
 
@@ -181,7 +186,7 @@ class Model:
         self.path, self.shards, self.tokens, self.words, self.texts, self.hot = path, shards, tokens, words, texts, hot
 
 
-def train(docs: DataFrame, path: str, id_col: str, text_col: str, shard_bytes: int = 64_000_000, limit: int = 1_000_000) -> Model:
+def train(docs: DataFrame, path: str, id_col: str, text_col: str, shard_bytes: int = 32_000_000, limit: int = 1_000_000) -> Model:
     """Train on all given documents and write the tries to ``path``. A shard is made of about ``shard_bytes`` of text."""
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size, texts = picked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
@@ -235,7 +240,9 @@ def _events(docs: DataFrame, model: Model, limit: int) -> DataFrame:
                 degree = np.diff(np.append(first, len(own))).astype(np.uint32)
                 texts, local = np.unique(row[own], return_inverse=True)
                 local = local.astype(np.uint16 if len(texts) < 65536 else np.uint32)
-                rows.append((s, part, seen, texts.tobytes(), number[texts].tolist(), words[own][first].tobytes(), degree.tobytes(), contexts[own].tobytes(), local.tobytes()))
+                # a text's id goes with its end, which is in one shard only
+                named = np.where(np.isin(texts, row[own][words[own] == np.uint64(END)]), number[texts], None)
+                rows.append((s, part, seen, texts.tobytes(), named.tolist(), words[own][first].tobytes(), degree.tobytes(), contexts[own].tobytes(), local.tobytes()))
             seen += len(ids)
             kinds = [pa.int64()] * 3 + [pa.binary(), pa.list_(pa.int64())] + [pa.binary()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "part", "base", "texts", "ids", "words", "degree", "contexts", "local"])
@@ -288,14 +295,14 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str, mass: float
     blobs = _events(picked, model, limit).withColumn("salt", F.pmod("part", F.lit(8)))
     spread = blobs.repartition("shard", "salt").sortWithinPartitions("shard").drop("salt")
     found = spread.mapInArrow(run, "row long, id long, n long, known long, base double, value double")
-    total = found.groupBy("row").agg(F.first("id").alias("id"), *[F.sum(c).alias(c) for c in ("n", "known", "base", "value")])
+    total = found.groupBy("row").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("n", "known", "base", "value")])
     return total.select(
         F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.col("base").alias("base_score"),
         (F.col("value") - float(np.log10(texts_n + mass))).alias("score"),
     )
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mass: float = 30.0, shard_bytes: int = 64_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mass: float = 30.0, shard_bytes: int = 32_000_000) -> DataFrame:
     """One row for each row of ``docs``: (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     The model is trained on the documents that are not held out and scores all of them. base_score is of the
