@@ -32,33 +32,33 @@ def tokenize(text: Column, terms: list[str]) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?s)({pattern}|.)" if pattern else "(?s)(.)"), F.lit(1))
 
 
-def sentiment(
-    text: Column, positive: list[str] | None = None, negative: list[str] | None = None, intensifiers: dict[str, float] | None = None, negators: list[str] | None = None
-) -> tuple[Column, Column]:
-    """(score in [-1, 1], magnitude in [0, 1]) of a text; a listed word counts with the weight of an intensifier before it and
-    -0.5 of it behind a negator, also one before the intensifier."""
+def with_sentiment(
+    df: DataFrame, text: Column, positive: list[str] | None = None, negative: list[str] | None = None, intensifiers: dict[str, float] | None = None, negators: list[str] | None = None
+) -> DataFrame:
+    """Adds score in [-1, 1], magnitude in [0, 1] and labels of a text; a listed word counts with the weight of an intensifier before
+    it and -0.5 of it behind a negator, also one before the intensifier. Tokens are made once per row, and each goes through
+    the rule together with the two before it."""
     pos, neg = positive or POSITIVE, negative or NEGATIVE
     strong, nots = INTENSIFIERS if intensifiers is None else intensifiers, NEGATORS if negators is None else negators
-    terms = [*pos, *neg, *strong, *nots]
     listed = lambda c, words: c.isin(words) if words else F.lit(False)
     weight = F.create_map(*[F.lit(x) for kv in strong.items() for x in kv]) if strong else None
-
-    def contribution(tokens: Column) -> Column:
-        def one(word: Column, i: Column) -> Column:
-            before, two = F.get(tokens, i - 1), F.get(tokens, i - 2)
-            w = F.coalesce(F.try_element_at(weight, F.coalesce(before, F.lit(""))), F.lit(1.0)) if weight is not None else F.lit(1.0)
-            negated = F.coalesce(listed(before, nots) | (listed(before, list(strong)) & listed(two, nots)), F.lit(False))
-            signed = F.when(negated, -0.5 * w).otherwise(w)
-            return F.struct(F.when(listed(word, pos), signed).otherwise(0.0).alias("p"), F.when(listed(word, neg), signed).otherwise(0.0).alias("n"))
-
-        return F.transform(tokens, one)
-
-    tokens = tokenize(text, terms)
-    parts = contribution(tokens)
-    raw = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["p"] - x["n"])
-    total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + F.abs(x["p"]) + F.abs(x["n"]))
-    score = F.when(total > 0, F.least(F.greatest(raw / total, F.lit(-1.0)), F.lit(1.0))).otherwise(0.0)
-    return score, F.least(F.lit(1.0), total / F.greatest(F.size(tokens), F.lit(1)) * 2)
+    df = df.withColumn("__t", tokenize(text, [*pos, *neg, *strong, *nots])).withColumn("__n", F.size("__t"))
+    shifted = lambda k: F.slice(F.concat(F.array(*[F.lit("")] * k), "__t"), F.lit(1), F.col("__n"))
+    df = df.withColumn("__z", F.arrays_zip(F.col("__t").alias("w"), shifted(1).alias("b"), shifted(2).alias("bb")))
+
+    def one(x: Column) -> Column:
+        w = F.coalesce(F.try_element_at(weight, x["b"]), F.lit(1.0)) if weight is not None else F.lit(1.0)
+        negated = listed(x["b"], nots) | (listed(x["b"], list(strong)) & listed(x["bb"], nots))
+        signed = F.when(negated, -0.5 * w).otherwise(w)
+        return F.struct(F.when(listed(x["w"], pos), signed).otherwise(0.0).alias("p"), F.when(listed(x["w"], neg), signed).otherwise(0.0).alias("n"))
+
+    start = F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("t"))
+    sums = F.aggregate(F.transform("__z", one), start, lambda s, x: F.struct((s["r"] + x["p"] - x["n"]).alias("r"), (s["t"] + F.abs(x["p"]) + F.abs(x["n"])).alias("t")))
+    df = df.withColumn("__s", sums)
+    total = F.col("__s.t")
+    score = F.when(total > 0, F.least(F.greatest(F.col("__s.r") / total, F.lit(-1.0)), F.lit(1.0))).otherwise(0.0)
+    df = df.withColumn("score", score).withColumn("magnitude", F.least(F.lit(1.0), total / F.greatest("__n", F.lit(1)) * 2))
+    return df.withColumn("labels", sentiment_labels(F.col("score"), F.col("magnitude"))).drop("__t", "__n", "__z", "__s")
 
 
 def sentiment_labels(score: Column, magnitude: Column) -> Column:

@@ -190,11 +190,11 @@ add("bt08_mark_to_market", lambda s, d: rounded(bt.mark_to_market(_portfolio(s,
 
 
 def _bt_orders(spark, d):
-    b = bars_orders(spark, d).filter(F.dayofmonth("ts") % 5 == 0)
+    b = bars_orders(spark, d)
     return b.select(F.concat_ws("-", "symbol", F.date_format("ts", "yyyyMMdd")).alias("order_id"), "symbol", "ts", F.when(F.dayofmonth("ts") % 2 == 0, "BUY").otherwise("SELL").alias("side"), (F.col("volume") * 100).alias("quantity"))
 
 
-add("bt05_make_fills", lambda s, d: rounded(bt.make_fills(_bt_orders(s, d), bars_orders(s, d), cap=0.5), 9), f"""WITH {BO}, b AS (SELECT *, lag(close) OVER ({W}) AS prev FROM bo), o AS (SELECT symbol || '-' || strftime(ts, '%Y%m%d') AS order_id, symbol, ts, CASE WHEN day(ts) % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, volume * 100 AS q, close, volume, (close - coalesce(prev, close)) / coalesce(prev, close) AS ch FROM b WHERE day(ts) % 5 = 0),
+add("bt05_make_fills", lambda s, d: rounded(bt.make_fills(_bt_orders(s, d), bars_orders(s, d), cap=0.5), 9), f"""WITH {BO}, b AS (SELECT *, lag(close) OVER ({W}) AS prev FROM bo), o AS (SELECT symbol || '-' || strftime(ts, '%Y%m%d') AS order_id, symbol, ts, CASE WHEN day(ts) % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, volume * 100 AS q, close, volume, (close - coalesce(prev, close)) / coalesce(prev, close) AS ch FROM b),
  p AS (SELECT *, CASE WHEN side = 'BUY' THEN close + close * 0.001 ELSE close - close * 0.001 END AS price FROM o WHERE NOT (side = 'BUY' AND ch >= 0.1) AND NOT (side = 'SELL' AND ch <= -0.1))
  SELECT order_id, symbol, ts, side, CAST(CASE WHEN floor(volume * 0.5) > 0 THEN least(q, floor(volume * 0.5)) ELSE q END AS BIGINT) AS quantity, round(price, 9) AS price, round(greatest(price * q * 0.00025, 5) + CASE WHEN side = 'SELL' THEN price * q * 0.001 ELSE 0 END, 9) AS commission FROM p""")
 
@@ -235,8 +235,8 @@ _oe = lambda s, d: table(s, d, "events").select(F.col("user_id").alias("order_id
 _OE = f"WITH e AS (SELECT user_id AS order_id, event_id AS seq, {_statuses!r}[(event_id * 7 + user_id) % 6 + 1] AS status FROM events)"
 add("ox02_invalid_transitions", lambda s, d: ox.invalid_transitions(_oe(s, d)).select("order_id", "seq", "before", "status"), _OE + ", b AS (SELECT *, lag(status) OVER (PARTITION BY order_id ORDER BY seq) AS before FROM e) SELECT order_id, seq, before, status FROM b WHERE before IS NOT NULL AND NOT ((before = 'PENDING_NEW' AND status IN ('NEW', 'REJECTED')) OR (before = 'NEW' AND status IN ('PARTIAL', 'FILLED', 'PENDING_CANCEL', 'EXPIRED', 'SUSPENDED')) OR (before = 'PARTIAL' AND status IN ('FILLED', 'CANCELLED', 'PENDING_CANCEL')) OR (before = 'PENDING_CANCEL' AND status = 'CANCELLED') OR (before = 'SUSPENDED' AND status = 'NEW'))")
 add("ox03_current_status", lambda s, d: ox.current_status(_oe(s, d)), _OE + " SELECT order_id, arg_max(status, seq) AS status FROM e GROUP BY 1")
-_parents = lambda s, d: table(s, d, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderpriority").alias("symbol"), F.round("o_totalprice").cast("long").alias("quantity"), F.col("o_orderdate").cast("timestamp_ntz").alias("start"), (F.col("o_orderkey") % 400).alias("duration"))
-_P = "WITH p AS (SELECT o_orderkey AS order_id, o_orderpriority AS symbol, CAST(round(o_totalprice) AS BIGINT) AS q, CAST(o_orderdate AS TIMESTAMP) AS s, o_orderkey % 400 AS d FROM orders WHERE o_orderkey % 20 = 0)"
+_parents = lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderpriority").alias("symbol"), F.round("o_totalprice").cast("long").alias("quantity"), F.col("o_orderdate").cast("timestamp_ntz").alias("start"), (F.col("o_orderkey") % 400).alias("duration"))
+_P = "WITH p AS (SELECT o_orderkey AS order_id, o_orderpriority AS symbol, CAST(round(o_totalprice) AS BIGINT) AS q, CAST(o_orderdate AS TIMESTAMP) AS s, o_orderkey % 400 AS d FROM orders)"
 add("ox04_twap", lambda s, d: ox.twap_schedule(_parents(s, d)).withColumn("slice", F.col("slice").cast("long")), _P + ", x AS (SELECT *, unnest(generate_series(1, CAST(ceil(d / 30.0) AS BIGINT))) AS slice FROM p WHERE d > 0), t AS (SELECT *, floor(q * least(1.0::DOUBLE, slice * 30 / CAST(d AS DOUBLE))) AS t FROM x) SELECT order_id, slice, s + to_seconds(slice * 30) AS ts, CAST(greatest(t - coalesce(lag(t) OVER (PARTITION BY order_id ORDER BY slice), 0), 0) AS BIGINT) AS quantity FROM t UNION ALL SELECT order_id, 1, s, CAST(greatest(floor(q / 10.0::DOUBLE), 1) AS BIGINT) FROM p WHERE d <= 0")
 _prof = lambda s, d: ox.volume_profile(bars_events(s, d), F.hour("ts"))
 _PROF = f", {BE}, v AS (SELECT hour(ts) AS bucket, sum(volume) AS v FROM be GROUP BY 1), w AS (SELECT bucket, v / CAST(sum(v) OVER () AS DOUBLE) AS w FROM v)"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from marketlake.queries import market, portfolio
+from marketlake.queries import market, portfolio, text
 from marketlake.queries.base import Query
 
-QUERIES: dict[str, Query] = market.QUERIES | portfolio.QUERIES
-ORACLE: dict[str, str] = market.ORACLE | portfolio.ORACLE
+QUERIES: dict[str, Query] = market.QUERIES | portfolio.QUERIES | text.QUERIES
+ORACLE: dict[str, str] = market.ORACLE | portfolio.ORACLE | text.ORACLE
