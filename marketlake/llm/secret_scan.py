@@ -19,7 +19,7 @@ from marketlake.llm.shared import materialize
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 #: Plain words: letters of one case, perhaps after a capital.
 _PLAIN = "^([A-Z]?[a-z]+|[A-Z]+)$"
 _CLASSES = [16, 20, 24, 32, 48, 64]
@@ -30,7 +30,7 @@ _OPEN, _SHUT, _OTHER = "\ue000", "\ue001", "\ue002"
 def _found(text: Column, pattern: str) -> Column:
     """(s, e, m) of the leftmost non-overlapping matches, s and e in code points."""
     none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
-    marked = F.regexp_replace(text, F.lit(f"({pattern})" if not pattern.startswith("(?i)") else pattern), F.lit(f"{_OPEN}$0{_SHUT}"))
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{_OPEN}$0{_SHUT}"))
     parts = F.split(marked, f"[{_OPEN}{_SHUT}]", -1)
     start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("i"), none.alias("a"))
 
@@ -42,39 +42,58 @@ def _found(text: Column, pattern: str) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(parts, start, step, lambda x: x["a"])).otherwise(none)
 
 
-def _statistic(token: Column) -> Column:
-    """The sum of the squared deviates of the three tests, in the alphabet of the token's encoding."""
+def _tested(tokens: Column) -> Column:
+    """Each token as (s, e, control, class, bin), bin being the binned sum of the squared deviates of the three tests, in the
+    alphabet of the token's encoding. Step by step, so that nothing is worked out again for every character."""
     digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    alphabet = (
-        F.when(F.rlike(token, F.lit("^[0-9]+$")), digits)
-        .when(F.rlike(token, F.lit("^[0-9a-f]+$")), digits + "abcdef")
-        .when(F.rlike(token, F.lit("^[0-9A-F]+$")), digits + "ABCDEF")
-        .when(F.rlike(token, F.lit("^[A-Z2-7]+=*$")), upper + "234567")
-        .when(F.rlike(token, F.lit("^[0-9a-z]+$")), digits + lower)
-        .when(F.rlike(token, F.lit("^[0-9A-Z]+$")), digits + upper)
-        .when(F.rlike(token, F.lit("^[0-9A-Za-z]+$")), digits + upper + lower)
-        .otherwise(upper + lower + digits + "+/-_=")
-    )
-    a, n = F.length(alphabet).cast("double"), F.length(token).cast("double")
-    chars = F.split(token, "")
-    places = F.transform(chars, lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-    squares = F.aggregate(
-        F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double")), F.lit(0.0), lambda s, o: s + o * o
-    )
-    chi = (squares * a / n - n - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
-    size = F.length(token)
-    pairs = F.arrays_zip(F.slice(places, 1, size - 1).alias("x"), F.slice(places, 2, size - 1).alias("y"))
-    high = F.size(F.filter(places, lambda x: x >= a / 2)).cast("double")
-    low = n - high
-    runs = F.size(F.filter(pairs, lambda p: (p["x"] >= a / 2) != (p["y"] >= a / 2))).cast("double") + 1
-    expected = 2 * high * low / n + 1
-    spread = (expected - 1) * (expected - 2) / (n - 1)
-    run = F.coalesce(F.try_divide(runs - expected, F.sqrt(F.greatest(spread, F.lit(0.0)))), F.sqrt(n))
-    mean = F.aggregate(places, F.lit(0.0), lambda s, x: s + x) / n
-    var = F.aggregate(places, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-    lag = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["x"] - mean) * (p["y"] - mean))
-    serial = F.coalesce(F.try_divide(lag, var), F.lit(1.0)) * F.sqrt(n - 1)
-    return chi * chi + run * run + serial * serial
+
+    def encoded(x: Column) -> Column:
+        is_ = lambda p: F.rlike(x["m"], F.lit(p))
+        alphabet = (
+            F.when(is_("^[0-9]+$"), digits)
+            .when(is_("^[0-9a-f]+$"), digits + "abcdef")
+            .when(is_("^[0-9A-F]+$"), digits + "ABCDEF")
+            .when(is_("^[A-Z2-7]+=*$"), upper + "234567")
+            .when(is_("^[0-9a-z]+$"), digits + lower)
+            .when(is_("^[0-9A-Z]+$"), digits + upper)
+            .when(is_("^[0-9A-Za-z]+$"), digits + upper + lower)
+            .otherwise(upper + lower + digits + "+/-_=")
+        )
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), is_(_PLAIN).alias("control"), alphabet.alias("alphabet"), F.split(x["m"], "").alias("chars"))
+
+    def placed(x: Column) -> Column:
+        places = F.transform(x["chars"], lambda c: (F.instr(x["alphabet"], c) - 1).cast("double"))
+        uses = F.transform(F.array_distinct(x["chars"]), lambda c: F.size(F.filter(x["chars"], lambda y: y == c)).cast("double"))
+        squares = F.aggregate(uses, F.lit(0.0), lambda t, o: t + o * o)
+        size = x["e"] - x["s"]
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["control"].alias("control"), F.length(x["alphabet"]).cast("double").alias("a"), size.cast("double").alias("n"), places.alias("places"), squares.alias("squares"))
+
+    def centred(x: Column) -> Column:
+        mean = F.aggregate(x["places"], F.lit(0.0), lambda t, y: t + y) / x["n"]
+        size = F.size(x["places"])
+        pairs = F.arrays_zip(F.slice(x["places"], F.lit(1), size - 1).alias("x"), F.slice(x["places"], F.lit(2), size - 1).alias("y"))
+        high = F.size(F.filter(x["places"], lambda y: y >= x["a"] / 2)).cast("double")
+        return F.struct(*[x[c].alias(c) for c in ("s", "e", "control", "a", "n", "places", "squares")], mean.alias("mean"), pairs.alias("pairs"), high.alias("high"))
+
+    def summed(x: Column) -> Column:
+        half, mean = x["a"] / 2, x["mean"]
+        runs = F.size(F.filter(x["pairs"], lambda p: (p["x"] >= half) != (p["y"] >= half))).cast("double") + 1
+        var = F.aggregate(x["places"], F.lit(0.0), lambda t, y: t + (y - mean) * (y - mean))
+        lag = F.aggregate(x["pairs"], F.lit(0.0), lambda t, p: t + (p["x"] - mean) * (p["y"] - mean))
+        return F.struct(*[x[c].alias(c) for c in ("s", "e", "control", "a", "n", "squares", "high")], runs.alias("runs"), var.alias("var"), lag.alias("lag"))
+
+    def judged(x: Column) -> Column:
+        a, n = x["a"], x["n"]
+        chi = (x["squares"] * a / n - n - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
+        expected = 2 * x["high"] * (n - x["high"]) / n + 1
+        run = F.coalesce(F.try_divide(x["runs"] - expected, F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(0.0)))), F.sqrt(n))
+        serial = F.coalesce(F.try_divide(x["lag"], x["var"]), F.lit(1.0)) * F.sqrt(n - 1)
+        number = F.least(F.floor((chi * chi + run * run + serial * serial) / _STEP), F.lit(_BINS)).cast("int")
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["control"].alias("control"), _length_class(x["e"] - x["s"]).alias("class"), number.alias("bin"))
+
+    for step in (encoded, placed, centred, summed, judged):
+        tokens = F.transform(tokens, step)
+    return tokens
 
 
 def _length_class(n: Column) -> Column:
@@ -103,7 +122,9 @@ def _cutoffs(tokens: DataFrame, rate: float) -> list[int]:
 
 def _matches(docs: DataFrame, text_col: str, carry: list[Column]) -> DataFrame:
     """The carried columns, the counts of each kind, base spans, and tested tokens with their bins."""
-    text = F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), _OPEN + _SHUT, _OTHER + _OTHER)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    marked = F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_SHUT))
+    text = F.when(marked, F.translate(text, _OPEN + _SHUT, _OTHER + _OTHER)).otherwise(text)
     read = docs.select(F.struct(*carry).alias("row"), text.alias("t"))
     found = read.select(
         "row",
@@ -118,14 +139,7 @@ def _matches(docs: DataFrame, text_col: str, carry: list[Column]) -> DataFrame:
 
     found = found.withColumn("base", F.array_sort(F.concat(named("assign", 0), named("access", 1), named("hex", 2))))
     free = F.filter("token", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    tested = F.transform(
-        free,
-        lambda x: F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), F.rlike(x["m"], F.lit(_PLAIN)).alias("control"), _length_class(x["e"] - x["s"]).alias("class"),
-            F.least(F.floor(_statistic(x["m"]) / _STEP), F.lit(_BINS)).cast("int").alias("bin"),
-        ),
-    )
-    return found.select("row", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")], "base", tested.alias("tested"))
+    return found.select("row", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")], "base", _tested(free).alias("tested"))
 
 
 def _random(kept: DataFrame, rate: float, least: int) -> Column:
@@ -152,7 +166,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
 
 def mask(docs: DataFrame, text_col: str = "text", rate: float = 0.01, least: int = 20, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret of the text replaced by a mark; texts without secrets and other columns stay as they are."""
-    random = _random(_matches(docs, text_col, [F.lit(0)]), rate, least)
+    random = _random(materialize(_matches(docs, text_col, [F.lit(0).alias("none")]).select("tested"), "tested"), rate, least)
     found = _matches(docs, text_col, [F.col(f"`{c}`") for c in docs.columns])
     spans = by_start(F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))), random)
     clean = redact(F.col("row")[text_col], F.col("spans"), mark)
