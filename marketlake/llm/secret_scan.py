@@ -2,9 +2,9 @@
 
 All of it is column expressions. A token that is no plain word is tested in the alphabet of its inferred encoding: chi-squared
 distance from uniform use of the alphabet, runs above and below its middle, and serial correlation, each as
-a normal deviate; the sum of their squares is small for random strings and large for language. Plain words of the
-same corpus (letters of one case) are the controls: a token's p-value is the share of the controls up to its
-length class whose sum is as small, so what counts as too random for language follows from the language at hand.
+a normal deviate. The sum of their squares is small for random strings; for language it grows with the length, so
+it is taken per character. Plain words of the same corpus (letters of one case) are the controls: a token's p-value is the
+share of the controls up to its length class that are as random, so the measure of language is the corpus at hand.
 Benjamini-Hochberg within each length class then holds the share of false discoveries.
 """
 
@@ -23,7 +23,7 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 #: Plain words: letters of one case, perhaps after a capital.
 _PLAIN = "^([A-Z]?[a-z]+|[A-Z]+)$"
 _CLASSES = [16, 20, 24, 32, 48, 64]
-_STEP, _BINS = 0.25, 400
+_STEP, _BINS = 0.01, 400
 _OPEN, _SHUT, _OTHER = "\ue000", "\ue001", "\ue002"
 
 
@@ -43,7 +43,7 @@ def _found(text: Column, pattern: str) -> Column:
 
 
 def _tested(tokens: Column) -> Column:
-    """Each token as (s, e, control, class, bin), bin being the binned sum of the squared deviates of the three tests, in the
+    """Each token as (s, e, control, class, bin), bin being the binned sum of the squared deviates of the three tests per character, in the
     alphabet of the token's encoding. Step by step, so that nothing is worked out again for every character."""
     digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -88,7 +88,7 @@ def _tested(tokens: Column) -> Column:
         expected = 2 * x["high"] * (n - x["high"]) / n + 1
         run = F.coalesce(F.try_divide(x["runs"] - expected, F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(0.0)))), F.sqrt(n))
         serial = F.coalesce(F.try_divide(x["lag"], x["var"]), F.lit(1.0)) * F.sqrt(n - 1)
-        number = F.least(F.floor((chi * chi + run * run + serial * serial) / _STEP), F.lit(_BINS)).cast("int")
+        number = F.least(F.floor((chi * chi + run * run + serial * serial) / n / _STEP), F.lit(_BINS)).cast("int")
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["control"].alias("control"), _length_class(x["e"] - x["s"]).alias("class"), number.alias("bin"))
 
     for step in (encoded, placed, centred, summed, judged):

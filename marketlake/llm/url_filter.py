@@ -78,14 +78,14 @@ def _threshold(scores: DataFrame, step: float = 0.01, reach: float = 4.0) -> flo
         return 0.0
     below_a = below_b = 0
     found: list[tuple[float, float]] = []
-    for r in rows:
-        found.append(((a - below_a) / a + below_b / b, r["bin"] * step))
+    for before, r in zip([None, *rows[:-1]], rows, strict=True):
+        # any threshold between the two bins does the same; the middle is farthest from both
+        edge = (before["bin"] + 1) * step if before else r["bin"] * step
+        found.append(((a - below_a) / a + below_b / b, (edge + r["bin"] * step) / 2))
         below_a, below_b = below_a + r["a"], below_b + r["b"]
-    found.append((1.0, (rows[-1]["bin"] + 1) * step))
     best = max(x for x, _ in found)
-    # of equally good thresholds take the middle one, where the two sides are farthest apart
     good = [t for x, t in found if x == best]
-    return (good[0] + good[-1]) / 2
+    return good[len(good) // 2]
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", order: int = 3) -> DataFrame:
