@@ -197,7 +197,7 @@ def _strategies(spark, d):
 
 add("sg11_combine_union", lambda s, d: rounded(sg.combine(_strategies(s, d), "union", 4)))
 add("sg11_combine_vote", lambda s, d: rounded(sg.combine(_strategies(s, d), "vote", 4)))
-add("sg11_combine_weighted", lambda s, d: rounded(sg.combine(_strategies(s, d), "weighted", 4)))
+add("sg11_combine_weighted", lambda s, d: rounded(sg.combine(_strategies(s, d), "weighted", 4), 9))
 add("sg12_combine_layered", lambda s, d: rounded(sg.combine_layered(_strategies(s, d), 4)))
 add("sg14_live_signals", lambda s, d: rounded(sg.live_signals(bars_events(s, d).withColumn("f", fx.pct_change()), "f", ["close", "f"]).select("symbol", "ts", F.col("side").cast("long").alias("side"), F.col("quantity").cast("long").alias("quantity"), "confidence", F.element_at("factors", "close").alias("close"))),
     f"WITH {BE}, x AS (SELECT *, close / lag(close) OVER ({W}) - 1 AS f FROM be) SELECT symbol, ts, CAST(CASE WHEN f > 0.001 THEN 1 ELSE -1 END AS BIGINT) AS side, CAST(floor(abs(f) * 100) AS BIGINT) AS quantity, round(abs(f), 6) AS confidence, round(close, 6) AS close FROM x WHERE abs(f) > 0.001")
