@@ -331,7 +331,7 @@ def near_duplicates(
     threshold: float = 0.8,
     trees: int = 4,
     branches: int = 2,
-    leaf: int = 256,
+    leaf: int = 1024,
     block: int = 2048,
     depth: int = 8,
     cluster_rows: int = 4096,
