@@ -49,7 +49,14 @@ class Lines(HTMLParser):
     def _at(self) -> tuple[bool, int]:
         return self.stack[-1][1:] if self.stack else (False, 0)
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Line numbers are not needed."""
+        return j
+
     def flush(self) -> None:
+        if not self.text:
+            self.tags = 0
+            return
         words = " ".join("".join(self.text).split())
         if words:
             dropped, section = self._at()
