@@ -186,7 +186,7 @@ class Model:
         self.path, self.shards, self.tokens, self.words, self.texts, self.hot = path, shards, tokens, words, texts, hot
 
 
-def train(docs: DataFrame, path: str, id_col: str, text_col: str, shard_bytes: int = 32_000_000, limit: int = 1_000_000) -> Model:
+def train(docs: DataFrame, path: str, id_col: str, text_col: str, shard_bytes: int = 24_000_000, limit: int = 500_000) -> Model:
     """Train on all given documents and write the tries to ``path``. A shard is made of about ``shard_bytes`` of text."""
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size, texts = picked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
@@ -241,16 +241,16 @@ def _events(docs: DataFrame, model: Model, limit: int) -> DataFrame:
                 texts, local = np.unique(row[own], return_inverse=True)
                 local = local.astype(np.uint16 if len(texts) < 65536 else np.uint32)
                 # a text's id goes with its end, which is in one shard only
-                named = np.where(np.isin(texts, row[own][words[own] == np.uint64(END)]), number[texts], None)
-                rows.append((s, part, seen, texts.tobytes(), named.tolist(), words[own][first].tobytes(), degree.tobytes(), contexts[own].tobytes(), local.tobytes()))
+                ended = np.sort(row[own][words[own] == np.uint64(END)])
+                rows.append((s, part, seen, texts.tobytes(), ended.tobytes(), number[ended].tolist(), words[own][first].tobytes(), degree.tobytes(), contexts[own].tobytes(), local.tobytes()))
             seen += len(ids)
-            kinds = [pa.int64()] * 3 + [pa.binary(), pa.list_(pa.int64())] + [pa.binary()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "part", "base", "texts", "ids", "words", "degree", "contexts", "local"])
+            kinds = [pa.int64()] * 3 + [pa.binary(), pa.binary(), pa.list_(pa.int64())] + [pa.binary()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "part", "base", "texts", "ended", "ids", "words", "degree", "contexts", "local"])
 
-    return docs.mapInArrow(run, "shard long, part long, base long, texts binary, ids array<long>, words binary, degree binary, contexts binary, local binary")
+    return docs.mapInArrow(run, "shard long, part long, base long, texts binary, ended binary, ids array<long>, words binary, degree binary, contexts binary, local binary")
 
 
-def score(docs: DataFrame, model: Model, id_col: str, text_col: str, mass: float = 30.0, limit: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str, text_col: str, mass: float = 30.0, limit: int = 500_000) -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) for each row of ``docs``."""
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     z = model.tokens + model.words + 1
@@ -289,20 +289,38 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str, mass: float
                 n = len(texts)
                 sums = [np.bincount(local, weights=w, minlength=n) for w in (np.repeat(np.log10((own + 1) / z), degree), value)]
                 counts = [np.bincount(local, minlength=n), np.bincount(local, weights=np.repeat(own > 0, degree), minlength=n).astype(np.int64)]
-                row = (cols["part"][b] << 40) + cols["base"][b] + texts.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(cols["ids"][b], pa.int64()), *map(pa.array, counts), *map(pa.array, sums)], names=["row", "id", "n", "known", "base", "value"])
+                packed = [x.astype(k).tobytes() for x, k in zip([*counts, *sums], ("<u4", "<u4", "<f8", "<f8"), strict=True)]
+                values = [cols[c][b] for c in ("part", "base", "texts", "ended", "ids")] + packed
+                kinds = [pa.int64()] * 2 + [pa.binary()] * 2 + [pa.list_(pa.int64())] + [pa.binary()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds, strict=True)], names=["part", "base", "texts", "ended", "ids", "n", "known", "uni", "value"])
+
+    def add(group: pa.Table) -> pa.Table:
+        """What all shards say about the texts of one blob, added up; a blob is of bounded size."""
+        column = lambda name, kind: [np.frombuffer(x.as_buffer(), dtype=kind) for x in group.column(name)]
+        texts = column("texts", np.uint32)
+        size = 1 + max(int(t.max()) for t in texts)
+        out = {}
+        for name, kind in (("n", "<u4"), ("known", "<u4"), ("uni", "<f8"), ("value", "<f8")):
+            total = np.zeros(size, dtype=np.float64)
+            for t, x in zip(texts, column(name, kind), strict=True):
+                total[t] += x  # a shard names each text once
+            out[name] = total if kind == "<f8" else total.astype(np.int64)
+        ids = np.full(size, None, dtype=object)
+        for at, own in zip(column("ended", np.uint32), group.column("ids").to_pylist(), strict=True):
+            ids[at] = own
+        return pa.table({"id": pa.array(ids.tolist(), pa.int64()), **out})
 
     blobs = _events(picked, model, limit).withColumn("salt", F.pmod("part", F.lit(8)))
     spread = blobs.repartition("shard", "salt").sortWithinPartitions("shard").drop("salt")
-    found = spread.mapInArrow(run, "row long, id long, n long, known long, base double, value double")
-    total = found.groupBy("row").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("n", "known", "base", "value")])
+    found = spread.mapInArrow(run, "part long, base long, texts binary, ended binary, ids array<long>, n binary, known binary, uni binary, value binary")
+    total = found.groupBy("part", "base").applyInArrow(add, "id long, n long, known long, uni double, value double")
     return total.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.col("base").alias("base_score"),
+        F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.col("uni").alias("base_score"),
         (F.col("value") - float(np.log10(texts_n + mass))).alias("score"),
     )
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mass: float = 30.0, shard_bytes: int = 32_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mass: float = 30.0, shard_bytes: int = 24_000_000) -> DataFrame:
     """One row for each row of ``docs``: (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     The model is trained on the documents that are not held out and scores all of them. base_score is of the
