@@ -88,15 +88,19 @@ add("g02_user_operation", lambda s, d: rounded(apply_factor_graph(bars_events(s,
 
 
 # streams, run to the end of what is there
-def _run(df, mode="append"):
-    spark, name = df.sparkSession, f"q{uuid.uuid4().hex}"
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or ("file://" + tempfile.mkdtemp() if spark.sparkContext.master.startswith("local") else None)
-    if where is None:
+def shared_root(spark):
+    """The cluster's shared folder; only a local master may go without one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if where is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    return where or "file://" + tempfile.mkdtemp(prefix="marketlake-")
+
+
+def _run(df, mode="append"):
+    spark = df.sparkSession
+    before, out = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None), f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
     try:
-        out = f"{where}/{name}"
         if mode == "append":
             q = df.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/c").trigger(availableNow=True).start()
         else:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from marketlake.queries import market, portfolio, stores, text
+from marketlake.queries import market, more, portfolio, stores, text
 from marketlake.queries.base import Query
 
-QUERIES: dict[str, Query] = market.QUERIES | portfolio.QUERIES | stores.QUERIES | text.QUERIES
-ORACLE: dict[str, str] = market.ORACLE | portfolio.ORACLE | stores.ORACLE | text.ORACLE
+QUERIES: dict[str, Query] = market.QUERIES | portfolio.QUERIES | stores.QUERIES | text.QUERIES | more.QUERIES
+ORACLE: dict[str, str] = market.ORACLE | portfolio.ORACLE | stores.ORACLE | text.ORACLE | more.ORACLE
