@@ -11,8 +11,8 @@ import numpy as np
 _PLAIN_ONLY = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Letters before punctuation are a piece of their own: every pre-tokenizer here cuts between the two.
-_WORDS = re.compile(rf"[{_LETTERS}]+(?=[.,!?;:])|[^ \t-\r]+")
-_SPACED = re.compile(rf" ?[{_LETTERS}]+(?=[.,!?;:])| ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+_WORDS = re.compile(rf"[{_LETTERS}]++(?=[.,!?;: \t-\r])|[^ \t-\r]++")
+_SPACED = re.compile(rf" ?(?:[{_LETTERS}]++(?=[.,!?;: \t-\r])|[^ \t-\r]++)|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 
 
 def default_path(name: str) -> str:
