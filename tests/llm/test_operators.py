@@ -311,6 +311,33 @@ def test_secrets(spark, rows):
     assert secret_scan.scan(docs.limit(0)).count() == 0 and secret_scan.mask(docs).columns == docs.columns
 
 
+def test_secrets_among_natural_tokens(spark):
+    """Short generated tokens are found in every alphabet; identifiers, numbers, ruled lines and dates are not."""
+    rng = random.Random(21)
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"alnum": low + up + dig, "base64": low + up + dig + "+/", "base36": low + dig, "base32": up + "234567", "hex": dig + "ABCDEF"}
+    word = lambda: "".join(rng.choices(WORDS, k=rng.randint(2, 4)))
+    forms = [
+        lambda: "_".join(word() for _ in range(4)), lambda: "".join(word().capitalize() for _ in range(4)), lambda: "/".join(word() for _ in range(4)) + "/2024",
+        lambda: "-".join(word() for _ in range(4)) + f"-{rng.randint(0, 99)}", lambda: "".join(rng.choices(dig, k=24)), lambda: "=" * 40, lambda: "2024-01-22-10-33-44-" + "".join(rng.choices(dig, k=6)),
+    ]
+    natural = [(i, prose(rng, 60) + " " + forms[i % len(forms)]() + " " + "".join(rng.choices(WORDS, k=9)), "en") for i in range(420)]
+    planted = []
+    for n in (16, 20, 24, 32, 40, 48, 64):
+        for alphabet in kinds.values():
+            for _ in range(4):
+                key = "".join(rng.choices(alphabet, k=n))
+                planted.append((10_000 + len(planted), f"see {key} here", "en", n))
+    docs = table(spark, [*natural, *[p[:3] for p in planted]])
+    plain = re.compile(r"see ([A-Z]?[a-z]+|[A-Z]+) here")
+    for least in (16, 20):
+        got = {r["doc_id"]: r["random"] for r in secret_scan.scan(docs, least=least).select("doc_id", secret_scan.listed(F.col("random")).alias("random")).collect()}
+        asked = [p for p in planted if p[3] >= least and not plain.fullmatch(p[1])]
+        hit = [p for p in asked if got[p[0]] == f"random:4:{4 + p[3]}"]
+        assert len(hit) >= 0.97 * len(asked)
+        assert sum(bool(v) for i, v in got.items() if i < 10_000) <= 0.01 * len(hit) + 1
+
+
 @pytest.mark.parametrize("shard_bytes", [32_000_000, 5000])
 def test_lm_scores(spark, rows, shard_bytes):
     docs = table(spark, [*rows, (None, "the the", "en")])
