@@ -1,12 +1,12 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
-Each rule rejects documents whose measure exceeds a cutoff. In every stratum and for every rule, cutoffs are
-tested from the mildest to the strictest: a cutoff passes while the exact (Clopper-Pearson) upper bound of its false
-rejection rate, at a confidence shared out over all strata and rules (Bonferroni), stays below the rule's share of
-the allowed rate; testing stops at the first failure, so the sequence needs no further correction. Of the
-passing cutoffs the one with the best balance of bad and good documents rejected is used. Strata with
-too few labelled documents to certify anything are pooled into one; if that is too small as well, it
-rejects nothing beyond the base rules.
+Each rule rejects documents whose measure exceeds a cutoff. In every stratum half of its labelled documents choose: for each
+rule the cutoff with the best balance of bad and good documents rejected, and the order of the rules by that balance. The other
+half certifies: the sets of the first rule, the first two and so on are tested in turn. A set passes while the exact
+(Clopper-Pearson) upper bound of the share of good documents that any of its rules rejects, at a confidence shared
+out over the strata (Bonferroni), stays within the allowed risk; testing stops at the first failure, so the sequence needs no
+further correction. A stratum is judged by what was certified on its own documents alone: where nothing could be,
+or without labels, it rejects nothing beyond the base rules.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from pyspark.sql.types import StructType
 from marketlake.llm.shared import hash_windows, hash_words, materialize
 
 SYMBOLS = b"#*$%&|<>"
-#: The stratum of all strata that are too small on their own.
-POOLED = "*"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_distinct")
 
@@ -116,46 +114,69 @@ def binomial_upper(k: int, n: int, delta: float) -> float:
     return hi
 
 
-def choose(good: list[int], bad: list[int], n_good: int, allowed: float, delta: float, cost: float) -> int | None:
-    """Which of the cutoffs to use, given how many good and bad documents each rejects; None: none is certified."""
-    best, found = 0.0, None
+def choose(good: list[int], bad: list[int], n_good: int, risk: float, cost: float) -> tuple[float, int] | None:
+    """The best balance and the cutoff that has it, given how many good and bad documents each rejects; None: no cutoff is of use."""
+    best = None
     for i, (g, b) in enumerate(zip(good, bad, strict=True)):
-        if g > allowed * n_good or binomial_upper(g, n_good, delta) > allowed:
-            break
-        if b - cost * g > best:
-            best, found = b - cost * g, i
-    return found
+        if g <= risk * n_good and b - cost * g > (best[0] if best else 0.0):
+            best = b - cost * g, i
+    return best
+
+
+Cutoffs = dict[str, dict[str, float]]
 
 
-def fit_cutoffs(table: DataFrame, labels: DataFrame, label_id: str, label_col: str, risk: float, delta: float, cost: float) -> tuple[dict[str, dict[str, float]], list[str]]:
-    """rule -> stratum -> cutoff, from the measures of all labelled documents; the strata that stand on their own."""
-    allowed = risk / len(RULES)
-    enough = math.log(len(RULES) / delta) / allowed
+def fit_cutoffs(table: DataFrame, labels: DataFrame, label_id: str, label_col: str, risk: float, delta: float, cost: float) -> Cutoffs:
+    """rule -> stratum -> cutoff, from the measures of all labelled documents."""
     marks = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null")
     marks = marks.groupBy("id").agg(F.min("label").alias("label"))
-    seen = table.filter("n_words > 0").join(marks, "id")
+    half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    seen = table.filter("n_words > 0").join(marks, "id").withColumn("certify", half)
     above = [
         sum((F.coalesce(_ratio(m) > c, F.lit(False)).cast("int") for c in cuts), F.lit(0)).alias(rule)
         for rule, (m, cuts) in RULES.items()
     ]
-    stacked = seen.select("stratum", "label", *above).unpivot(["stratum", "label"], list(RULES), "rule", "passed")
-    # at most labels / enough strata reach the driver: the small ones are one
-    sizes = seen.groupBy("stratum").agg(F.count_if(F.col("label") == 1).alias("own"))
-    named = sizes.withColumn("known", F.when(F.col("own") >= enough, F.col("stratum")).otherwise(F.lit(POOLED)))
-    counts = stacked.join(named.drop("own"), "stratum").groupBy(F.col("known").alias("stratum"), "rule", "passed", "label").count().collect()
-    goods = {s: sum(r["count"] for r in counts if r["stratum"] == s and r["label"] == 1) // len(RULES) for s in {r["stratum"] for r in counts}}
-    n_strata = len(goods) or 1
-    out: dict[str, dict[str, float]] = {rule: {} for rule in RULES}
-    for stratum, n in goods.items():
+    seen = seen.select("stratum", "label", "certify", *above)
+    # strata too small for the bound to hold even if no good document is rejected stay out: at most labels / that number reach the driver
+    least = math.log(1 / delta) / risk
+    sizes = seen.filter("label = 1 and certify").groupBy("stratum").count().filter(F.col("count") >= least)
+    certifying = {r["stratum"]: r["count"] for r in sizes.collect()}
+    seen = seen.filter(F.col("stratum").isin(list(certifying)))
+    counts = seen.filter("not certify").unpivot(["stratum", "label"], list(RULES), "rule", "passed").groupBy("stratum", "rule", "passed", "label").count().collect()
+    by: dict[tuple[str, str], list] = {}
+    for r in counts:
+        by.setdefault((r["stratum"], r["rule"]), []).append(r)
+    ranked: dict[str, list[tuple[str, int]]] = {}
+    for stratum in certifying:
+        found = []
         for rule, (_, cuts) in RULES.items():
-            own = [r for r in counts if r["stratum"] == stratum and r["rule"] == rule]
+            own = by.get((stratum, rule), [])
             # cutoffs fall, so a document that exceeds j of them exceeds the last j
             rejects = lambda i, label: sum(r["count"] for r in own if r["label"] == label and r["passed"] >= len(cuts) - i)  # noqa: E731, B023
             good, bad = ([rejects(i, label) for i in range(len(cuts))] for label in (1, 0))
-            at = choose(good, bad, n, allowed, delta / (n_strata * len(RULES)), cost)
+            at = choose(good, bad, sum(r["count"] for r in own if r["label"] == 1), risk, cost)
             if at is not None:
-                out[rule][stratum] = cuts[at]
-    return out, sorted(set(goods) - {POOLED})
+                found.append((-at[0], rule, at[1]))
+        ranked[stratum] = [(rule, i) for _, rule, i in sorted(found)]
+    out: Cutoffs = {rule: {} for rule in RULES}
+    if not any(ranked.values()):
+        return out
+    # for each good document of the certifying half the place of the first rule that rejects it
+    places = []
+    for rule, (_, cuts) in RULES.items():
+        own = {stratum: (len(cuts) - i, at) for stratum, rules in ranked.items() for at, (r, i) in enumerate(rules) if r == rule}
+        if own:
+            need, at = (F.create_map(*[F.lit(x) for stratum, pair in own.items() for x in (stratum, pair[k])]) for k in (0, 1))
+            places.append(F.when(F.col(rule) >= F.try_element_at(need, F.col("stratum")), F.try_element_at(at, F.col("stratum"))))
+    first = F.array_min(F.array(*places, F.lit(len(RULES))))
+    hits = seen.filter("certify and label = 1").groupBy("stratum", first.alias("first")).count().collect()
+    for stratum, rules in ranked.items():
+        for at, (rule, i) in enumerate(rules):
+            rejected = sum(r["count"] for r in hits if r["stratum"] == stratum and r["first"] <= at)
+            if binomial_upper(rejected, certifying[stratum], delta / len(certifying)) > risk:
+                break
+            out[rule][stratum] = RULES[rule][1][i]
+    return out
 
 
 def _ratio(measured: str, at: Callable[[str], str] = str) -> Column:
@@ -164,18 +185,13 @@ def _ratio(measured: str, at: Callable[[str], str] = str) -> Column:
     return 1 - share if head.startswith("1 - ") else share
 
 
-Cutoffs = tuple[dict[str, dict[str, float]], list[str]]
-
-
 def _verdict(cutoffs: Cutoffs, stratum: Column, at: Callable[[str], str], min_words: int, repeat_percent: int) -> tuple[Column, Column]:
     """(base_failed, rules that fail); ``at`` gives the column that holds a count."""
-    by_rule, own = cutoffs
-    known = F.when(stratum.isin(own), stratum).otherwise(F.lit(POOLED))
     failed = []
-    for rule, by in by_rule.items():
+    for rule, by in cutoffs.items():
         if by:
             lookup = F.create_map(*[F.lit(x) for pair in sorted(by.items()) for x in pair])
-            cutoff = F.coalesce(F.try_element_at(lookup, known), F.lit(float("inf")))
+            cutoff = F.coalesce(F.try_element_at(lookup, stratum), F.lit(float("inf")))
             failed.append(F.when(_ratio(RULES[rule][0], at) > cutoff, F.lit(rule)))
     rules = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
     words, repeats = F.col(at("n_words")), F.col(at("n_repeat_words"))
@@ -199,7 +215,7 @@ def quality_rules(
     """One row for each row of ``docs``: id, stratum, all counts, base_failed, rules (those that fail), kept.
 
     Over all rules together at most a share ``risk`` of a stratum's good documents is rejected, with confidence
-    1 - delta over all strata. Null and empty texts have no words and fail the base. Rows without an id or
+    1 - delta over all strata; strata without enough labels for that fail by the base rules alone. Null and empty texts have no words and fail the base. Rows without an id or
     a label are judged like others but teach nothing; an id labelled twice counts once, as bad if any label is 0.
     Equal rows are judged alike. Other columns are ignored; empty tables give an empty result or no rules.
     """

@@ -178,6 +178,23 @@ def test_quality_rules(spark, rows):
     assert not any(r["rules"] for r in quality_rules.quality_rules(docs, labels.limit(0)).collect())
 
 
+def test_quality_rules_of_each_stratum_alone(spark):
+    """Small strata certify their own cutoffs; strata without labels, or with too few, lose nothing to what others taught."""
+    rng = random.Random(12)
+    docs, labels = [], []
+    for g in ("aa", "bb", "cc", "dd"):
+        for i in range(360):
+            docs.append((len(docs), prose(rng, 60) if i < 300 else prose(rng, 60).upper(), g))
+            labels.append((docs[-1][0], int(i < 300)))
+    for i in range(60):
+        docs.append((len(docs), prose(rng, 60).upper(), "few" if i % 3 == 0 else "none" if i % 3 == 1 else None))
+        if i % 3 == 0:
+            labels.append((docs[-1][0], 1))
+    out = quality_rules.quality_rules(table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    kept = {r["doc_id"]: not r["rules"] for r in out}
+    assert all(kept[i] == (t.islower() or g not in ("aa", "bb", "cc", "dd")) for i, t, g in docs)
+
+
 def test_binomial_bound():
     assert quality_rules.binomial_upper(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100))
     assert quality_rules.binomial_upper(5, 5, 0.05) == 1.0
