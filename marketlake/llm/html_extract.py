@@ -3,8 +3,10 @@
 The standard library's parser streams over a page. Every block element makes a line, with its text, the
 number of tags met in it and the section it stands in. The ratio of characters to tags is smoothed over
 neighbouring lines with a Gaussian; lines above a threshold (a share of the standard deviation) form clusters, the
-content regions. The section that holds most of their text is the article, and all of its lines that are not
-marked as menu, header, footer, sidebar, notice, advert, form or comment are its blocks.
+content regions. The article is what stands in <article> and <main> if that is most of the regions' text, or else the
+smallest section that covers the regions but for a small share of their text; all of its lines that are not
+marked as menu, header, footer, sidebar, notice, advert, form or comment are its blocks. A mark by a class or id does not
+count on an element that holds most of the page's text, such as a wrapper named with-sidebar.
 """
 
 from __future__ import annotations
@@ -36,18 +38,20 @@ _CLOSES |= {t: {"p"} for t in _BLOCK if t not in _CLOSES and t not in ("td", "th
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, section, dropped) for each block; sections are numbered, with their parents kept."""
+    """Collects (text, tags, section, dropped, marks) for each block; sections are numbered, with their parents kept. ``marks``
+    are the numbers of the elements around it that a class or id marks as no content."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
         self.sections: list[tuple[str, int]] = [("", -1)]
-        self.stack: list[tuple[str, bool, int]] = []
+        self.stack: list[tuple[str, bool, int, tuple[int, ...]]] = []
+        self.marked = 0
         self.text: list[str] = []
         self.tags = 0
 
-    def _at(self) -> tuple[bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, 0)
+    def _at(self) -> tuple[bool, int, tuple[int, ...]]:
+        return self.stack[-1][1:] if self.stack else (False, 0, ())
 
     def updatepos(self, i: int, j: int) -> int:
         """Line numbers are not needed."""
@@ -59,12 +63,12 @@ class Lines(HTMLParser):
             return
         words = " ".join("".join(self.text).split())
         if words:
-            dropped, section = self._at()
-            self.lines.append((words, self.tags, section, dropped))
+            dropped, section, marks = self._at()
+            self.lines.append((words, self.tags, section, dropped, marks))
         self.text, self.tags = [], 0
 
     def _pop(self, at: int) -> None:
-        if any(tag in _BLOCK for tag, _, _ in self.stack[at:]):
+        if any(tag in _BLOCK for tag, *_ in self.stack[at:]):
             self.flush()
         del self.stack[at:]
 
@@ -83,24 +87,31 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in _VOID:
             return
-        dropped, section = self._at()
+        dropped, section, marks = self._at()
+        before = dropped or bool(marks)
         if not dropped:
-            dropped = tag in _DROP_TAG or self._named(tag, attrs)
+            dropped = tag in _DROP_TAG or self._hidden(tag, attrs)
+        if not dropped and self._named(tag, attrs):
+            marks = (*marks, self.marked)
+            self.marked += 1
         if tag in _SECTION:
             self.sections.append((tag, section))
             section = len(self.sections) - 1
-        if dropped and not self._at()[0]:
+        if dropped and not before or marks is not self._at()[2]:
             self.flush()
-        self.stack.append((tag, dropped, section))
+        self.stack.append((tag, dropped, section, marks))
 
     def _named(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in ("article", "main", "body", "html", "header"):
+            return False
+        return any(name in ("class", "id") and value and _DROP_NAME & set(re.split(r"[^a-z]+", value.lower())) for name, value in attrs)
+
+    def _hidden(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in ("article", "main", "body", "html"):
             return False
         if tag == "header":
-            return not any(t == "article" for t, _, _ in self.stack)
+            return not any(t == "article" for t, *_ in self.stack)
         for name, value in attrs:
-            if name in ("class", "id") and value and _DROP_NAME & set(re.split(r"[^a-z]+", value.lower())):
-                return True
             if name == "role" and value and value.lower() in _DROP_ROLE:
                 return True
             if name in ("hidden", "aria-hidden") and value in (None, "", "true", "hidden"):
@@ -111,7 +122,7 @@ class Lines(HTMLParser):
         self.tags += 1
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] == tag:
-                if self.stack[at][1]:
+                if self.stack[at][1] or self.stack[at][3]:
                     self.flush()
                 self._pop(at)
                 return
@@ -131,7 +142,31 @@ def smooth(values: list[float], sigma: float) -> list[float]:
     return out
 
 
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
+def _unmarked(lines: list[tuple[str, int, int, bool, tuple[int, ...]]], named: set[int]) -> list[tuple[str, int, int, bool]]:
+    """Lines with marks settled: one counts unless its element holds most of the text that nothing else rules out, and no
+    other text stands in an article or main (``named`` sections)."""
+    total, own, in_named, own_named = 0, {}, 0, {}
+    for text, _, section, dropped, marks in lines:
+        if not dropped:
+            total += len(text)
+            in_named += section in named
+            for m in marks:
+                own[m] = own.get(m, 0) + len(text)
+                own_named[m] = own_named.get(m, 0) + (section in named)
+    void = {m for m, n in own.items() if 2 * n > total and own_named[m] == in_named}
+    return [(text, tags, section, dropped or not void.issuperset(marks)) for text, tags, section, dropped, marks in lines]
+
+
+def _below(sections: list[tuple[str, int]], tops: set[int]) -> set[int]:
+    """The given sections and all inside of them."""
+    inside = set(tops)
+    for s, (_, parent) in enumerate(sections):  # parents come first
+        if parent in inside:
+            inside.add(s)
+    return inside
+
+
+def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, rest: float = 0.05) -> str:
     """The blocks of the article, joined by newlines; empty where there is none."""
     if not html:
         return ""
@@ -139,7 +174,8 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
+    named = _below(parser.sections, {s for s, (tag, _) in enumerate(parser.sections) if tag in ("article", "main")})
+    lines = _unmarked(parser.lines, named)
     kept = [i for i, line in enumerate(lines) if not line[3]]
     if not kept:
         return ""
@@ -148,21 +184,22 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5) -> str:
     mean = sum(even) / len(even)
     threshold = share * math.sqrt(sum((x - mean) ** 2 for x in even) / len(even))
     content = [i for i in kept if even[i] >= threshold] or kept
+    total = sum(len(lines[i][0]) for i in content)
+    inner = [i for i in content if lines[i][2] in named]
+    if inner and 2 * sum(len(lines[i][0]) for i in inner) >= total:
+        # what stands outside of article and main is no content where they hold most of it
+        content, kept = inner, [i for i in kept if lines[i][2] in named]
+        total = sum(len(lines[i][0]) for i in content)
     weight: dict[int, int] = {}
     for i in content:
         at = lines[i][2]
         while at >= 0:
             weight[at] = weight.get(at, 0) + len(lines[i][0])
             at = parser.sections[at][1]
-    total = sum(len(lines[i][0]) for i in content)
-    # the article is the deepest named section, or else the deepest of any kind, that holds most of the content
-    named = [s for s in weight if parser.sections[s][0] in ("article", "main") and 2 * weight[s] >= total]
-    most = [s for s in weight if 2 * weight[s] >= total]
-    best = max(named or most)
-    inside = {best}
-    for s in range(best + 1, len(parser.sections)):
-        if parser.sections[s][1] in inside:
-            inside.add(s)
+    # the deepest named section, or else the deepest of any kind, that covers all content but a small share
+    covers = [s for s in weight if weight[s] >= (1 - rest) * total]
+    best = max([s for s in covers if parser.sections[s][0] in ("article", "main")] or covers)
+    inside = _below(parser.sections, {best})
     return "\n".join(lines[i][0] for i in kept if lines[i][2] in inside)
 
 

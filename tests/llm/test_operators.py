@@ -220,6 +220,22 @@ def test_html(spark):
     assert html_extract.main_text(plain).startswith("long text") and "c d" not in html_extract.main_text(plain)
 
 
+def test_html_keeps_every_content_region():
+    part = lambda word, n: f"<p>{(word + ' text ') * n}</p>" * 4
+    both = lambda page: [html_extract.main_text(page).count(w) for w in ("first", "second")]
+    nav = "<nav><a>a</a></nav><div class='menu'><a>m</a> <a>n</a></div>"
+    for tag in ("div", "section", "article"):
+        for body in ("body", "main"):
+            assert both(f"<html>{nav}<{body}><{tag}>{part('first', 30)}</{tag}><{tag}>{part('second', 20)}</{tag}></{body}><footer>f</footer>") == [120, 80]
+    for name in ("with-sidebar", "has-footer"):
+        page = f"<body><div class='{name}'><div>{part('first', 30)}</div><div class='sidebar'>{part('side', 5)}</div></div><div>x</div></body>"
+        got = html_extract.main_text(page)
+        assert got.count("first") == 120 and "side" not in got
+    # comments longer than a marked article stay out
+    page = f"<body><article>{part('first', 10)}</article><div id='comments'>{part('second', 40)}</div></body>"
+    assert both(page) == [40, 0]
+
+
 def brute_hits(t, items):
     low = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or "")
     cut = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(s))
