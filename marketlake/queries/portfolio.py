@@ -245,24 +245,25 @@ add("ox06_pov", lambda s, d: ox.pov_schedule(_parents(s, d).withColumn("quantity
 
 
 # search
-def _grid(spark, d):
-    """Crosses of each pair of periods backtested on the first 70 % of the days, best by final value of the training part."""
-    b = bars_events(spark, d)
+def _grid(spark, b):
+    """The bars with the crosses of each pair of periods."""
     grid = op.param_grid(spark, {"fast": op.range_values(3, 7, 2), "slow": op.range_values(values=[10, 20])})
     b = b.withColumns({f"m{n}": fx.sma("close", n) for n in (3, 5, 7, 10, 20)})
     pick = lambda c: F.element_at(F.create_map(*[x for n in (3, 5, 7, 10, 20) for x in (F.lit(float(n)), F.col(f"m{n}"))]), F.col(c))
     x = b.join(F.broadcast(grid), how="cross").withColumns({"f": pick("fast"), "s": pick("slow")})  # parameters are few; each average is computed once
-    keys = ["trial", "fast", "slow", "symbol"]
     w = Window.partitionBy("trial", "symbol").orderBy("ts")
     up = F.coalesce((F.lag("f").over(w) <= F.lag("s").over(w)) & (F.col("f") > F.col("s")), F.lit(False))
     down = F.coalesce((F.lag("f").over(w) >= F.lag("s").over(w)) & (F.col("f") < F.col("s")), F.lit(False))
-    x = x.withColumn("signal", F.when(up, 1.0).when(down, -1.0).otherwise(0.0))
-    train = x.filter(F.col("ts") < F.lit("2024-01-22").cast("timestamp_ntz"))
-    score = bt.backtest_single(train, "signal", keys).groupBy("trial", "fast", "slow").agg(F.avg(F.col("total_value")).alias("train_score"))
-    return op.best_params(score)
+    return x.select("trial", "fast", "slow", "symbol", "ts", "close", F.when(up, 1.0).when(down, -1.0).otherwise(0.0).alias("signal"))
 
 
-add("opt03_grid_search", lambda s, d: rounded(_grid(s, d), 3))
+def _walk(spark, d):
+    b = bars_orders(spark, d)
+    return op.walk_forward_search(_grid(spark, b), cal.trading_days(b), 60, 20, ["fast", "slow"])
+
+
+add("opt03_grid_search", lambda s, d: rounded(op.best_params(op.grid_search(_grid(s, bars_events(s, d)), ["fast", "slow"])), 3))
+add("opt05_walk_forward_search", lambda s, d: rounded(_walk(s, d), 3))
 add("opt01_param_grid", lambda s, d: op.param_grid(s, {"a": op.range_values(1, 3, 0.5), "b": op.range_values(2, 4)}).join(table(s, d, "region").limit(1).select(), how="cross").withColumn("trial", F.col("trial").cast("long")), "SELECT a, 3.0::DOUBLE AS b, row_number() OVER (ORDER BY a) - 1 AS trial FROM (SELECT unnest([1.0, 1.5, 2.0, 2.5, 3.0])::DOUBLE AS a)")
 add("opt04_walk_forward", lambda s, d: op.walk_forward(cal.trading_days(bars_orders(s, d)), 60, 20).withColumn("window_id", F.col("window_id").cast("long")), f"WITH {BO}, n AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM bo)) SELECT CAST(a.i // 20 AS BIGINT) AS window_id, a.day AS train_start, b.day AS train_end, c.day AS test_start, e.day AS test_end FROM n a JOIN n b ON b.i = a.i + 59 JOIN n c ON c.i = a.i + 60 JOIN n e ON e.i = a.i + 79 WHERE a.i % 20 = 0")
 add("so01_universe_union", lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("code")).union(table(s, d, "supplier").select("s_nationkey")).distinct().orderBy("code"), "SELECT c_nationkey AS code FROM customer UNION SELECT s_nationkey FROM supplier")
