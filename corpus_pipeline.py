@@ -34,8 +34,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents become pieces of sequences of 1024 tokens."""
-    return packing.pack(docs, default_path("byte_bpe_50k.json"), split="spaces", with_ids=False)
+    """Documents become pieces of sequences of 1024 tokens, with their token ids."""
+    return packing.pack(docs, default_path("byte_bpe_50k.json"), split="spaces")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -1,0 +1,35 @@
+"""The pipeline on a small corpus whose result is known."""
+
+from __future__ import annotations
+
+import collections
+import random
+
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from marketlake.llm.encode import default_path
+
+SYLLABLES = "the of and thing er ion est ha re on in at ble ou wh".split()
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choices(SYLLABLES, k=rng.randint(2, 4))) for _ in range(n))
+
+
+def test_run_packs_what_the_stages_leave(spark, tmp_path):
+    rng = random.Random(6)
+    passage = prose(rng, 20)
+    docs = {i: prose(rng, 80 + 40 * i) for i in range(12)}
+    want = dict(docs)
+    docs |= {20: docs[1], 21: "too short", 22: prose(rng, 60) + " " + passage + " " + prose(rng, 60)}
+    secret = prose(rng, 70)
+    docs[23], want[23] = secret + " password=hunter22 end", secret + " [SECRET] end"
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    library = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
+    got = collections.defaultdict(list)
+    for r in sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r["start"]):
+        got[r["doc_id"]] += r["ids"]
+    assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in want.items()}
