@@ -7,8 +7,8 @@ import re
 
 import numpy as np
 
-#: White space that the tokenizers' and Python's patterns may see differently, and marks of special tokens.
-_PLAIN_ONLY = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
+#: White space that the tokenizers' and Python's patterns may see differently; such texts, and those with marks of special tokens, are encoded whole.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Letters before punctuation are a piece of their own: every pre-tokenizer here cuts between the two.
 _WORDS = re.compile(rf"[{_LETTERS}]++(?=[.,!?;: \t-\r])|[^ \t-\r]++")
@@ -29,46 +29,31 @@ class Encoder:
     same ids wherever it stands. Texts are cut where every such pre-tokenizer cuts, and each distinct piece is
     encoded once by the library and remembered. split: "words" where white space is dropped and letters are
     lower-cased (pieces are words), "spaces" where a space goes with the word behind it, None to encode whole texts.
-    Texts with white space beyond ASCII or with special tokens are encoded whole. About ``keep`` pieces are
-    remembered; beyond that the half that was used last stays.
+    Texts with white space beyond ASCII or with special tokens are encoded whole. Pieces are remembered in two
+    generations of at most ``keep`` each: a piece met again moves to the younger one, and the older one is dropped when that is full.
     """
 
-    def __init__(self, path: str, split: str | None, keep: int = 1_500_000) -> None:
+    def __init__(self, path: str, split: str | None, keep: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.split, self.keep = split, keep
-        self.known: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, dtype=np.uint32)
-        self.starts, self.sizes, self.last = (np.empty(1 << 14, dtype=np.int64) for _ in range(3))
-        self.used = self.now = 0
-
-    def _forget(self) -> None:
-        """Keep the half of the pieces that was used last."""
-        n = len(self.known)
-        stay = np.sort(np.argpartition(self.last[:n], n // 2)[n // 2 :])
-        pieces = list(self.known)
-        sizes = self.sizes[stay]
-        ends = np.cumsum(sizes)
-        self.flat = self.flat[np.repeat(self.starts[stay] - (ends - sizes), sizes) + np.arange(ends[-1])]
-        self.known = {pieces[i]: at for at, i in enumerate(stay.tolist())}
-        self.starts, self.sizes, self.last = ends - sizes, sizes, self.last[stay]
-        self.used = int(ends[-1])
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        for piece, ids in zip(pieces, self._whole(pieces), strict=True):
-            at, end = len(self.known), self.used + len(ids)
-            while end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            if at >= len(self.starts):
-                self.starts, self.sizes, self.last = (np.concatenate([a, np.empty_like(a)]) for a in (self.starts, self.sizes, self.last))
-            self.flat[self.used : end] = ids
-            self.starts[at], self.sizes[at], self.known[piece] = self.used, len(ids), at
-            self.used = end
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Make sure that the younger generation has all the pieces."""
+        if len(self.young) > self.keep:
+            self.old, self.young = self.young, {}
+        fresh = pieces.difference(self.young)
+        again = self.old.keys() & fresh
+        self.young.update((p, self.old[p]) for p in again)
+        new = list(fresh - again)
+        self.young.update(zip(new, self._whole(new), strict=True))
 
     def _pieces(self, text: str) -> list[str]:
         if self.split == "words":
@@ -77,29 +62,11 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """An array of uint32 ids for each text."""
-        if self.split is None:
-            return [np.array(ids, dtype=np.uint32) for ids in self._whole(texts)]
-        if len(self.known) > self.keep:
-            self._forget()
-        out: list[np.ndarray] = []
-        for text in texts:
-            if _PLAIN_ONLY.search(text):
-                out.append(np.array(self._whole([text])[0], dtype=np.uint32))
-                continue
-            pieces = self._pieces(text)
-            codes = list(map(self.known.get, pieces))
-            if None in codes:
-                self._learn(list({p for p, c in zip(pieces, codes, strict=True) if c is None}))
-                codes = list(map(self.known.get, pieces))
-            code = np.array(codes, dtype=np.int64)
-            self.now += 1
-            self.last[code] = self.now
-            sizes = self.sizes[code]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            at = np.repeat(self.starts[code] - (ends - sizes), sizes)
-            out.append(self.flat[at + np.arange(total)])
-        return out
+        cut = [None if self.split is None or "<|" in t or _ODD.search(t) else self._pieces(t) for t in texts]
+        self._learn(set().union(*[c for c in cut if c is not None]))
+        ids = self.young.__getitem__
+        raw = [self._whole([t])[0] if c is None else b"".join(map(ids, c)) for t, c in zip(texts, cut, strict=True)]
+        return [np.frombuffer(r, dtype="<u4") for r in raw]
 
 
 _ENCODERS: dict[tuple[str, str | None], Encoder] = {}
