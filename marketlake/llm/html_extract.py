@@ -3,9 +3,10 @@
 The standard library's parser streams over a page. Every block element makes a line, with its text, the
 number of tags met in it and the section it stands in. The ratio of characters to tags is smoothed over
 neighbouring lines with a Gaussian; lines above a threshold (a share of the standard deviation) form clusters, the
-content regions. The article is what stands in <article> and <main> if that is most of the regions' text, or else the
-smallest section that covers the regions but for a small share of their text; all of its lines that are not
-marked as menu, header, footer, sidebar, notice, advert, form or comment are its blocks. A mark by a class or id does not
+content regions. A section is content if most of its own text lies in clusters: then all of its lines are blocks, short ones too, and
+else none, such as a list of links that nothing marks. Where <article> and <main> hold most of the clusters' text, only they count,
+and of what is left the smallest section that covers all clusters but a small share of their text. Lines that are
+marked as menu, header, footer, sidebar, notice, advert, form or comment are never content. A mark by a class or id does not
 count on an element that holds most of the page's text, such as a wrapper named with-sidebar.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -33,25 +35,28 @@ _DROP_NAME = frozenset(
 )
 _DROP_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 #: A start tag of these ends an open element of the same group, as HTML allows to leave out end tags.
-_CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _CLOSES |= {t: {"p"} for t in _BLOCK if t not in _CLOSES and t not in ("td", "th", "tr", "html", "body")}
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, section, dropped, marks) for each block; sections are numbered, with their parents kept. ``marks``
-    are the numbers of the elements around it that a class or id marks as no content."""
+    """Collects (text, tags, section, dropped, mark) for each block. Sections are numbered, with their parents kept, and so are marks, the
+    elements that a class or id marks as no content; a line has the innermost of each, -1 for no mark. Every step takes a time that
+    does not depend on the depth of nesting."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, bool, int]] = []
         self.sections: list[tuple[str, int]] = [("", -1)]
-        self.stack: list[tuple[str, bool, int, tuple[int, ...]]] = []
-        self.marked = 0
+        self.marks: list[int] = []
+        self.stack: list[tuple[str, bool, int, int]] = []
+        self.blocks: list[int] = []
+        self.open: Counter[str] = Counter()
         self.text: list[str] = []
         self.tags = 0
 
-    def _at(self) -> tuple[bool, int, tuple[int, ...]]:
-        return self.stack[-1][1:] if self.stack else (False, 0, ())
+    def _at(self) -> tuple[bool, int, int]:
+        return self.stack[-1][1:] if self.stack else (False, 0, -1)
 
     def updatepos(self, i: int, j: int) -> int:
         """Line numbers are not needed."""
@@ -63,43 +68,45 @@ class Lines(HTMLParser):
             return
         words = " ".join("".join(self.text).split())
         if words:
-            dropped, section, marks = self._at()
-            self.lines.append((words, self.tags, section, dropped, marks))
+            dropped, section, mark = self._at()
+            self.lines.append((words, self.tags, section, dropped, mark))
         self.text, self.tags = [], 0
 
     def _pop(self, at: int) -> None:
-        if any(tag in _BLOCK for tag, *_ in self.stack[at:]):
+        if self.blocks and self.blocks[-1] >= at:
             self.flush()
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
+        for element in self.stack[at:]:
+            self.open[element[0]] -= 1
         del self.stack[at:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _BLOCK:
             self.flush()
-        if closes := _CLOSES.get(tag):
-            for at in range(len(self.stack) - 1, -1, -1):
-                if self.stack[at][0] in closes:
-                    self._pop(at)
-                    break
-                if self.stack[at][0] in _BLOCK:
-                    break
+        # end tags that are left out are those of the innermost open block
+        if (closes := _CLOSES.get(tag)) and self.blocks and self.stack[self.blocks[-1]][0] in closes:
+            self._pop(self.blocks[-1])
         self.tags += 1
         if tag == "br":
             self.text.append(" ")
         if tag in _VOID:
             return
-        dropped, section, marks = self._at()
-        before = dropped or bool(marks)
+        dropped, section, mark = before = self._at()
         if not dropped:
             dropped = tag in _DROP_TAG or self._hidden(tag, attrs)
         if not dropped and self._named(tag, attrs):
-            marks = (*marks, self.marked)
-            self.marked += 1
+            self.marks.append(mark)
+            mark = len(self.marks) - 1
         if tag in _SECTION:
             self.sections.append((tag, section))
             section = len(self.sections) - 1
-        if dropped and not before or marks is not self._at()[2]:
+        if dropped != before[0] or mark != before[2]:
             self.flush()
-        self.stack.append((tag, dropped, section, marks))
+        if tag in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.open[tag] += 1
+        self.stack.append((tag, dropped, section, mark))
 
     def _named(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in ("article", "main", "body", "html", "header"):
@@ -110,7 +117,7 @@ class Lines(HTMLParser):
         if tag in ("article", "main", "body", "html"):
             return False
         if tag == "header":
-            return not any(t == "article" for t, *_ in self.stack)
+            return not self.open["article"]
         for name, value in attrs:
             if name == "role" and value and value.lower() in _DROP_ROLE:
                 return True
@@ -120,12 +127,14 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                if self.stack[at][1] or self.stack[at][3]:
-                    self.flush()
-                self._pop(at)
-                return
+        if not self.open[tag]:
+            return
+        at = len(self.stack) - 1
+        while self.stack[at][0] != tag:
+            at -= 1
+        if self.stack[at][1] or self.stack[at][3] >= 0:
+            self.flush()
+        self._pop(at)
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
@@ -142,19 +151,26 @@ def smooth(values: list[float], sigma: float) -> list[float]:
     return out
 
 
-def _unmarked(lines: list[tuple[str, int, int, bool, tuple[int, ...]]], named: set[int]) -> list[tuple[str, int, int, bool]]:
+def _unmarked(parser: Lines, named: set[int]) -> list[tuple[str, int, int, bool]]:
     """Lines with marks settled: one counts unless its element holds most of the text that nothing else rules out, and no
     other text stands in an article or main (``named`` sections)."""
-    total, own, in_named, own_named = 0, {}, 0, {}
-    for text, _, section, dropped, marks in lines:
+    total, in_named = 0, 0
+    own, own_named = [0] * len(parser.marks), [0] * len(parser.marks)
+    for text, _, section, dropped, mark in parser.lines:
         if not dropped:
             total += len(text)
             in_named += section in named
-            for m in marks:
-                own[m] = own.get(m, 0) + len(text)
-                own_named[m] = own_named.get(m, 0) + (section in named)
-    void = {m for m, n in own.items() if 2 * n > total and own_named[m] == in_named}
-    return [(text, tags, section, dropped or not void.issuperset(marks)) for text, tags, section, dropped, marks in lines]
+            if mark >= 0:
+                own[mark] += len(text)
+                own_named[mark] += section in named
+    for m in range(len(own) - 1, -1, -1):  # outer marks come first
+        if (outer := parser.marks[m]) >= 0:
+            own[outer] += own[m]
+            own_named[outer] += own_named[m]
+    counts: list[bool] = []
+    for m, outer in enumerate(parser.marks):
+        counts.append(not (2 * own[m] > total and own_named[m] == in_named) or outer >= 0 and counts[outer])
+    return [(text, tags, section, dropped or mark >= 0 and counts[mark]) for text, tags, section, dropped, mark in parser.lines]
 
 
 def _below(sections: list[tuple[str, int]], tops: set[int]) -> set[int]:
@@ -166,6 +182,14 @@ def _below(sections: list[tuple[str, int]], tops: set[int]) -> set[int]:
     return inside
 
 
+def _home(sections: list[tuple[str, int]], named: set[int]) -> list[int]:
+    """The section by which a section's lines are judged: itself, but for cells of a table in an article or main what the table stands in."""
+    out: list[int] = []
+    for s, (tag, parent) in enumerate(sections):
+        out.append(out[parent] if tag == "td" and parent in named else s)
+    return out
+
+
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, rest: float = 0.05) -> str:
     """The blocks of the article, joined by newlines; empty where there is none."""
     if not html:
@@ -174,33 +198,36 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, rest: fl
     parser.feed(html)
     parser.close()
     parser.flush()
-    named = _below(parser.sections, {s for s, (tag, _) in enumerate(parser.sections) if tag in ("article", "main")})
-    lines = _unmarked(parser.lines, named)
+    sections = parser.sections
+    named = _below(sections, {s for s, (tag, _) in enumerate(sections) if tag in ("article", "main")})
+    lines, home = _unmarked(parser, named), _home(sections, named)
     kept = [i for i, line in enumerate(lines) if not line[3]]
     if not kept:
         return ""
-    ratios = [0.0 if dropped else len(text) / max(1, tags) for text, tags, _, dropped in lines]
-    even = smooth(ratios, sigma)
+    even = smooth([0.0 if dropped else len(text) / max(1, tags) for text, tags, _, dropped in lines], sigma)
     mean = sum(even) / len(even)
     threshold = share * math.sqrt(sum((x - mean) ** 2 for x in even) / len(even))
-    content = [i for i in kept if even[i] >= threshold] or kept
-    total = sum(len(lines[i][0]) for i in content)
-    inner = [i for i in content if lines[i][2] in named]
+    clusters = [i for i in kept if even[i] >= threshold] or kept
+    total = sum(len(lines[i][0]) for i in clusters)
+    inner = [i for i in clusters if lines[i][2] in named]
     if inner and 2 * sum(len(lines[i][0]) for i in inner) >= total:
         # what stands outside of article and main is no content where they hold most of it
-        content, kept = inner, [i for i in kept if lines[i][2] in named]
-        total = sum(len(lines[i][0]) for i in content)
-    weight: dict[int, int] = {}
-    for i in content:
-        at = lines[i][2]
-        while at >= 0:
-            weight[at] = weight.get(at, 0) + len(lines[i][0])
-            at = parser.sections[at][1]
+        clusters, kept = inner, [i for i in kept if lines[i][2] in named]
+    balance, weight = Counter(), [0] * len(sections)
+    for i in kept:
+        balance[home[lines[i][2]]] -= len(lines[i][0])
+    for i in clusters:
+        balance[home[lines[i][2]]] += 2 * len(lines[i][0])
+    for i in clusters:
+        if balance[home[lines[i][2]]] >= 0:
+            weight[lines[i][2]] += len(lines[i][0])
+    for s in range(len(sections) - 1, 0, -1):
+        weight[sections[s][1]] += weight[s]
     # the deepest named section, or else the deepest of any kind, that covers all content but a small share
-    covers = [s for s in weight if weight[s] >= (1 - rest) * total]
-    best = max([s for s in covers if parser.sections[s][0] in ("article", "main")] or covers)
-    inside = _below(parser.sections, {best})
-    return "\n".join(lines[i][0] for i in kept if lines[i][2] in inside)
+    covers = [s for s, w in enumerate(weight) if w >= (1 - rest) * weight[0]]
+    best = max([s for s in covers if sections[s][0] in ("article", "main")] or covers)
+    inside = _below(sections, {best})
+    return "\n".join(lines[i][0] for i in kept if lines[i][2] in inside and balance[home[lines[i][2]]] >= 0)
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", sigma: float = 1.0, share: float = 0.5) -> DataFrame:
@@ -212,7 +239,8 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", si
     are streamed through the parser one at a time.
     """
     rest = [c for c in pages.columns if c not in (html_col, text_col, "n_chars")]
-    picked = pages.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{html_col}`").cast("string").alias("__html"))
+    own = "html" + "_" * max(map(len, pages.columns))  # longer than any column of the input
+    picked = pages.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{html_col}`").cast("string").alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,5 +248,5 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", si
             arrays = [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], text_col, "n_chars"])
 
-    schema = picked.drop("__html").schema.add(text_col, "string").add("n_chars", "long")
+    schema = picked.drop(own).schema.add(text_col, "string").add("n_chars", "long")
     return picked.mapInArrow(run, schema)
