@@ -15,53 +15,81 @@ from marketlake.llm.encode import encoder
 
 
 
-def cut(n: int, capacity: int) -> list[int]:
-    """Piece lengths of a document of n tokens: whole capacities, then halves, quarters and so on of it."""
-    rest = n % capacity
-    return [capacity] * (n // capacity) + [1 << i for i in range(capacity.bit_length() - 1, -1, -1) if rest >> i & 1]
-
-
 class Bins:
-    """The bins of one worker. A piece of length capacity/j belongs to class j, whose bins hold exactly j pieces.
+    """The bins of one worker, by harmonic classes.
+
+    A document gives whole capacities, each a full sequence, and a tail of r tokens. Class j holds the tails with
+    capacity/(j+1) < r <= capacity/j, and a bin of it takes exactly j of them, so which bin a tail goes to depends on its
+    length alone. The gap that j tails leave is less than capacity/(j+1): the next tail is cut once to fill it
+    (or goes in whole), and only its remainder is classed. So at most one bin waits to be filled, and j + 1 documents make a
+    full sequence. At the end the open bins, less than one for each class, are put together the same way; the last
+    tokens, less than a capacity, make sequences whose lengths are powers of two. Nothing is padded.
 
-    Whatever a class holds without filling a bin waits for the end; what is left of all classes then fills
-    common bins in order of falling length, which leaves no gap since each length divides the longer ones, and
-    the last few pieces make sequences whose lengths are powers of two.
+    Pieces are (document, start, ids, tokens of the document).
     """
 
     def __init__(self, capacity: int, base: int) -> None:
         self.capacity, self.next = capacity, base
         self.open: dict[int, list[tuple]] = {}
+        self.waiting: list[tuple] = []
+        self.gap = 0
 
     def _sequence(self, pieces: list[tuple]) -> list[tuple]:
         out, at = [], 0
-        for p in pieces:
-            out.append((*p[:5], self.next, at, p[5]))
-            at += p[2]
+        for doc, start, ids, n in pieces:
+            out.append((doc, start, len(ids), zlib.crc32(ids), n, self.next, at, ids))
+            at += len(ids)
         self.next += 1
         return out
 
-    def add(self, piece: tuple) -> list[tuple]:
-        waiting = self.open.setdefault(piece[2], [])
-        waiting.append(piece)
-        if len(waiting) * piece[2] < self.capacity:
+    def add(self, doc: int | None, ids: np.ndarray) -> list[tuple]:
+        n, start, out = len(ids), 0, []
+        while n - start >= self.capacity:
+            out += self._sequence([(doc, start, ids[start : start + self.capacity], n)])
+            start += self.capacity
+        if start == n:
+            return out
+        if self.gap:
+            own = min(self.gap, n - start)
+            self.waiting.append((doc, start, ids[start : start + own], n))
+            self.gap -= own
+            start += own
+            if not self.gap:
+                out += self._sequence(self.waiting)
+        if start < n:
+            out += self._class(doc, start, ids, n)
+        return out
+
+    def _class(self, doc: int | None, start: int, ids: np.ndarray, n: int) -> list[tuple]:
+        j = self.capacity // (n - start)
+        own = self.open.setdefault(j, [])
+        own.append((doc, start, ids[start:], n))
+        if len(own) < j:
+            return []
+        del self.open[j]
+        self.gap = self.capacity - sum(len(p[2]) for p in own)
+        if self.gap:
+            self.waiting = own
             return []
-        del self.open[piece[2]]
-        return self._sequence(waiting)
+        return self._sequence(own)
 
     def close(self) -> list[tuple]:
-        left = [p for size in sorted(self.open, reverse=True) for p in self.open[size]]
-        total, out, at = sum(p[2] for p in left), [], 0
+        left = self.waiting if self.gap else []
+        left = left + [p for j in sorted(self.open) for p in self.open[j]]
+        total, out, at = sum(len(p[2]) for p in left), [], 0
         while total:
-            size = min(self.capacity, 1 << (total.bit_length() - 1))
-            total -= size
-            upto, got = at, 0
-            while got < size:
-                got += left[upto][2]
-                upto += 1
-            out += self._sequence(left[at:upto])
-            at = upto
-        self.open = {}
+            size = room = min(self.capacity, 1 << (total.bit_length() - 1))
+            total, own = total - size, []
+            while room:
+                doc, start, ids, n = left[at]
+                own.append((doc, start, ids[:room], n))
+                if len(ids) > room:
+                    left[at] = doc, start + room, ids[room:], n
+                else:
+                    at += 1
+                room -= len(own[-1][2])
+            out += self._sequence(own)
+        self.open, self.waiting, self.gap = {}, [], 0
         return out
 
 
@@ -77,10 +105,10 @@ def pack(
 ) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of all documents.
 
-    A document is its token ids and ``end_id``. It is cut into whole capacities and then into its binary
-    digits, so each class of the harmonic partition holds one length and a bin of class j is filled by j
-    pieces without a gap; ``capacity`` has to be a power of two. Every partition of the input fills bins of its own, with
-    no shuffle and with state of under ``capacity`` pieces a class; sequence ids carry the partition's number.
+    A document is its token ids and ``end_id``. It is cut into whole capacities, and its tail goes to the bins of its
+    harmonic class (``Bins``), at most cut once more to fill a bin's gap; ``capacity`` has to be a power of two. Every partition
+    of the input fills bins of its own, with no shuffle and with state of under a bin a class; sequence ids carry the
+    partition's number.
 
     A null or empty text is the end id alone. A null id stays null; equal rows are packed one by one. Other
     columns are ignored; an empty table gives no piece. A text of any length is streamed piece by piece.
@@ -94,7 +122,9 @@ def pack(
         cols = list(zip(*found, strict=True))
         arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=False)]
         if with_ids:
-            arrays.append(pa.array([x.astype(np.int32) for x in cols[7]], pa.list_(pa.int32())))
+            lengths = np.fromiter(map(len, cols[7]), dtype=np.int64, count=len(found))
+            ends = np.append(0, np.cumsum(lengths)).astype(np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cols[7]).astype(np.int32))))
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,11 +136,7 @@ def pack(
                 some = batch.column(0).slice(at, 64).to_pylist()
                 for doc, ids in zip(some, tool.encode(texts[at : at + 64]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    start = 0
-                    for size in cut(len(ids), capacity):
-                        own = ids[start : start + size]
-                        found += bins.add((doc, start, size, zlib.crc32(own), len(ids), own if with_ids else None))
-                        start += size
+                    found += bins.add(doc, ids)
                 if len(found) > 8192:
                     yield rows(found)
                     found = []
