@@ -70,29 +70,26 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-_PREFIX = "__quality_"
-
-
-def metrics(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with the counts of each text, in columns that start with __quality_."""
+def metrics(docs: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
+    """``docs`` with the counts of each text, in columns named by ``prefix`` and the count."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([measure(t) for t in batch.column(at).cast(pa.string()).to_pylist()], dtype=np.int64).reshape(-1, len(_METRICS))
             arrays = [*batch.columns, *[pa.array(np.ascontiguousarray(c)) for c in rows.T]]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *[_PREFIX + m for m in _METRICS]])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *[prefix + m for m in _METRICS]])
 
     schema = StructType(list(docs.schema.fields))
     for m in _METRICS:
-        schema = schema.add(_PREFIX + m, "long")
+        schema = schema.add(prefix + m, "long")
     return docs.mapInArrow(run, schema)
 
 
 def _table(docs: DataFrame, id_col: str, text_col: str, strata: str | None) -> DataFrame:
     stratum = F.coalesce(F.col(strata).cast("string"), F.lit("")) if strata else F.lit("")
     picked = docs.select(F.col(id_col).cast("long").alias("id"), stratum.alias("stratum"), F.col(text_col).cast("string").alias("text"))
-    return metrics(picked, "text").select("id", "stratum", *[F.col(_PREFIX + m).alias(m) for m in _METRICS])
+    return metrics(picked, "text").drop("text")
 
 
 def binomial_upper(k: int, n: int, delta: float) -> float:
@@ -136,7 +133,9 @@ def fit_cutoffs(table: DataFrame, labels: DataFrame, label_id: str, label_col: s
         sum((F.coalesce(_ratio(m) > c, F.lit(False)).cast("int") for c in cuts), F.lit(0)).alias(rule)
         for rule, (m, cuts) in RULES.items()
     ]
-    seen = seen.select("stratum", "label", "certify", *above)
+    # rows that share an id are one document, rejected where one of them is
+    least_of = [F.min(c).alias(c) for c in ("stratum", "label", "certify")]
+    seen = seen.select("id", "stratum", "label", "certify", *above).groupBy("id").agg(*least_of, *[F.max(rule).alias(rule) for rule in RULES])
     # strata too small for the bound to hold even if no good document is rejected stay out: at most labels / that number reach the driver
     least = math.log(1 / delta) / risk
     sizes = seen.filter("label = 1 and certify").groupBy("stratum").count().filter(F.col("count") >= least)
@@ -216,8 +215,8 @@ def quality_rules(
 
     Over all rules together at most a share ``risk`` of a stratum's good documents is rejected, with confidence
     1 - delta over all strata; strata without enough labels for that fail by the base rules alone. Null and empty texts have no words and fail the base. Rows without an id or
-    a label are judged like others but teach nothing; an id labelled twice counts once, as bad if any label is 0.
-    Equal rows are judged alike. Other columns are ignored; empty tables give an empty result or no rules.
+    a label are judged like others but teach nothing; an id labelled twice counts once, as bad if any label is 0, and so
+    does an id of several rows, as rejected if any of them is. Equal rows are judged alike. Other columns are ignored; empty tables give an empty result or no rules.
     """
     table = materialize(_table(docs, id_col, text_col, strata), "metrics")
     cutoffs = fit_cutoffs(table, labels, label_id, label_col, risk, delta, cost)
@@ -240,8 +239,9 @@ def keep_good(
     min_words: int = 50,
     repeat_percent: int = 50,
 ) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps; judged in place, without a shuffle."""
+    """The rows of ``docs``, with all their columns, whatever their names, that ``quality_rules`` keeps; judged in place, without a shuffle."""
     cutoffs = fit_cutoffs(materialize(_table(docs, id_col, text_col, strata), "metrics"), labels, label_id, label_col, risk, delta, cost)
     stratum = F.coalesce(F.col(strata).cast("string"), F.lit("")) if strata else F.lit("")
-    base, rules = _verdict(cutoffs, stratum, lambda m: _PREFIX + m, min_words, repeat_percent)
-    return metrics(docs, text_col).filter(~base & (F.size(rules) == 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = "_" * (1 + max(map(len, docs.columns)))  # no column of the input starts like that
+    base, rules = _verdict(cutoffs, stratum, lambda m: prefix + m, min_words, repeat_percent)
+    return metrics(docs, text_col, prefix).filter(~base & (F.size(rules) == 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
