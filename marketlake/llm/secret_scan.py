@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -49,37 +50,64 @@ _ENCODINGS = [
 _ONE_KIND = "^([a-z]+|[A-Z]+|[0-9]+|[^0-9A-Za-z]+)$"
 #: Probability that the next character is of the same kind (small, capital, digit, sign), and of each other kind.
 _STAY, _SWITCH = 0.85, 0.05
-#: Characters of each text that the statistics of language are taken from, and the share of uniform strings that the battery accepts.
-_READ, _ACCEPT = 400, 0.999
+#: The share of uniform strings that the battery accepts.
+_ACCEPT = 0.999
 _OPEN, _SHUT, _OTHER = "\ue000", "\ue001", "\ue002"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _found(text: Column, pattern: str) -> Column:
     """(s, e, m) of the leftmost non-overlapping matches, s and e in code points."""
     none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
     marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{_OPEN}$0{_SHUT}"))
-    parts = F.split(marked, f"[{_OPEN}{_SHUT}]", -1)
-    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("i"), none.alias("a"))
+    start = F.struct(F.lit(0).alias("p"), none.alias("a"))
+
+    def run(parts: Column) -> Column:
+        """Places of the matches in some parts, counted from the first of them: what stands before a match and the match in turn."""
+
+        def step(x: Column, i: Column) -> Column:
+            begin = x["p"] + F.length(F.element_at(parts, 2 * i + 1))
+            match = F.element_at(parts, 2 * i + 2)
+            end = begin + F.length(match)
+            return F.struct(end.alias("p"), F.concat(x["a"], F.array(F.struct(begin.alias("s"), end.alias("e"), match.alias("m")))).alias("a"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1), start, step)
 
-    def step(x: Column, part: Column) -> Column:
-        end = x["p"] + F.length(part)
-        hit = F.array(F.struct(x["p"].alias("s"), end.alias("e"), part.alias("m")))
-        return F.struct(end.alias("p"), (x["i"] + 1).alias("i"), F.when(x["i"] % 2 == 1, F.concat(x["a"], hit)).otherwise(x["a"]).alias("a"))
+    def all_runs(parts: Column) -> Column:
+        # runs of about the square root of their number, so that no long array grows match by match
+        many = F.floor(F.size(parts) / 2).cast("int")
+        stride = F.ceil(F.sqrt(many)).cast("int")
+        cuts = F.sequence(F.lit(0), F.ceil(many / stride).cast("int") - 1)
+        return F.transform(cuts, lambda r: _let(F.slice(parts, 2 * r * stride + 1, F.least(2 * stride, 2 * (many - r * stride))), run))
 
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(parts, start, step, lambda x: x["a"])).otherwise(none)
+    def joined(runs: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("p"), F.expr("cast(array() as array<int>)").alias("a"))
+        offsets = F.aggregate(runs, begin, lambda x, r: F.struct((x["p"] + r["p"]).alias("p"), F.concat(x["a"], F.array(x["p"])).alias("a")), lambda x: x["a"])
+
+        def moved(x: Column) -> Column:
+            return F.transform(x["run"]["a"], lambda m: F.struct((m["s"] + x["offset"]).alias("s"), (m["e"] + x["offset"]).alias("e"), m["m"].alias("m")))
+
+        return F.flatten(F.transform(F.arrays_zip(runs.alias("run"), offsets.alias("offset")), moved))
+
+    found = _let(F.split(marked, f"[{_OPEN}{_SHUT}]", -1), lambda parts: _let(all_runs(parts), joined))
+    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(none)
 
 
 def _language(docs: DataFrame, text_col: str) -> list[float]:
     """Natural logarithms of the probability of each character of _ALL, or of ones that follow the start (the last), after each character:
     a flat table. Small and capital letters share their statistics, a capital after a small letter starts a word."""
-    text = F.substring(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 1, _READ)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     words = F.filter(F.split(text, "[^A-Za-z0-9+/_=-]+"), lambda w: F.rlike(w, F.lit(_PLAIN)))
-    chars = F.split(F.lower("w"), "")
-    pairs = F.transform(chars, lambda c, i: F.concat(F.when(i > 0, F.element_at(chars, F.greatest(i, F.lit(1)))).otherwise(F.lit("^")), c))
-    rows = docs.select(F.explode(words).alias("w")).select(F.explode(pairs).alias("pair")).groupBy("pair").count().collect()  # 27 * 26 at most
+    distinct = docs.select(F.explode(words).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n"))
+    pairs = F.transform(F.sequence(F.lit(0), F.length("w") - 1), lambda i: F.substring(F.concat(F.lit("^"), F.col("w")), i + 1, F.lit(2)))
+    rows = distinct.select("n", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n")).collect()  # 27 * 26 at most
     counts = np.full((27, 26), 0.5)
     for r in rows:
-        counts[_LOWER.find(r["pair"][0]) % 27, _LOWER.index(r["pair"][1])] += r["count"]
+        counts[_LOWER.find(r["pair"][0]) % 27, _LOWER.index(r["pair"][1])] += r["n"]
     letters = counts / counts.sum(axis=1, keepdims=True)
     kind = [0] * 26 + [1] * 26 + [2] * 10 + [3] * len(_SIGNS)
     out = []
@@ -272,8 +300,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     base are the spans of the known patterns by start and then kind; random are tokens of ``least`` characters or
     more that overlap no base span and that the tests take for generated, at a false discovery rate of ``rate``; positions are
     code points, ends exclusive. Null and empty texts have no spans. Rows without an id and equal rows are
-    scanned one by one. Other columns are ignored. An empty table gives an empty result. Whole texts are scanned once; before it the
-    beginning of each is read for the statistics of language, after it only the matches are used.
+    scanned one by one. Other columns are ignored. An empty table gives an empty result. Whole texts are read twice, for the
+    statistics of language and for matches; after that only the matches are used.
     """
     kept = materialize(_matches(docs, text_col, [F.col(f"`{id_col}`").cast("long").alias("id")], _language(docs, text_col)), "matches")
     base = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
