@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,14 +33,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/marketlake-{uuid.uuid4().hex}/{name}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a scratch table in the shared folder and read it back: the lineage ends there."""
+    """Write ``df`` to a scratch table in the shared folder and read it back: the lineage ends there, and the shuffle files that
+    made the table are removed."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
+    path, before = scratch_path(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing will read again; a folder that the driver can't reach stays."""
+    for table in tables:
+        folder = table.inputFiles()[0].rsplit("/", 2)[0]  # one folder is one table
+        with contextlib.suppress(OSError, pa.ArrowInvalid):
+            where, name = fs.FileSystem.from_uri(folder)
+            where.delete_dir(name)
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z only) maximal runs of anything but space and \\x09-\\x0d, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

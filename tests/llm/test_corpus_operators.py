@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -267,6 +268,96 @@ def test_html_keeps_every_content_region():
     assert both(page) == [40, 0]
 
 
+def plain_text(html, sigma=1.0, share=0.5, rest=0.05):
+    """The content regions of a page from the parser's lines, by definition: every line looks at all elements around it."""
+    parser = html_extract.Lines()
+    parser.feed(html)
+    parser.close()
+    parser.flush()
+    sections, tag = parser.sections, lambda s: parser.sections[s][0]
+
+    def around(s):
+        return [s, *around(sections[s][1])] if s >= 0 else []
+
+    def marks(m):
+        return [m, *marks(parser.marks[m])] if m >= 0 else []
+
+    named = lambda line: any(tag(s) in ("article", "main") for s in around(line[2]))
+    free = [line for line in parser.lines if not line[3]]
+    size = lambda lines: sum(len(line[0]) for line in lines)
+    void = {m for m in range(len(parser.marks)) for own in [[x for x in free if m in marks(x[4])]] if 2 * size(own) > size(free) and [x for x in own if named(x)] == [x for x in free if named(x)]}
+    out = [bool(line[3] or set(marks(line[4])) - void) for line in parser.lines]
+    ratio = np.array([0.0 if o else len(line[0]) / max(1, line[1]) for line, o in zip(parser.lines, out, strict=True)])
+    reach = math.ceil(2 * sigma)
+    even = []
+    for at in range(len(ratio)):
+        near = np.arange(max(0, at - reach), min(len(ratio), at + reach + 1))
+        k = np.exp(-((near - at) ** 2) / (2 * sigma**2))
+        even.append((k * ratio[near]).sum() / k.sum())
+    kept = [i for i in range(len(out)) if not out[i]]
+    lines = parser.lines
+    high = [i for i in kept if even[i] >= share * np.std(even)] or kept
+    inner = [i for i in high if named(lines[i])]
+    if inner and 2 * size(lines[i] for i in inner) >= size(lines[i] for i in high):
+        high, kept = inner, [i for i in kept if named(lines[i])]
+
+    def home(s):
+        while tag(s) == "td" and any(tag(x) in ("article", "main") for x in around(sections[s][1])):
+            s = sections[s][1]
+        return s
+
+    judge = lambda i: 2 * size(lines[j] for j in high if home(lines[j][2]) == home(lines[i][2])) >= size(lines[j] for j in kept if home(lines[j][2]) == home(lines[i][2]))
+    content = [i for i in high if judge(i)]
+    weight = {s: size(lines[i] for i in content if s in around(lines[i][2])) for s in range(len(sections))}
+    covers = [s for s in weight if weight[s] >= (1 - rest) * weight[0]] if kept else []
+    best = max([s for s in covers if tag(s) in ("article", "main")] or covers, default=0)
+    return "\n".join(lines[i][0] for i in kept if judge(i) and best in around(lines[i][2]))
+
+
+def test_html_regions_by_definition():
+    rng, links = random.Random(8), 0
+    for _ in range(150):
+        def part(depth):
+            kind = rng.randrange(9)
+            if kind < 4 or depth > 3:
+                return f"<p>{prose(rng, rng.choice([1, 4, 30, 80]))}"
+            if kind == 4:
+                return "<ul>" + "".join(f"<li><a href=x>{prose(rng, 1)}</a>" for _ in range(rng.randint(2, 8))) + "</ul>"
+            if kind == 5:
+                return "<table><tr>" + "".join(f"<td>{prose(rng, 2)}" for _ in range(3)) + "</table>"
+            tag = rng.choice(["div", "section", "div class=sidebar", "div", "article", "nav", "main"])
+            return f"<{tag}>" + "".join(part(depth + 1) for _ in range(rng.randint(1, 5))) + f"</{tag.split()[0]}>"
+
+        page = "<body>" + "".join(part(0) for _ in range(rng.randint(1, 7)))
+        assert html_extract.main_text(page) == plain_text(page)
+        links += html_extract.main_text(page) != html_extract.main_text(page, share=0.0)
+    assert links > 20  # without its threshold the operator gives other texts
+
+
+def test_html_threshold_drops_unmarked_links():
+    long = "<p>" + "the of and thing " * 30
+    page = f"<body><article><h1>One</h1>{long}<p>Short.{long}<table><tr><td>1<td>2</table><div>{'<p><a href=x>on</a> <a href=y>in</a>' * 8}</div>{long}</article>"
+    got = html_extract.main_text(page)
+    assert "Short." in got and got.startswith("One") and "\n1\n2" in got and "on in" not in got
+    assert "on in" in html_extract.main_text(page, share=0.0)
+
+
+@pytest.mark.parametrize("piece", ["<div>x ", "<span>", "</b><i>x", "<div class=ad>x ", "<p>a b<p>", "<li><div>"])
+def test_html_takes_deep_nesting(piece):
+    """A page of 100,000 open elements is read in a time that grows with its length only."""
+    began = time.process_time()
+    html_extract.main_text(piece * 20_000)
+    small = time.process_time() - began
+    html_extract.main_text(piece * 100_000)
+    assert time.process_time() - began - small < 15 * small + 1
+
+
+def test_html_keeps_other_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a b", "old", 9, 1)], "page_id long, url string, html string, text string, n_chars long, __html long")
+    got = html_extract.extract(pages).collect()[0]
+    assert (got["page_id"], got["url"], got["text"], got["n_chars"], got["__html"]) == (1, "u", "a b", 3, 1)
+
+
 def brute_hits(t, items):
     low = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or "")
     cut = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(s))
@@ -402,35 +493,75 @@ def test_secrets_among_natural_tokens(spark):
         assert sum(bool(v) for i, v in got.items() if i < 10_000) <= 0.01 * len(hit) + 1
 
 
-@pytest.mark.parametrize("shard_bytes", [32_000_000, 5000])
-def test_lm_scores(spark, rows, shard_bytes):
-    docs = table(spark, [*rows, (None, "the the", "en")])
-    every = [(i, t or "") for i, t, _ in rows] + [(None, "the the")]
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+def brute_scores(every, held, order, single):
+    """(base, score) of each text by counting whole n-grams in dictionaries."""
     cut = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()), "end"]
-    one, two, texts = collections.Counter(), collections.Counter(), 0
+    counts = [collections.Counter() for _ in range(order)]
     for i, t in every:
         if not held(i):
-            w, texts = cut(t), texts + 1
-            one.update(w)
-            two.update(zip(["begin", *w], w, strict=False))
-    n, v, mass = sum(one.values()), len(one), 30.0
-    got = lm_score.lm_scores(docs, shard_bytes=shard_bytes).collect()
+            w = ["begin"] * (order - 1) + cut(t)
+            for at in range(order - 1, len(w)):
+                for d in range(order):
+                    counts[d][tuple(w[at - d : at + 1])] += 1
+    total, after, mass = sum(counts[0].values()), collections.Counter(), collections.Counter()
+    for d in range(1, order):
+        for gram, c in counts[d].items():
+            after[gram[:-1]] += c
+            mass[gram[:-1]] += c - 1 if c > 1 else single if d == 1 else 0
+    out = []
+    for _, t in every:
+        w, base, score = ["begin"] * (order - 1) + cut(t), 0.0, 0.0
+        for at in range(order - 1, len(w)):
+            p = (counts[0][w[at],] + 1) / (total + len(counts[0]) + 1)
+            base += math.log10(p)
+            for d in range(1, order):
+                gram = tuple(w[at - d : at + 1])
+                n, c = after[gram[:-1]], counts[d][gram]
+                if n:
+                    p = (c - 1 if c > 1 else c * (single if d == 1 else 0)) / n + (1 - mass[gram[:-1]] / n) * p
+            score += math.log10(p)
+        out.append((len(w) - order + 1, sum(counts[0][x,] > 0 for x in w[order - 1 :]), total, base, score))
+    return out
+
+
+@pytest.mark.parametrize(("order", "shard_tokens", "limit"), [(2, 4_000_000, 500_000), (3, 4_000_000, 500_000), (3, 1500, 700), (4, 3000, 2000)])
+def test_lm_scores(spark, rows, order, shard_tokens, limit):
+    docs = table(spark, [*rows, (None, "the the", "en")])
+    every = [(i, t or "") for i, t, _ in rows] + [(None, "the the")]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    got = lm_score.lm_scores(docs, order=order, shard_tokens=shard_tokens, limit=limit).collect()
     assert len(got) == len(every)
     by = {r["doc_id"]: r for r in got}
-    for i, t in every:
-        w, r = cut(t), by[i]
-        base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w)
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(w), sum(one[x] > 0 for x in w), n)
+    for (i, _), (n, known, total, base, exact) in zip(every, brute_scores(every, held, order, 0.01), strict=True):
+        r = by[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), n, known, total)
         assert r["base_score"] == pytest.approx(base)
-        exact, before = 0.0, "begin"
-        for x in w:
-            exact += math.log10((two[before, x] + mass * (one[x] + 1) / (n + v + 1)) / ((texts if before == "begin" else one[before]) + mass))
-            before = x
-        assert r["score"] == pytest.approx(exact, abs=0.016 * len(w))  # half a step of the quantisation
+        assert r["score"] == pytest.approx(exact, abs=0.016 * n + 0.02)  # half a step of the quantisation
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
 
 
+def test_lm_model_scores_other_texts(spark, rows):
+    """Training and scoring apart, over many shards, equal training and scoring at once; scores do not depend on shards and blocks."""
+    docs = table(spark, rows)
+    held = lm_score.train_part(F.col("doc_id"))
+    model = lm_score.train(docs.filter(~held), scratch_path(spark, "model"), shard_tokens=2000)
+    apart = sorted(map(tuple, lm_score.score(docs, model).select("doc_id", "n_known", "base_score", "score").collect()))
+    once = sorted(map(tuple, lm_score.lm_scores(docs).select("doc_id", "n_known", "base_score", "score").collect()))
+    assert model.shards > 1 and model.hot and len(apart) == len(once)
+    assert all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-3) for a, b in zip(apart, once, strict=True))
+
+
+def test_lm_tells_repeated_texts(spark):
+    """Texts that occur twice in training score above texts that occur once, trained on or not."""
+    rng = random.Random(9)
+    texts = [prose(rng, 150) for _ in range(300)]
+    docs = table(spark, [(i, t, "en") for i, t in enumerate(texts)] + [(1000 + i, texts[i], "en") for i in range(60)])
+    got = {r["doc_id"]: r for r in lm_score.lm_scores(docs).collect()}
+    twice = [got[i]["score"] / got[i]["n_tokens"] for i in range(60) if not got[i]["held_out"] and not got[1000 + i]["held_out"]]
+    once = [got[i]["score"] / got[i]["n_tokens"] for i in range(60, 300)]
+    assert len(twice) > 30 and min(twice) > max(once)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(3)
     for n, universe in ((0, 1), (1, 1), (5, 2**64), (1000, 5000), (3000, 2**40), (2000, 2**64)):
