@@ -3,27 +3,73 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Word lists of the rules below, in their given order.
-POSITIVE = "增长 大涨 飙升 盈利 扭亏 预增 超预期 创新高 突破 放量 强势 利好 提振 回升 反弹 复苏 繁荣 景气 扩张 加速 降准 降息 放水 宽松 支持 扶持 鼓励 减税 降费 刺激 利好政策 放量 看涨 买入 推荐 增持 乐观 信心 机会 低估值 价值洼地 黄金坑 抄底 回购 分红 送转 增持 中标 合同签订".split()
-NEGATIVE = "下跌 大跌 暴跌 亏损 预亏 爆雷 不及预期 新低 破位 缩量 利空 拖累 下滑 回落 衰退 萧条 萎缩 放缓 恶化 违约 暴雷 加息 收紧 去杠杆 处罚 立案 调查 退市 st 风险提示 监管 整顿 查封 看跌 卖出 减持 悲观 恐慌 逃离 踩踏 泡沫 崩盘 失守 危机 减持 质押 冻结 违约 逾期 仲裁 诉讼".split()
-INTENSIFIERS = {"大幅": 1.5, "明显": 1.3, "显著": 1.3, "略有": 0.5, "小幅": 0.5, "较为": 0.8, "极度": 1.8, "严重": 1.8, "强烈": 1.5}
-NEGATORS = "不 未 没有 并非 无 否 不会 未能 尚未".split()
+# Words of good news, in the given order.
+POSITIVE = [
+    "增长", "大涨", "飙升", "盈利", "扭亏", "预增", "超预期", "创新高", "突破", "放量", "强势", "利好", "提振", "回升", "反弹", "复苏", "繁荣", "景气",
+    "扩张", "加速", "降准", "降息", "放水", "宽松", "支持", "扶持", "鼓励", "减税", "降费", "刺激", "利好政策", "放量", "看涨", "买入", "推荐", "增持",
+    "乐观", "信心", "机会", "低估值", "价值洼地", "黄金坑", "抄底", "回购", "分红", "送转", "增持", "中标", "合同签订",
+]
+# Words of bad news, in the given order.
+NEGATIVE = [
+    "下跌", "大跌", "暴跌", "亏损", "预亏", "爆雷", "不及预期", "新低", "破位", "缩量", "利空", "拖累", "下滑", "回落", "衰退", "萧条", "萎缩", "放缓",
+    "恶化", "违约", "暴雷", "加息", "收紧", "去杠杆", "处罚", "立案", "调查", "退市", "st", "风险提示", "监管", "整顿", "查封", "看跌", "卖出",
+    "减持", "悲观", "恐慌", "逃离", "踩踏", "泡沫", "崩盘", "失守", "危机", "减持", "质押", "冻结", "违约", "逾期", "仲裁", "诉讼",
+]
+# Words that weigh the next one, with their weights.
+INTENSIFIERS = {
+    "大幅": 1.5, "明显": 1.3, "显著": 1.3, "略有": 0.5, "小幅": 0.5, "较为": 0.8, "极度": 1.8, "严重": 1.8, "强烈": 1.5,
+}
+# Words that turn the next one around.
+NEGATORS = [
+    "不", "未", "没有", "并非", "无", "否", "不会", "未能", "尚未",
+]
+# Event types in the given order, each with its keywords.
 KEYWORDS = {
-    "policy": "政策 监管 证监会 央行 降准 降息 加息 LPR 利率 存款准备金 逆回购 MLF 国常会 政治局 国务院 发改委 财政部 税务总局".split(),
-    "earnings": "财报 营收 净利润 业绩预告 快报 EPS 每股收益 同比增长 环比增长 扭亏 预增 预亏".split(),
-    "macro": "GDP CPI PPI PMI 社融 M2 M1 M0 出口 进口 贸易顺差 外汇储备 通胀 通缩 非农 失业率 消费者信心".split(),
-    "geo": "地缘 冲突 战争 制裁 关税 贸易战 中美 俄乌 中东 欧盟 北约 联合国 外交 大使 声明 抗议".split(),
-    "industry": "产业链 供应链 涨价 降价 产能 供需 新能源 光伏 锂电 芯片 半导体 AI 人工智能 大模型 医药 集采 房地产 基建".split(),
-    "company": "涨停 跌停 停牌 复牌 增持 减持 回购 分红 送转 配股 定增 并购 重组 借壳 退市 ST 立案 调查 处罚".split(),
-    "market": "大盘 沪指 深成指 创业板指 科创板 北向资金 主力资金 成交量 A股 港股 美股 牛市 熊市 震荡 反弹".split(),
-    "tech": "技术突破 研发 专利 创新 首发 芯片制程 光刻机 量子计算 无人驾驶".split(),
+    "policy": [
+        "政策", "监管", "证监会", "央行", "降准", "降息", "加息", "LPR", "利率", "存款准备金", "逆回购", "MLF", "国常会", "政治局", "国务院", "发改委",
+        "财政部", "税务总局",
+    ],
+    "earnings": [
+        "财报", "营收", "净利润", "业绩预告", "快报", "EPS", "每股收益", "同比增长", "环比增长", "扭亏", "预增", "预亏",
+    ],
+    "macro": [
+        "GDP", "CPI", "PPI", "PMI", "社融", "M2", "M1", "M0", "出口", "进口", "贸易顺差", "外汇储备", "通胀", "通缩", "非农", "失业率",
+        "消费者信心",
+    ],
+    "geo": [
+        "地缘", "冲突", "战争", "制裁", "关税", "贸易战", "中美", "俄乌", "中东", "欧盟", "北约", "联合国", "外交", "大使", "声明", "抗议",
+    ],
+    "industry": [
+        "产业链", "供应链", "涨价", "降价", "产能", "供需", "新能源", "光伏", "锂电", "芯片", "半导体", "AI", "人工智能", "大模型", "医药", "集采", "房地产",
+        "基建",
+    ],
+    "company": [
+        "涨停", "跌停", "停牌", "复牌", "增持", "减持", "回购", "分红", "送转", "配股", "定增", "并购", "重组", "借壳", "退市", "ST", "立案", "调查",
+        "处罚",
+    ],
+    "market": [
+        "大盘", "沪指", "深成指", "创业板指", "科创板", "北向资金", "主力资金", "成交量", "A股", "港股", "美股", "牛市", "熊市", "震荡", "反弹",
+    ],
+    "tech": [
+        "技术突破", "研发", "专利", "创新", "首发", "芯片制程", "光刻机", "量子计算", "无人驾驶",
+    ],
+}
+# Importance of each event type.
+IMPORTANCE = {
+    "geo": 0.9, "macro": 0.85, "policy": 0.8, "earnings": 0.7, "company": 0.65, "market": 0.6, "industry": 0.5,
+    "tech": 0.4, "other": 0.2,
+}
+# Names of companies with their codes; some have none.
+NAMES = {
+    "贵州茅台": "600519.SH", "中国平安": "601318.SH", "招商银行": "600036.SH", "宁德时代": "300750.SZ", "五粮液": "000858.SZ",
+    "比亚迪": "002594.SZ", "药明康德": "603259.SH", "隆基绿能": "601012.SH", "中信证券": "600030.SH", "东方财富": "300059.SZ",
+    "工商银行": "601398.SH", "建设银行": "601939.SH", "中国石油": "601857.SH", "中国移动": "600941.SH", "华为": "", "字节跳动": "",
 }
-IMPORTANCE = {"geo": 0.9, "macro": 0.85, "policy": 0.8, "earnings": 0.7, "company": 0.65, "market": 0.6, "industry": 0.5, "tech": 0.4, "other": 0.2}
-NAMES = {"贵州茅台": "600519.SH", "中国平安": "601318.SH", "招商银行": "600036.SH", "宁德时代": "300750.SZ", "五粮液": "000858.SZ", "比亚迪": "002594.SZ", "药明康德": "603259.SH", "隆基绿能": "601012.SH", "中信证券": "600030.SH", "东方财富": "300059.SZ", "工商银行": "601398.SH", "建设银行": "601939.SH", "中国石油": "601857.SH", "中国移动": "600941.SH", "华为": "", "字节跳动": ""}
 
 
 def tokenize(text: Column, terms: list[str]) -> Column:
@@ -68,13 +114,25 @@ def sentiment_labels(score: Column, magnitude: Column) -> Column:
 
 
 def event_types(text: Column, keywords: dict[str, list[str]] | None = None) -> Column:
-    """Types by falling number of their keywords that the text holds, ties in the given order; ["other"] for none."""
-    low, found = F.lower(F.coalesce(text, F.lit(""))), []
-    for order, (name, words) in enumerate((keywords or KEYWORDS).items()):
-        n = sum((F.contains(low, F.lit(w.lower())).cast("int") for w in words), F.lit(0))
-        found.append(F.when(n > 0, F.struct((-n).alias("n"), F.lit(order).alias("o"), F.lit(name).alias("name"))))
-    names = F.transform(F.array_sort(F.array_compact(F.array(*found))), lambda x: x["name"])
-    return F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("other")))
+    """Types by falling number of their keywords that the text holds, ties in the given order; ["other"] for none. The text is
+    lower-cased once, and each keyword is looked for once."""
+
+    def counted(low: Column) -> Column:
+        found = []
+        for order, (name, words) in enumerate((keywords or KEYWORDS).items()):
+            n = sum((F.contains(low, F.lit(w.lower())).cast("int") for w in words), F.lit(0))
+            found.append(F.struct((-n).alias("n"), F.lit(order).alias("o"), F.lit(name).alias("name")))
+        return F.array_sort(F.filter(F.array(*found), lambda x: x["n"] < 0))
+
+    def named(hits: Column) -> Column:
+        return F.when(F.size(hits) > 0, F.transform(hits, lambda x: x["name"])).otherwise(F.array(F.lit("other")))
+
+    return _once(_once(F.lower(F.coalesce(text, F.lit(""))), counted), named)
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def event_importance(types: Column) -> Column:

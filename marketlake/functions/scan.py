@@ -1,4 +1,4 @@
-"""Linear recurrences y[t] = c * y[t-1] + u[t] as windows, parallel inside a symbol."""
+"""Linear recurrences y[t] = c * y[t-1] + u[t] as windows."""
 
 from __future__ import annotations
 
@@ -8,30 +8,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-#: Blocks are so long that a carry shrinks to 1e-6 over one; four blocks back it is below a double's precision.
-_SHRINK, _BACK = 1e-6, 4
+#: Blocks are so long that a carry shrinks to 1e-8 over one, so what comes from beyond two blocks is below a double's precision.
+_SHRINK = 1e-8
 
 
 def linear_scan(df: DataFrame, key: str, order: str, u: str, c: float, out: str) -> DataFrame:
     """Adds ``out``, the recurrence over column ``u`` in order within each key; null u counts as 0.
 
-    Rows are cut into blocks. Inside a block z[j] = c^j * sum of u[i] * c^-i, a running sum; what a block carries on is its
-    last z and, shrunk by c^K each, those of the blocks before it. A long symbol is thus as parallel as many short
-    ones after one sort by key, and nothing is folded row by row.
+    Rows are cut into blocks. Inside a block z[j] = c^j * sum of u[i] * c^-i, a running sum; the last z of the block before it
+    and, shrunk by c^K, that of the one before are carried on by windows. All windows are partitioned by the key (or the key and
+    the block), so scans one after the other share one shuffle and need no join. A key is sorted in one task; nothing is folded
+    row by row.
     """
     if not 0 <= c < 1:
         raise ValueError("c must be in [0, 1)")
     if c == 0:
         return df.withColumn(out, F.col(u))
     k = max(1, int(math.log(_SHRINK) / math.log(c)))
-    rows = df.withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
-    rows = rows.withColumn("__b", F.floor(F.col("__i") / k)).withColumn("__j", F.col("__i") % k)
-    run = Window.partitionBy(key, "__b").orderBy("__j").rowsBetween(Window.unboundedPreceding, 0)
-    z = F.sum(F.coalesce(F.col(u), F.lit(0.0)) * F.pow(F.lit(c), -F.col("__j"))).over(run) * F.pow(F.lit(c), F.col("__j"))
-    rows = rows.withColumn("__z", z)
-    ends = rows.groupBy(key, "__b").agg(F.max_by("__z", "__j").alias("__e"))
-    w = Window.partitionBy(key).orderBy("__b")
-    carry = sum((F.coalesce(F.lag("__e", i).over(w), F.lit(0.0)) * c ** (k * (i - 1)) for i in range(1, _BACK + 1)), F.lit(0.0))
-    ends = ends.select(key, "__b", carry.alias("__c"))
-    done = rows.join(ends, [key, "__b"]).withColumn(out, F.col("__z") + F.pow(F.lit(c), F.col("__j") + 1) * F.col("__c"))
-    return done.drop("__i", "__b", "__j", "__z", "__c")
+    rows = df.withColumn("__scan_i", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+    rows = rows.withColumn("__scan_b", F.floor(F.col("__scan_i") / k)).withColumn("__scan_j", F.col("__scan_i") % k)
+    run = Window.partitionBy(key, "__scan_b").orderBy("__scan_j").rowsBetween(Window.unboundedPreceding, 0)
+    z = F.sum(F.coalesce(F.col(u), F.lit(0.0)) * F.pow(F.lit(c), -F.col("__scan_j"))).over(run) * F.pow(F.lit(c), F.col("__scan_j"))
+    before = Window.partitionBy(key).orderBy("__scan_i").rowsBetween(Window.unboundedPreceding, -1)
+    ends = lambda x: F.last(F.when(F.col("__scan_j") == k - 1, F.col(x)), True).over(before)
+    rows = rows.withColumn("__scan_z", z).withColumn("__scan_e", ends("__scan_z"))
+    rows = rows.withColumn("__scan_f", ends("__scan_e"))
+    carry = F.coalesce("__scan_e", F.lit(0.0)) + F.coalesce("__scan_f", F.lit(0.0)) * c**k
+    return rows.withColumn(out, F.col("__scan_z") + F.pow(F.lit(c), F.col("__scan_j") + 1) * carry).drop("__scan_i", "__scan_b", "__scan_j", "__scan_z", "__scan_e", "__scan_f")
