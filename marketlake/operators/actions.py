@@ -37,6 +37,11 @@ def derive_actions(plans: DataFrame, bars: DataFrame) -> DataFrame:
     return p.select("symbol", "action_date", F.explode(F.array_compact(rows)).alias("x")).select("symbol", "action_date", "x.*")
 
 
+def given_actions(rows: DataFrame) -> DataFrame:
+    """Suspensions and rights issues (symbol, action_date, type, value, adjust_factor) carried through with the factor as given, 1 where there is none."""
+    return rows.filter(F.col("type").isin("suspension", "rights")).select("symbol", "action_date", "type", "value", F.coalesce("adjust_factor", F.lit(1.0)).alias("adjust_factor"))
+
+
 def actions_in_range(actions: DataFrame, symbol: str | None, start: str, end: str) -> DataFrame:
     df = actions.filter(F.col("action_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     return df.filter(F.col("symbol") == symbol) if symbol else df

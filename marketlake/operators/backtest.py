@@ -74,6 +74,32 @@ def backtest_single(bars: DataFrame, signal: str, keys: list[str], cash: float =
     return nav.select(*keys, "ts", money.alias("cash"), held.cast("long").alias("position"), (money + held * F.col("close")).alias("total_value"))
 
 
+def batch_backtest(bars: DataFrame, strategies: DataFrame, cash: float = 1_000_000.0) -> DataFrame:
+    """(strategy, symbol, final_value, n, error) of average crosses (strategy, fast, slow) on every symbol, each on its own cash.
+
+    A strategy with bad periods has one row with its error, and the others run. Each average is a window over the arrays
+    of the last closes, as wide as the longest period; strategies are few.
+    """
+    wrong = F.when(F.coalesce(F.col("fast") <= 0, F.lit(True)) | F.coalesce(F.col("slow") <= 0, F.lit(True)), "period must be positive").when(F.col("fast") >= F.col("slow"), "fast period must be below slow")
+    checked = strategies.withColumn("error", wrong)
+    good = checked.filter("error is null")
+    longest = good.agg(F.max("slow")).first()[0] or 1
+    w = Window.partitionBy("symbol").orderBy("ts")
+    closes = bars.select("symbol", "ts", "close", F.collect_list("close").over(w.rowsBetween(-longest, 0)).alias("c"), F.row_number().over(w).alias("i"))
+
+    def mean(n: Column, back: int) -> Column:
+        """The mean of the n closes that end ``back`` rows before."""
+        part = F.slice("c", F.size("c") - back - n + 1, n)
+        return F.when(F.col("i") - back >= n, F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / n)
+
+    rows = closes.join(F.broadcast(good.select("strategy", "fast", "slow")), how="cross")
+    f, s, pf, ps = (mean(F.col(c), back) for back in (0, 1) for c in ("fast", "slow"))
+    signal = F.when((pf <= ps) & (f > s), 1.0).when((pf >= ps) & (f < s), -1.0).otherwise(0.0)
+    nav = backtest_single(rows.withColumn("signal", signal).drop("c", "i"), "signal", ["strategy", "symbol"], cash)
+    done = nav.groupBy("strategy", "symbol").agg(F.max_by("total_value", "ts").alias("final_value"), F.count("*").alias("n"))
+    return done.withColumn("error", F.lit(None).cast("string")).unionByName(checked.filter("error is not null").select("strategy", "error"), allowMissingColumns=True)
+
+
 def backtest_portfolio(signals: DataFrame, cash: float = 1_000_000.0, weight: float = 0.95, sequential: bool = False) -> DataFrame:
     """Trades (strategy, ts, symbol, side, quantity, price, cash) of strategies that share their cash over symbols.
 

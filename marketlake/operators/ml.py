@@ -74,6 +74,24 @@ def train(bars: DataFrame, configs: list[dict], version: str, lookforward: int =
     return model, metrics.withColumn("version", F.lit(version)).withColumn("production", F.lit(False))
 
 
+def add_version(row: DataFrame, model: GBTRegressionModel | None, path: str) -> DataFrame:
+    """The table of model versions under ``path`` with one row (version, created, production, metrics...) more; the model is saved beside it."""
+    if model is not None:
+        model.write().overwrite().save(f"{path}/models/{row.first()['version']}")
+    row.write.mode("append").parquet(f"{path}/versions")
+    return row.sparkSession.read.schema(row.schema).parquet(f"{path}/versions")
+
+
+def latest_version(versions: DataFrame) -> DataFrame:
+    """The newest row of the table of versions."""
+    return versions.orderBy(F.col("created").desc(), F.col("version").desc()).limit(1)
+
+
+def promoted_version(versions: DataFrame) -> DataFrame:
+    """The row in production, the newest of them if there are several."""
+    return latest_version(versions.filter("production"))
+
+
 def promote(versions: DataFrame, version: str) -> DataFrame:
     """The table of versions with one of them in production."""
     return versions.withColumn("production", F.col("version") == version)
@@ -83,3 +101,11 @@ def decile_returns(df: DataFrame, pred: str, actual: str, by: str = "date") -> D
     """Mean outcome of each tenth of the predictions within a date."""
     tile = F.ntile(10).over(Window.partitionBy(by).orderBy(pred, actual))
     return df.filter(F.col(pred).isNotNull() & F.col(actual).isNotNull()).withColumn("decile", tile).groupBy("decile").agg(F.avg(actual).alias("mean_return"), F.count("*").alias("n"))
+
+
+def decile_summary(deciles: DataFrame) -> DataFrame:
+    """(top_return, spread, monotonicity) of mean outcomes by decile: of the highest, less that of the lowest, and the share of steps that rise. Deciles are ten."""
+    step = F.col("mean_return") > F.lag("mean_return").over(Window.orderBy("decile"))
+    rows = deciles.withColumn("up", step.cast("double"))
+    top, low = F.max_by("mean_return", "decile"), F.min_by("mean_return", "decile")
+    return rows.agg(top.alias("top_return"), (top - low).alias("spread"), F.avg("up").alias("monotonicity"))

@@ -28,6 +28,16 @@ def current_status(events: DataFrame) -> DataFrame:
     return events.groupBy("order_id").agg(F.max_by("status", "seq").alias("status"))
 
 
+#: Statuses of orders that can still be filled.
+ACTIVE = ["PENDING_NEW", "NEW", "PARTIAL", "PENDING_CANCEL", "SUSPENDED"]
+
+
+def status_counts(events: DataFrame) -> DataFrame:
+    """(symbol, status, orders, active) of the orders by their symbol and last status; events (order_id, symbol, seq, status)."""
+    last = events.groupBy("order_id").agg(F.max_by("status", "seq").alias("status"), F.max_by("symbol", "seq").alias("symbol"))
+    return last.groupBy("symbol", "status").agg(F.count("*").alias("orders"), F.count_if(F.col("status").isin(ACTIVE)).alias("active"))
+
+
 def twap_schedule(parents: DataFrame, seconds: int = 30) -> DataFrame:
     """(order_id, slice, ts, quantity) of parents (order_id, quantity, start, duration): the target int(total * elapsed / duration) less what
     earlier slices took. Without a duration one slice of max(1, total / 10)."""

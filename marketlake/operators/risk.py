@@ -65,6 +65,14 @@ def check_orders(orders: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return out.withColumn("approved", F.size("violations") == 0)
 
 
+def check_totals(checked: DataFrame) -> DataFrame:
+    """(rule, checks, passed, breaks) of each rule over all checked orders, and the same of all rules together as rule ``all``."""
+    each = checked.select(F.explode("results").alias("r")).select("r.*")
+    whole = checked.select(F.lit("all").alias("rule"), F.col("approved").alias("passed"))
+    rows = each.unionByName(whole).groupBy("rule")
+    return rows.agg(F.count("*").alias("checks"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("breaks"))
+
+
 def pre_trade_check(limits: dict | None = None) -> Column:
     """The first of drawdown, concentration, exposure and order value that fails; null if none."""
     m = LIMITS | (limits or {})
@@ -94,6 +102,12 @@ def alert_severity(level: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for x in ("HIGH", "CRITICAL", "MEDIUM", "WARNING", "LOW", "INFO")]), level)
 
 
+def alerts(checked: DataFrame) -> DataFrame:
+    """Alert rows (strategy, severity, message) of the portfolios whose level is not LOW."""
+    message = F.format_string("drawdown %.4f", "drawdown")
+    return checked.filter("level <> 'LOW'").select("strategy", alert_severity(F.col("level")).alias("severity"), message.alias("message"))
+
+
 def circuit_breaker(checked: DataFrame, rejects: int = 3, cooldown: float = 300.0) -> DataFrame:
     """Adds broken and final approval per account in time order: after ``rejects`` rejections in a row everything is rejected for
     ``cooldown`` seconds, then counting starts anew. Sequential within an account; orders stream through in sorted batches."""

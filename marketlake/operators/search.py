@@ -37,9 +37,9 @@ def param_sample(spark: SparkSession, ranges: dict[str, list[float]], n: int, se
 
 
 def best_params(results: DataFrame, score: str = "train_score", by: list[str] | None = None) -> DataFrame:
-    """The row with the greatest score, the first trial on ties; one for each group of ``by``."""
+    """The row with the greatest score, the first trial on ties (to nine digits); one for each group of ``by``."""
     cols = results.columns
-    best = results.filter(F.col(score).isNotNull()).groupBy(*(by or [])).agg(F.max_by(F.struct(*cols), F.struct(F.col(score), -F.col("trial"))).alias("b"))
+    best = results.filter(F.col(score).isNotNull()).groupBy(*(by or [])).agg(F.max_by(F.struct(*cols), F.struct(F.round(score, 9), -F.col("trial"))).alias("b"))
     return best.select("b.*")
 
 

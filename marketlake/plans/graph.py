@@ -54,3 +54,10 @@ def apply_factor_graph(bars: DataFrame, spec: list[dict], extra: dict[str, Calla
         n = nodes[name]
         bars = ops[n["op"]](bars, n["inputs"], n.get("params", {}), name)
     return bars
+
+
+def handle_signals(signals: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]], signal: str = "signal") -> dict[str, DataFrame]:
+    """What each user handler makes of the rows with a signal, by name: rows of orders, alerts and so on. A handler is a function of
+    tables, so it is planned with the rest and works on streams too."""
+    live = signals.filter(F.col(signal).isNotNull() & (F.col(signal) != 0))
+    return {name: live.transform(handler) for name, handler in handlers.items()}

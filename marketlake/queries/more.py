@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from marketlake.functions import factors as fx
@@ -12,10 +14,9 @@ from marketlake.operators import calendar as cal
 from marketlake.operators import joins as jn
 from marketlake.operators import macro as mc
 from marketlake.operators import risk as rk
-from marketlake.operators import search as op
 from marketlake.queries.base import BE, BO, Query, W, bars_events, bars_orders, last_n, rounded, sma_sql, table
 from marketlake.queries.portfolio import _R, _bt_orders, _risk
-from marketlake.queries.text import _D, TOPICS, _run, docs, events_stream
+from marketlake.queries.text import _D, TOPICS, _run, docs, events_stream, shared_root, state_store
 from marketlake.sources import bars as src
 from marketlake.streaming import live
 
@@ -52,7 +53,6 @@ add("rk01_single_rules", lambda s, d: _risk(s, d).select("order_id", rk.max_draw
 add("rk07_trading_hours", lambda s, d: table(s, d, "events").select("event_id", (~cal.within_trading_hours(F.col("ts"))).alias("rejected")), "SELECT event_id, NOT (hour(ts) * 60 + minute(ts) BETWEEN 570 AND 900) AS rejected FROM events")
 add("sg13_direction", lambda s, d: rounded(bars_events(s, d).withColumn("c", fx.pct_change()).filter("c is not null").select("symbol", "ts", sg.direction(F.col("c"))[0].alias("direction"), sg.direction(F.col("c"))[1].alias("strength"))), f"WITH {BE}, x AS (SELECT symbol, ts, close / lag(close) OVER ({W}) - 1 AS c FROM be) SELECT symbol, ts, CASE WHEN c > 0 THEN 'LONG' WHEN c < 0 THEN 'SHORT' ELSE 'EXIT' END AS direction, round(abs(c), 6) AS strength FROM x WHERE c IS NOT NULL")
 add("xs06_weighted_indicator", lambda s, d: rounded(mc.leading_indicator(table(s, d, "orders").groupBy(F.col("o_orderstatus").alias("series"), F.trunc("o_orderdate", "MM").alias("date")).agg(F.sum("o_totalprice").alias("value")), {"F": 0.6, "O": 0.4}), 5), "WITH m AS (SELECT o_orderstatus AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2), z AS (SELECT series, date, (value - avg(value) OVER s) / stddev_samp(value) OVER s AS z FROM m WINDOW s AS (PARTITION BY series)) SELECT date, round(sum(z * CASE series WHEN 'F' THEN 0.6 WHEN 'O' THEN 0.4 END), 5) AS indicator FROM z GROUP BY 1")
-add("opt02_param_sample", lambda s, d: op.param_sample(s, {"fast": [3.0, 5.0], "slow": [10.0, 20.0]}, table(s, d, "nation").count()).filter((F.col("fast") < F.col("slow"))).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM nation")
 
 
 def _dedup_stream(spark, d):
@@ -73,17 +73,9 @@ add("st05_live_signals", _live_signals, "WITH e AS (SELECT event_type AS symbol,
 
 def _chain(spark, d):
     """The whole live chain, then its orders table."""
-    import uuid
-
-    from marketlake.queries.text import shared_root
-
-    root, before = f"{shared_root(spark)}/chain-{uuid.uuid4().hex}", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
-    try:
+    root = f"{shared_root(spark)}/chain-{uuid.uuid4().hex}"
+    with state_store(spark):
         live.chain(events_stream(spark, d).withColumnRenamed("price", "close"), f"{root}/t", f"{root}/c", lambda s: s.withColumn("approved", F.col("close") < 100)).awaitTermination()
-    finally:
-        if before is not None:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.parquet(f"{root}/t/orders").groupBy("symbol", "side", "approved").agg(F.count("*").alias("n"))
 
 

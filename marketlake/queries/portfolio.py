@@ -264,7 +264,6 @@ def _walk(spark, d):
 
 add("opt03_grid_search", lambda s, d: rounded(op.best_params(op.grid_search(_grid(s, bars_events(s, d)), ["fast", "slow"])), 3))
 add("opt05_walk_forward_search", lambda s, d: rounded(_walk(s, d), 3))
-add("opt01_param_grid", lambda s, d: op.param_grid(s, {"a": op.range_values(1, 3, 0.5), "b": op.range_values(2, 4)}).join(table(s, d, "region").limit(1).select(), how="cross").withColumn("trial", F.col("trial").cast("long")), "SELECT a, 3.0::DOUBLE AS b, row_number() OVER (ORDER BY a) - 1 AS trial FROM (SELECT unnest([1.0, 1.5, 2.0, 2.5, 3.0])::DOUBLE AS a)")
 add("opt04_walk_forward", lambda s, d: op.walk_forward(cal.trading_days(bars_orders(s, d)), 60, 20).withColumn("window_id", F.col("window_id").cast("long")), f"WITH {BO}, n AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM bo)) SELECT CAST(a.i // 20 AS BIGINT) AS window_id, a.day AS train_start, b.day AS train_end, c.day AS test_start, e.day AS test_end FROM n a JOIN n b ON b.i = a.i + 59 JOIN n c ON c.i = a.i + 60 JOIN n e ON e.i = a.i + 79 WHERE a.i % 20 = 0")
 add("so01_universe_union", lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("code")).union(table(s, d, "supplier").select("s_nationkey")).distinct().orderBy("code"), "SELECT c_nationkey AS code FROM customer UNION SELECT s_nationkey FROM supplier")
 add("so03_intersection", lambda s, d: table(s, d, "orders").filter("year(o_orderdate) = 1996").select("o_custkey").intersect(table(s, d, "orders").filter("year(o_orderdate) = 1997").select("o_custkey")), "SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1996 INTERSECT SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1997")

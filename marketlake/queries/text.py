@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import functions as F
 
@@ -61,8 +63,6 @@ def _daily(spark, d):
 
 
 add("nw04_daily_sentiment", _daily)
-add("nw07_codes", lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(nw.extract_codes(F.concat_ws(" ", F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit("600519.SH"), F.concat(F.lit("4"), F.lpad(F.col("n_chars").cast("string"), 5, "0")), F.lit("777777"))), ",").alias("codes")),
-    "WITH c AS (SELECT doc_id, [lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.SZ', '600519.SH', '4' || lpad(CAST(n_chars AS VARCHAR), 5, '0') || '.BJ'] AS c FROM documents) SELECT doc_id, array_to_string(list_sort(list_distinct(c)), ',') AS codes FROM c")
 add("nw08_names", lambda s, d: docs(s, d).select("news_id", F.array_join(nw.extract_symbols(F.col("content"), {"the": "600001.SH", "und": "000002.SZ", "que": ""}), ",").alias("symbols")))
 add("nw10_tagged", lambda s, d: rounded(nw.tag_news(docs(s, d), keywords=TOPICS, names={"the": "600001.SH"}).select("news_id", F.size("symbols").cast("long").alias("n_symbols"), F.array_join("tags", ",").alias("tags"), "importance")))
 add("fp04_news_range", lambda s, d: nw.news_filter(docs(s, d), F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-12").cast("timestamp_ntz"), ["Thing", "que"]).select("news_id", "published_at"), _D + " SELECT news_id, published_at FROM n WHERE published_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12' AND (contains(lower(title || chr(10) || content), 'thing') OR contains(lower(title || chr(10) || content), 'que'))")
@@ -96,19 +96,27 @@ def shared_root(spark):
     return where or "file://" + tempfile.mkdtemp(prefix="marketlake-")
 
 
+@contextlib.contextmanager
+def state_store(spark) -> Iterator[None]:
+    """The state store of stateful streams, for as long as one runs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, live.STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _run(df, mode="append"):
     spark = df.sparkSession
-    before, out = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None), f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.STATE_STORE)
-    try:
+    out = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    with state_store(spark):
         if mode == "append":
             q = df.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/c").trigger(availableNow=True).start()
         else:
             q = df.writeStream.outputMode(mode).foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/data")).option("checkpointLocation", f"{out}/c").trigger(availableNow=True).start()
         q.awaitTermination()
-    finally:
-        if before is not None:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema(df.schema).parquet(f"{out}/data")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
@@ -104,9 +104,9 @@ def load_stats(parsed: DataFrame, by: str = "file") -> DataFrame:
 
 
 def read_bars_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """One file per symbol: 600519_SH.parquet is symbol 600519.SH; lower-case columns."""
+    """One file, or folder of files, per symbol: 600519_SH.parquet is symbol 600519.SH; lower-case columns."""
     df = spark.read.parquet(path)
-    name = F.regexp_replace(F.regexp_extract("_metadata.file_name", r"^(.*)\.parquet$", 1), "_", ".")
+    name = F.regexp_replace(F.regexp_extract("_metadata.file_path", r"[/=]([^/=]+?)\.parquet(?:/[^/]*)?$", 1), "_", ".")
     return df.select(name.alias("symbol"), *[F.col(c).alias(c.lower()) for c in df.columns])
 
 
@@ -198,6 +198,20 @@ def data_coverage(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol", "freq").agg(F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.count("*").alias("row_count"))
 
 
+def append_rows(rows: DataFrame, path: str) -> DataFrame:
+    """The table at the path, with the rows behind those it had."""
+    rows.write.mode("append").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def store_counted(parsed: DataFrame, path: str) -> tuple[DataFrame, dict[str, int]]:
+    """Store the rows that are ok; the stored table and how many rows were received, stored and failed, counted on the way."""
+    seen = Observation("ingest")
+    counts = [F.count("*").alias("received"), F.count_if("ok").alias("stored"), F.count_if(~F.col("ok")).alias("failed")]
+    parsed.observe(seen, *counts).filter("ok").drop("ok").write.parquet(path)
+    return parsed.sparkSession.read.schema(parsed.drop("ok").schema).parquet(path), seen.get
+
+
 def latest(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """The newest n rows for each key."""
     w = Window.partitionBy(key).orderBy(F.col(order).desc())

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from marketlake.functions import news as nw
+from marketlake.operators import backtest as bt
+from marketlake.operators.orders import TRANSITIONS
 from marketlake.sources.bars import upsert
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -36,28 +41,35 @@ def subscribe(events: DataFrame, symbols: list[str] | None = None, types: list[s
     return events.filter(F.col("type").isin(types)) if types else events
 
 
-def upsert_sink(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: last write per key wins. Each batch makes a new version of the table next to the old one and
-    then names it the current one, so a reader or a lost executor never sees half of it."""
+def upsert_sink(path: str, keys: list[str], sequence: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: last write per key wins, within a batch the one with the greatest ``sequence``.
+
+    A batch only adds a folder of its own: written beside the table, then put into it by one rename, so a reader never sees half
+    of it. A batch that is replayed finds its folder and adds nothing. Nothing that was written is read or replaced here.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = current(spark, path)
-        new = batch.withColumn("__n", F.lit(number))
-        merged = upsert(old.withColumn("__n", F.lit(-1)), new, keys) if old is not None else upsert(new.limit(0), new, keys)
-        target = f"{path}/v{number:09d}"
-        merged.drop("__n").write.mode("overwrite").parquet(target)
-        spark.createDataFrame([(target,)], "v string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+        target, staging = f"{path}/batch={number}", f"{path}-staging-{uuid.uuid4().hex}"
+        where, name = fs.FileSystem.from_uri(target)
+        if where.get_file_info(name).type != fs.FileType.NotFound:
+            return
+        upsert(batch.limit(0), batch, keys, sequence).write.parquet(staging)
+        where.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        where.move(fs.FileSystem.from_uri(staging)[1], name)
 
     return write
 
 
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The current version of an upserted table."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return None
-    return spark.read.parquet(spark.read.text(f"{path}/current").first()[0])
+def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """An upserted table as it is now: of each key the row of the last batch that has it."""
+    rows = spark.read.parquet(path)
+    w = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
+    return rows.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "batch")
+
+
+def compact(spark: SparkSession, path: str, target: str, keys: list[str]) -> None:
+    """The table at the path as batch -1 of a new table at ``target``, for when batches have become many."""
+    upsert_sink(target, keys)(current(spark, path, keys), -1)
 
 
 class LiveFactors(StatefulProcessor):
@@ -139,6 +151,31 @@ def order_status(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return events.groupBy("order_id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
 
 
+class Lifecycle(StatefulProcessor):
+    """Reports of an order in sequence, each with the status before it and whether that allows it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("order", "status string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        before = self.state.get()[0] if self.state.exists() else None
+        out, batch = [], pd.concat(list(rows)).sort_values("seq")
+        for seq, status in zip(batch["seq"], batch["status"], strict=True):
+            out.append((key[0], int(seq), before, status, before is None or status in TRANSITIONS.get(before, [])))
+            before = status
+        self.state.update((before,))
+        yield pd.DataFrame(out, columns=["order_id", "seq", "before", "status", "allowed"])
+
+    def close(self) -> None:
+        pass
+
+
+def order_lifecycle(events: DataFrame) -> DataFrame:
+    """A stream of reports (order_id, seq, status) with before and allowed; what is not allowed is reported, and the next one is held against it."""
+    schema = "order_id long, seq long, before string, status string, allowed boolean"
+    return events.select("order_id", "seq", "status").groupBy("order_id").transformWithStateInPandas(Lifecycle(), schema, "Append", "None")
+
+
 def recompute(history: Callable[[], DataFrame], compute: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that recomputes only the symbols a batch touches, over their history, and upserts the result."""
 
@@ -156,13 +193,16 @@ def envelope(df: DataFrame, channel: Column, ts: str = "ts") -> DataFrame:
 
 
 def chain(bars: DataFrame, path: str, checkpoint: str, rules: Callable[[DataFrame], DataFrame], trigger: dict | None = None) -> StreamingQuery:
-    """Bars to factors to signals to checked orders, one query; each stage appends to a table under ``path``."""
+    """Bars to factors to signals to checked orders to fills, one query; each stage appends to a table under ``path``. Orders that the rules
+    reject have no fill; the others fill at the close, worsened by slippage, with commission."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         signals = batch.filter("cross <> 0").select("symbol", "ts", "close", F.col("cross").alias("signal"))
         orders = rules(signals.withColumn("side", F.when(F.col("signal") > 0, "BUY").otherwise("SELL")))
-        for name, df in (("factors", batch), ("signals", signals), ("orders", orders)):
+        price = bt.slippage(F.col("close"), F.col("side"))
+        fills = orders.filter("approved").select("symbol", "ts", "side", price.alias("price"), bt.commission(price, F.col("side")).alias("commission"))
+        for name, df in (("factors", batch), ("signals", signals), ("orders", orders), ("fills", fills)):
             df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
         batch.unpersist()
 
