@@ -46,11 +46,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Stages such as tokenising cannot be said in SQL; the tests hold the result against a plain version of each stage.
+#: Stages such as tokenising cannot be said in SQL; the tests hold the result of a small corpus against what is known of it, and each
+#: operator against a plain version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of what the stages leave of ``documents``.
+
+    Null texts and texts without words fail the quality rules and go; of equal rows one stays. Rows without an id are judged like
+    others, but are no one's duplicates. More columns, whatever their names, are carried to the packing stage, which ends
+    them. Empty tables give an empty result, or no labels and no benchmark. Each stage's result is a table of its own, so a
+    lost executor costs work of one stage only.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
