@@ -499,9 +499,9 @@ def brute_scores(every, held, order, single):
     counts = [collections.Counter() for _ in range(order)]
     for i, t in every:
         if not held(i):
-            w = ["begin"] * (order - 1) + cut(t)
-            for at in range(order - 1, len(w)):
-                for d in range(order):
+            w = ["begin", *cut(t)]
+            for at in range(1, len(w)):
+                for d in range(min(order, at + 1)):
                     counts[d][tuple(w[at - d : at + 1])] += 1
     total, after, mass = sum(counts[0].values()), collections.Counter(), collections.Counter()
     for d in range(1, order):
@@ -510,17 +510,17 @@ def brute_scores(every, held, order, single):
             mass[gram[:-1]] += c - 1 if c > 1 else single if d == 1 else 0
     out = []
     for _, t in every:
-        w, base, score = ["begin"] * (order - 1) + cut(t), 0.0, 0.0
-        for at in range(order - 1, len(w)):
+        w, base, score = ["begin", *cut(t)], 0.0, 0.0
+        for at in range(1, len(w)):
             p = (counts[0][w[at],] + 1) / (total + len(counts[0]) + 1)
             base += math.log10(p)
-            for d in range(1, order):
+            for d in range(1, min(order, at + 1)):
                 gram = tuple(w[at - d : at + 1])
                 n, c = after[gram[:-1]], counts[d][gram]
                 if n:
                     p = (c - 1 if c > 1 else c * (single if d == 1 else 0)) / n + (1 - mass[gram[:-1]] / n) * p
             score += math.log10(p)
-        out.append((len(w) - order + 1, sum(counts[0][x,] > 0 for x in w[order - 1 :]), total, base, score))
+        out.append((len(w) - 1, sum(counts[0][x,] > 0 for x in w[1:]), total, base, score))
     return out
 
 
