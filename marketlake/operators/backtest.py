@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,26 +50,31 @@ def backtest_single(bars: DataFrame, signal: str, keys: list[str], cash: float =
 
     Signals change the state, other bars do not: only rows with a signal are folded, in time order within each group, and what
     comes out is carried forward to all bars by a window. A positive signal buys int(cash * weight / price), a negative one
-    sells int(position * weight). The fold is sequential by nature; it sees signal rows only, spread over all groups.
+    sells int(position * weight). The fold is sequential by nature; it sees signal rows only, spread over all groups, and streams
+    through them in sorted batches with the state of one group.
     """
     live = bars.filter((F.abs(signal) > min_signal) & (F.col(signal) != 0) & F.col(signal).isNotNull() & (F.col("close") > 0))
     rows = live.select(*keys, "ts", F.col(signal).alias("__s"), F.col("close").alias("__p"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, "ts").schema) + ", __cash double, __pos long"
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ts")
-        money, held, out = cash, 0, []
-        for s, p in zip(g["__s"], g["__p"], strict=True):
-            if s > 0:
-                q = int(money * buy_weight / p)
-                money, held = money - q * p, held + q
-            else:
-                q = int(held * sell_weight)
-                money, held = money + q * p, held - q
-            out.append((money, held))
-        return g[[*keys, "ts"]].assign(__cash=[x[0] for x in out], __pos=[x[1] for x in out])
-
-    state = rows.groupBy(*keys).applyInPandas(fold, schema)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, money, held = None, cash, 0
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                *key, _, s, p = row
+                if key != now:
+                    now, money, held = key, cash, 0
+                if s > 0:
+                    q = int(money * buy_weight / p)
+                    money, held = money - q * p, held + q
+                else:
+                    q = int(held * sell_weight)
+                    money, held = money + q * p, held - q
+                out.append((money, held))
+            yield batch[[*keys, "ts"]].assign(__cash=[x[0] for x in out], __pos=[x[1] for x in out])
+
+    state = rows.repartition(*keys).sortWithinPartitions(*keys, "ts").mapInPandas(fold, schema)
     w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     nav = bars.select(*keys, "ts", "close").join(state, [*keys, "ts"], "left")
     money, held = F.coalesce(F.last("__cash", True).over(w), F.lit(cash)), F.coalesce(F.last("__pos", True).over(w), F.lit(0))
@@ -104,29 +111,34 @@ def backtest_portfolio(signals: DataFrame, cash: float = 1_000_000.0, weight: fl
     """Trades (strategy, ts, symbol, side, quantity, price, cash) of strategies that share their cash over symbols.
 
     signals: (strategy, ts, symbol, direction, strength, close). LONG and flat buys int(cash * weight * strength / close) of the
-    cash the time began with, or of what is left if ``sequential``; SHORT and EXIT sell the whole position.
+    cash the time began with, or of what is left if ``sequential``; SHORT and EXIT sell the whole position. A strategy's signal rows stream
+    through one task in sorted batches; only what it holds is kept.
     """
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts", "symbol"])
-        money, held, out, now, begin = cash, {}, [], None, cash
-        for strategy, ts, symbol, d, strength, p in g[["strategy", "ts", "symbol", "direction", "strength", "close"]].itertuples(index=False):
-            if ts != now:
-                now, begin = ts, money
-            if d == "LONG" and not held.get(symbol) and p > 0:
-                q = int((money if sequential else begin) * weight * strength / p)
-                if q > 0:
-                    money, held[symbol] = money - q * p, q
-                    out.append((strategy, ts, symbol, "BUY", q, p, money))
-            elif d in ("SHORT", "EXIT") and held.get(symbol):
-                q = held.pop(symbol)
-                money += q * p
-                out.append((strategy, ts, symbol, "SELL", q, p, money))
-        return pd.DataFrame(out, columns=["strategy", "ts", "symbol", "side", "quantity", "price", "cash"])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, money, held, now, begin = None, cash, {}, None, cash
+        for batch in batches:
+            out = []
+            for strategy, ts, symbol, d, strength, p in batch.itertuples(index=False):
+                if strategy != own:
+                    own, money, held, now, begin = strategy, cash, {}, None, cash
+                if ts != now:
+                    now, begin = ts, money
+                if d == "LONG" and not held.get(symbol) and p > 0:
+                    q = int((money if sequential else begin) * weight * strength / p)
+                    if q > 0:
+                        money, held[symbol] = money - q * p, q
+                        out.append((strategy, ts, symbol, "BUY", q, p, money))
+                elif d in ("SHORT", "EXIT") and held.get(symbol):
+                    q = held.pop(symbol)
+                    money += q * p
+                    out.append((strategy, ts, symbol, "SELL", q, p, money))
+            yield pd.DataFrame(out, columns=["strategy", "ts", "symbol", "side", "quantity", "price", "cash"])
 
     rows = signals.select("strategy", "ts", "symbol", "direction", "strength", "close").filter("direction is not null")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy("strategy").applyInPandas(fold, f"strategy {kinds['strategy']}, ts {kinds['ts']}, symbol {kinds['symbol']}, side string, quantity long, price double, cash double")
+    rows = rows.repartition("strategy").sortWithinPartitions("strategy", "ts", "symbol")
+    return rows.mapInPandas(fold, f"strategy {kinds['strategy']}, ts {kinds['ts']}, symbol {kinds['symbol']}, side string, quantity long, price double, cash double")
 
 
 def mark_to_market(trades: DataFrame, bars: DataFrame, cash: float = 1_000_000.0) -> DataFrame:
