@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,9 +39,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores where it lies in so few files that most of them would idle; otherwise as it is. Rows move by ``key``."""
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    return df.repartition(cores, F.col(f"`{key}`")) if 0 < 2 * files <= cores else df
+
+
+_made: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def passing_tables() -> Iterator[None]:
+    """Scratch tables that are made inside are deleted at the end, but for those to keep."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        discard(*(_made.get() or []))
+        _made.reset(token)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to a scratch table in the shared folder and read it back: the lineage ends there, and the shuffle files that
-    made the table are removed."""
+    made the table are removed. Inside ``passing_tables`` the table goes at the end unless it is to ``keep``."""
     spark = df.sparkSession
     path, before = scratch_path(spark, name), spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
@@ -49,7 +72,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if not keep and (made := _made.get()) is not None:
+        made.append(table)
+    return table
 
 
 def discard(*tables: DataFrame) -> None:
