@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.shared import hash_windows, hash_words, materialize
+from marketlake.llm.shared import hash_windows, hash_words, materialize, spread
 
 #: All ASCII characters but 0-9 and a-z become spaces; A-Z are lower-cased before.
 _TABLE = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -170,7 +170,7 @@ def contamination(
     Items are broadcast in blocks of at most about ``block_chars`` characters; the usual benchmark is one block.
     With more blocks every block passes over the documents, and a document's rows meet by a row key.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    picked = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id")
     n_blocks, blocks = _blocks(picked, benchmark, item_col, item_text, window, shingle, block_chars)
     if n_blocks > 1:
         picked = materialize(picked.withColumn("row", F.monotonically_increasing_id()), "rows").select("id", "text", "row")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlake.llm.shared import spread
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -249,4 +251,4 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", si
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], text_col, "n_chars"])
 
     schema = picked.drop(own).schema.add(text_col, "string").add("n_chars", "long")
-    return picked.mapInArrow(run, schema)
+    return spread(picked, own).mapInArrow(run, schema)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm.encode import encoder
+from marketlake.llm.shared import spread
 
 
 
@@ -146,4 +147,4 @@ def pack(
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return picked.mapInArrow(run, schema + (", ids array<int>" if with_ids else "")).withColumnRenamed("doc_id", id_col)
+    return spread(picked, "id").mapInArrow(run, schema + (", ids array<int>" if with_ids else "")).withColumnRenamed("doc_id", id_col)

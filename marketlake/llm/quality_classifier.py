@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlake.llm.shared import spread
+
 TERMS = 2048
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 
@@ -139,7 +141,7 @@ def classify(
     others. Rows without an id are scored but teach nothing; equal rows score alike; an id with labels of both kinds
     teaches the lower. Columns besides id and text are never read. Without labels every score is 0.5.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    picked = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "id")
     counts, n = document_frequencies(picked, "text")
     idf = (np.log((1 + n) / (1 + counts)) + 0.1).astype(np.float32)
     marks = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))

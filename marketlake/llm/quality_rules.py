@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marketlake.llm.shared import hash_windows, hash_words, materialize
+from marketlake.llm.shared import hash_windows, hash_words, materialize, spread
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -89,7 +89,7 @@ def metrics(docs: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
 def _table(docs: DataFrame, id_col: str, text_col: str, strata: str | None) -> DataFrame:
     stratum = F.coalesce(F.col(strata).cast("string"), F.lit("")) if strata else F.lit("")
     picked = docs.select(F.col(id_col).cast("long").alias("id"), stratum.alias("stratum"), F.col(text_col).cast("string").alias("text"))
-    return metrics(picked, "text").drop("text")
+    return metrics(spread(picked, "id"), "text").drop("text")
 
 
 def binomial_upper(k: int, n: int, delta: float) -> float:

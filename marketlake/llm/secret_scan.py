@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlake.llm.shared import materialize
+from marketlake.llm.shared import materialize, spread
 
 #: The base patterns, in the order in which equal starts are listed, and the least lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -303,6 +303,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     scanned one by one. Other columns are ignored. An empty table gives an empty result. Whole texts are read twice, for the
     statistics of language and for matches; after that only the matches are used.
     """
+    docs = spread(docs, id_col)
     kept = materialize(_matches(docs, text_col, [F.col(f"`{id_col}`").cast("long").alias("id")], _language(docs, text_col)), "matches")
     base = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     return kept.select(F.col("row.id").alias(id_col), "n_assign", "n_access", "n_hex", base.alias("base"), _random(kept, rate, least).alias("random"))
