@@ -66,7 +66,7 @@ def log_ratios(counts: DataFrame, order: int) -> DataFrame:
             own = own.withColumn(f"p_{side}", F.coalesce(seen, F.col(f"q_{side}")))
         lower = materialize(own.select("gram", "p_allow", "p_block"), f"order{k}")
     assert lower is not None
-    return lower.select("gram", (F.log10("p_allow") - F.log10("p_block")).alias("ratio"))
+    return materialize(lower.select("gram", (F.log10("p_allow") - F.log10("p_block")).alias("ratio")), "ratios")
 
 
 def _threshold(scores: DataFrame, step: float = 0.01, reach: float = 4.0) -> float:
@@ -88,13 +88,14 @@ def _threshold(scores: DataFrame, step: float = 0.01, reach: float = 4.0) -> flo
     return good[len(good) // 2]
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", order: int = 3) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", order: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
     """One row for each row of ``pages``: id, host, path, rule (null where none fits), verdict, score, matched.
 
     verdict is the longest fitting rule's, or else by the language models: allow where the score reaches the calibrated
     threshold. Null URLs and URLs without ``://`` have an empty host and path and are judged by the models like any other.
     score is null where a rule decides. Without matched URLs on one side the models say nothing and the
     threshold is 0. Equal rows are judged alike; other columns are ignored; an empty table gives an empty result.
+    Up to ``broadcast_rows`` grams of the models are broadcast, so that the characters of URLs are not shuffled; more are joined.
     """
     host, path = parts(F.col(url_col))
     verdict, rule = match(F.col("host"), F.col("path"), rules)
@@ -110,6 +111,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     )
     ratios = log_ratios(materialize(counts, "grams"), order)
     asked = rows.filter(F.col("label").isNull() | F.col("held")).select("key", "label", "gram")
+    if ratios.count() <= broadcast_rows:
+        ratios = F.broadcast(ratios)
     scores = asked.join(ratios, "gram").groupBy("key", "label").agg(F.avg("ratio").alias("score"))
     scores = materialize(scores, "scores")
     threshold = _threshold(scores.filter("label is not null"))
