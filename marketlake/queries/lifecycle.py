@@ -101,7 +101,14 @@ def _counters(spark, d):
 add("io22_observed_counters", _counters, "SELECT count(*) FILTER (value > 50) AS in_table, count(*) AS received, count(*) FILTER (value > 50) AS stored, count(*) FILTER (NOT value > 50) AS failed FROM events")
 
 # corporate actions
-add("ca03_adjust_forward", lambda s, d: rounded(ca.adjust_prices(bars_ship(s, d), ca.derive_actions(plans(s, d), bars_ship(s, d)).filter("year(action_date) < 1993"), "forward").select("symbol", "ts", "close"), 7), _ACTS + " SELECT b.symbol, b.ts, round(b.close * coalesce((SELECT product(f) FROM a WHERE a.symbol = b.symbol AND year(a.action_date) < 1993 AND a.action_date <= CAST(b.ts AS DATE)), 1), 7) AS close FROM bs b")
+def _forward(spark, d):
+    """Forward-adjusted prices, their mean for each symbol and month."""
+    b = bars_ship(spark, d)
+    adjusted = ca.adjust_prices(b, ca.derive_actions(plans(spark, d), b).filter("year(action_date) < 1993"), "forward")
+    return rounded(adjusted.groupBy("symbol", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.avg("close").alias("close"), F.count("*").alias("n")), 5)
+
+
+add("ca03_adjust_forward", _forward, _ACTS + ", c AS (SELECT b.symbol, b.ts, b.close * coalesce((SELECT product(f) FROM a WHERE a.symbol = b.symbol AND year(a.action_date) < 1993 AND a.action_date <= CAST(b.ts AS DATE)), 1) AS close FROM bs b) SELECT symbol, strftime(ts, '%Y-%m') AS month, round(avg(close), 5) AS close, count(*) AS n FROM c GROUP BY 1, 2")
 
 
 def _given(spark, d):
