@@ -70,7 +70,7 @@ def brute_components(rows, k, percent):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("sizes", [{}, {"leaf": 3, "block": 4, "depth": 3, "cluster_rows": 4}])
+@pytest.mark.parametrize("sizes", [{}, {"leaf": 3, "block": 4, "depth": 3, "cluster_rows": 4, "group_rows": 3}, {"cluster_rows": 20, "group_rows": 4}])
 def test_near_duplicates(spark, rows, sizes):
     got = near_dedup.near_duplicates(table(spark, rows), shingle=2, **sizes).collect()
     want = brute_components(rows, 2, 80)

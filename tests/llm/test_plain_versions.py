@@ -227,7 +227,8 @@ def test_discoveries_by_definition(spark):
         assert found == ({b for c, b, control in rows if c == g and not control and 10 ** (-0.1 * b) <= max(below) * (1 + 1e-9)} if below else set())
 
 
-def test_links_in_clusters_of_more_rows_than_one_task_takes(spark):
+@pytest.mark.parametrize("sizes", [{"group_rows": 128}, {"group_rows": 128, "cluster_rows": 300}])
+def test_links_in_clusters_of_more_rows_than_one_task_takes(spark, sizes):
     """Drifting texts: neighbours are linked, far ones are not, and all are one cluster of many blocks. No link may be lost."""
     rng = random.Random(12)
     words, docs = prose(rng, 70).split(), []
@@ -238,7 +239,7 @@ def test_links_in_clusters_of_more_rows_than_one_task_takes(spark):
         docs.append((i, " ".join(words)))
     base = prose(rng, 70).split()
     docs += [(1000 + i, " ".join(w if rng.random() < 0.97 else prose(rng, 1) for w in base)) for i in range(500)]
-    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2, cluster_rows=128).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2, **sizes).collect()}
     sets = {i: set(zip(t.split(), t.split()[1:], strict=False)) for i, t in docs}
     up = {i: i for i in sets}
 
