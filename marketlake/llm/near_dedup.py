@@ -10,8 +10,8 @@ with a probability of 0.063 at most, however deep it grows, and four trees lose
 Sketches of the sets come first: each document of a node is compared with two pivots of the node (the most copied
 document and a random one), then, in small nodes, with every document that is not in its component yet. What
 sketches cannot tell apart makes clusters. Then every cluster is compared on the full sets, best candidates first,
-skipping pairs that are connected already; clusters too large for one task walk down the trees again with what their
-confirmed pivots connect. So large groups of near copies cost linear work, and no step emits all pairs of one.
+skipping pairs that are connected already; clusters too large for one task are cut into parts of which every two meet, and still
+larger ones walk down the trees again with what their confirmed pivots connect. So large groups of near copies cost linear work, and no step emits all pairs of one.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.llm.components import connected_components
-from marketlake.llm.shared import ascii_words, hash_windows, hash_words, materialize
+from marketlake.llm.shared import ascii_words, hash_windows, hash_words, materialize, passing_tables, spread
 
 HASHES = 64
 _EVEN = 0x5555555555555555
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
             )
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, n_shingles long, set_key binary, sig array<int>, sk1 long, sk2 long")
+    return spread(picked, "id").mapInArrow(run, "id long, n_shingles long, set_key binary, sig array<int>, sk1 long, sk2 long")
 
 
 def _lanes_equal(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
@@ -273,8 +273,9 @@ def _verify_groups(rows: DataFrame, k: int, threshold: float, whole: bool) -> Da
 def _leaves(reps: DataFrame, trees: int, branches: int, leaf: int, block: int, depth: int) -> DataFrame:
     """The rows of all leaves of all trees, in blocks; reps has a column comp, and only different components meet.
 
-    A node is a leaf once at most ``leaf`` of its documents are outside its largest component. In a leaf of many
-    rows each has a home block, and those outside the largest component are probes in every block.
+    A node is a leaf once at most ``leaf`` of its documents are outside its largest component, or at the last level. In a leaf of many
+    rows each has a home block, and those outside the largest component, in parts of ``leaf`` where they are more, are probes in every block: no
+    task holds more than a block and a part.
     """
     cols = ["rep", "comp", "n", "sk1", "sk2"]
     rows, found = _first_level(reps, trees, branches).select("node", "tree", *cols), None
@@ -285,11 +286,14 @@ def _leaves(reps: DataFrame, trees: int, branches: int, leaf: int, block: int, d
         last = level == depth - 1
         nodes = materialize(nodes.withColumn("leaf", F.lit(last) | (F.col("m") - F.col("c") <= leaf)), "nodes")
         at = rows.join(nodes, "node")
-        blocks = F.ceil(F.col("m") / block).cast("int")
-        mine = at.filter("leaf").select("node", "rep", "comp", "n", "sk1", "sk2", (F.col("comp") != F.col("major")).alias("probe"), blocks.alias("blocks"))
-        mine = mine.withColumn("home", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        spread = F.when(F.col("probe") & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
-        mine = mine.withColumn("block", F.explode(spread)).withColumn("member", F.col("block") == F.col("home"))
+        blocks, parts = F.ceil(F.col("m") / block).cast("int"), F.ceil((F.col("m") - F.col("c")) / leaf).cast("int")
+        mine = at.filter("leaf").select("node", "rep", "comp", "n", "sk1", "sk2", (F.col("comp") != F.col("major")).alias("probe"), blocks.alias("blocks"), parts.alias("parts"))
+        mine = mine.withColumn("home", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("part", F.pmod(F.xxhash64("node", "rep"), F.col("parts")).cast("int"))
+        # block b of part p has number b + p * blocks: a member is in its home block of every part, a probe in every block of its part
+        homes = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.col("home") + p * F.col("blocks"))
+        every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b + F.col("part") * F.col("blocks"))
+        mine = mine.withColumn("block", F.explode(F.when(F.col("probe"), F.array_union(homes, every)).otherwise(homes)))
+        mine = mine.withColumn("member", F.col("block") % F.col("blocks") == F.col("home")).withColumn("probe", F.col("probe") & (F.floor(F.col("block") / F.col("blocks")) == F.col("part")))
         found = mine if found is None else found.unionByName(mine)
         if last or nodes.filter("not leaf").limit(1).count() == 0:
             break
@@ -335,26 +339,39 @@ def near_duplicates(
     block: int = 2048,
     depth: int = 8,
     cluster_rows: int = 4096,
+    group_rows: int = 256,
 ) -> DataFrame:
     """One row for each row of ``docs``: (doc id, n_shingles, component_id, kept).
 
     Two documents are linked when their shingle sets have a Jaccard similarity of at least ``threshold``;
     component_id is the smallest id reachable over links and kept marks that document. An empty or null text has
     no shingles and is linked with nothing. Equal rows share an id, so each of them is kept if the id is. A
-    row without an id has a null component and is kept. Ids are taken to name one text each. Other columns,
+    row without an id has a null component and is kept. An id with several texts takes part with one of them, that of
+    the least hash, and all its texts are in its component. Other columns,
     whatever their names, are ignored. An empty table gives an empty result.
 
     leaf: documents outside a node's largest component up to which the node is compared exhaustively;
     block: rows of a node that one comparison holds in memory; depth: levels after which any node is compared;
-    cluster_rows: documents of a cluster up to which one task compares their texts.
+    group_rows: documents of a cluster up to which one task compares their texts; larger clusters are cut into parts of as many, and every
+    two parts meet; cluster_rows: size of a cluster from which on not parts, but the trees say which documents meet.
     """
-    k = shingle
-    sigs = materialize(signatures(docs, id_col, text_col, k), "signatures")
+    sigs = materialize(signatures(docs, id_col, text_col, shingle), "signatures", keep=True)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    with passing_tables():
+        label = materialize(_labels(sigs, texts, shingle, threshold, trees, branches, leaf, block, depth, cluster_rows, group_rows), "labels", keep=True)
+    out = sigs.select("id", "n_shingles", "set_key").join(label, "set_key", "left")
+    component = F.coalesce("component_id", "id")
+    out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id"))
+    return out.withColumn("kept", F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id")))
+
+
+def _labels(sigs: DataFrame, texts: DataFrame, k: int, threshold: float, trees: int, branches: int, leaf: int, block: int, depth: int, cluster_rows: int, group_rows: int) -> DataFrame:
+    """(set_key, component_id) of every set."""
     classes = sigs.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes.filter("rep is not null"), "classes")
+    first = classes.groupBy("rep").agg(F.min(F.struct("set_key", "copies")).alias("x")).select("rep", "x.*")
     own = sigs.select(F.col("id").alias("rep"), "set_key", F.col("n_shingles").alias("n"), "sig", "sk1", "sk2")
-    reps = materialize(own.join(classes, ["rep", "set_key"]).dropDuplicates(["rep"]).drop("set_key"), "reps")
+    reps = materialize(own.join(first, ["rep", "set_key"]).dropDuplicates(["rep"]).drop("set_key"), "reps")
 
     # clusters of documents that sketches cannot tell apart: every link is inside one
     best = _with_pivots(reps, threshold, trees, branches).groupBy("rep").agg(F.min(F.struct("o", "p")).alias("b"))
@@ -366,25 +383,31 @@ def near_duplicates(
     known = reps.select("rep", "n", "sk1", "sk2").join(clusters.join(sizes, "cluster"), "rep")
     own = materialize(texts.withColumnRenamed("id", "rep").join(known, "rep"), "texts")
 
-    small = own.filter(F.col("size") <= cluster_rows).select("*", F.col("cluster").alias("node"), F.lit(0).alias("block"), F.col("rep").alias("comp"))
+    size = F.col("size")
+    small = own.filter(size <= group_rows).select("*", F.col("cluster").alias("node"), F.lit(0).alias("block"), F.col("rep").alias("comp"))
     label = _verify_groups(small, k, threshold, whole=True)
-    if sizes.filter(F.col("size") > cluster_rows).limit(1).count():
-        large = own.filter(F.col("size") > cluster_rows)
-        big = materialize(reps.join(large.select("rep"), "rep", "left_semi"), "big")
-        pairs = _with_pivots(big, threshold, trees, branches).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-        close = confirm(large.select(F.col("rep").alias("id"), "text"), pairs, k, threshold)
-        comps = materialize(connected_components(close).toDF("rep", "comp"), "comps")
-        big = big.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        rows = _leaves(big, trees, branches, leaf, block, depth).select("node", "block", "rep", "comp", "n", "sk1", "sk2")
-        rows = rows.join(large.select("rep", "text"), "rep")
-        label = label.unionByName(connected_components(close.unionByName(_verify_groups(rows, k, threshold, whole=False))).toDF("a", "b"))
+    largest = sizes.agg(F.max("size")).first()[0] or 0
+    if largest > group_rows:
+        # every two parts of a cluster meet in one group, so a document is in as many groups as its cluster has parts
+        parts = F.ceil(size / group_rows).cast("int")
+        mid = own.filter((size > group_rows) & (size <= cluster_rows)).withColumn("home", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+        mid = mid.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        pair = F.least("home", "other") * parts + F.greatest("home", "other")
+        links = _verify_groups(mid.select("*", F.col("cluster").alias("node"), pair.alias("block"), F.col("rep").alias("comp")), k, threshold, whole=False)
+        if largest > cluster_rows:
+            large = own.filter(size > cluster_rows)
+            big = materialize(reps.join(large.select("rep"), "rep", "left_semi"), "big")
+            pairs = _with_pivots(big, threshold, trees, branches).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+            close = confirm(large.select(F.col("rep").alias("id"), "text"), pairs, k, threshold)
+            comps = materialize(connected_components(close).toDF("rep", "comp"), "comps")
+            big = big.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+            rows = _leaves(big, trees, branches, min(leaf, group_rows), min(block, group_rows), depth).select("node", "block", "rep", "comp", "n", "sk1", "sk2")
+            rows = rows.join(large.select("rep", "text"), "rep")
+            links = links.unionByName(close).unionByName(_verify_groups(rows, k, threshold, whole=False))
+        label = label.unionByName(connected_components(links).toDF("a", "b"))
     label = label.toDF("rep", "component_id").groupBy("rep").agg(F.min("component_id").alias("component_id"))
     label = classes.join(label, "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
-    label = label.select("set_key", "component_id")
-    out = sigs.select("id", "n_shingles", "set_key").join(materialize(label, "labels"), "set_key", "left")
-    component = F.coalesce("component_id", "id")
-    out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id")))
+    return label.select("set_key", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
