@@ -81,10 +81,11 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing will read again; a folder that the driver can't reach stays."""
     for table in tables:
-        folder = table.inputFiles()[0].rsplit("/", 2)[0]  # one folder is one table
-        with contextlib.suppress(OSError, pa.ArrowInvalid):
-            where, name = fs.FileSystem.from_uri(folder)
-            where.delete_dir(name)
+        for file in table.inputFiles()[:1]:
+            folder = file.rsplit("/", 2)[0]  # one folder is one table
+            with contextlib.suppress(OSError, pa.ArrowInvalid):
+                where, name = fs.FileSystem.from_uri(folder)
+                where.delete_dir(name)
 
 
 def ascii_words(text: str | None) -> list[bytes]:
