@@ -14,6 +14,7 @@ import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +46,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, F.col(f"`{key}`")) if 0 < 2 * files <= cores else df
 
 
+def spread_rows(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over all cores where its scan has so few splits that most of them would idle; otherwise as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 _made: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("made", default=None)
 
 
@@ -88,6 +95,15 @@ def discard(*tables: DataFrame) -> None:
                 where.delete_dir(name)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``number``, from 0 in the order of the columns: ranges of it are sorted for themselves and start where earlier ones end."""
+    parts = materialize(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), name)
+    ends = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    starts = ends.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1  # one row a part is broadcast
+    return parts.join(F.broadcast(starts), "__part").withColumn("number", F.col("__start") + inside).drop("__part", "__start")
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z only) maximal runs of anything but space and \\x09-\\x0d, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
