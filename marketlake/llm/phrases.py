@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -102,48 +102,61 @@ def count_phrases(words: DataFrame, blocks: DataFrame, vocabulary: DataFrame, le
     the input and the rounds with its logarithm. The permutation makes ranges alike, whatever words are frequent.
     """
     bits = max(1, int(vocabulary.count()).bit_length())
-    size, fan = qf.key_bits(longest, bits), 1 << fan_bits
+    lengths = {n: qf.key_bits(n, bits) for n in range(2, longest + 1)}  # each length has a filter of its own, as wide as its ids
+    fan = 1 << fan_bits
     groups = -(-max(1, blocks.count()) // fan)
 
+    def send(found: dict[int, tuple], shared: int, **columns) -> pd.DataFrame:
+        """A row for each range, with the filter of each length."""
+        out: dict[int, dict[int, bytes]] = {}
+        for n, (limbs, counts) in found.items():
+            for part, blob in qf.split(limbs, counts, lengths[n], shared, fan_bits):
+                out.setdefault(part, {})[n] = blob
+        frame = {"part": list(out), "filters": pd.Series([[x.get(n, b"") for n in lengths] for x in out.values()], dtype=object)}
+        return pd.DataFrame(frame | {k: [v] * len(out) for k, v in columns.items()})
+
+    def merged(rows: pd.DataFrame) -> dict[int, tuple]:
+        found = {n: [x[i] for x in rows["filters"] if len(x[i])] for i, n in enumerate(lengths)}
+        return {n: qf.merge(blobs) for n, blobs in found.items() if blobs}
+
     def shard(key: tuple, block: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        out, one = [], block.iloc[0] if len(block) else None
-        if one is not None and len(known):
+        grams = {}
+        if len(block) and len(known):
+            one = block.iloc[0]
             local = np.frombuffer(zstandard.ZstdDecompressor().decompress(one["tokens"]), np.uint32)
             ids = np.zeros(max(int(local.max()), int(known["local"].max())) + 1, np.uint64)
             ids[known["local"].to_numpy()] = known["id"].to_numpy().astype(np.uint64)
             ids = ids[local]
-            grams = []
-            for n in range(2, longest + 1):
-                if len(ids) >= n:
-                    run = [ids[i : len(ids) - n + 1 + i] for i in range(n)]
-                    whole = np.logical_and.reduce([x > 0 for x in run])
-                    whole[: max(0, int(one["skip"]) - n + 1)] = False  # these end in the block before
-                    grams.append(qf.pack([x[whole] for x in run], bits, size))
-            if grams:
-                limbs = qf.permute([np.concatenate(x) for x in zip(*grams, strict=True)], size)
-                limbs, counts = qf.combine(limbs, np.ones(len(limbs[0]), np.int64))
-                out = qf.split(limbs, counts, size, 0, fan_bits)
-        return pd.DataFrame({"part": [x[0] for x in out], "block": [key[0]] * len(out), "filter": pd.Series([x[1] for x in out], dtype=object)})
+            for n, size in lengths.items():
+                run = [ids[i : max(0, len(ids) - n + 1) + i] for i in range(n)] if len(ids) >= n else [ids[:0]] * n
+                whole = np.logical_and.reduce([x > 0 for x in run])
+                whole[: max(0, int(one["skip"]) - n + 1)] = False  # these end in the block before
+                if whole.any():
+                    limbs = qf.permute(qf.pack([x[whole] for x in run], bits, size), size)
+                    grams[n] = qf.combine(limbs, np.ones(len(limbs[0]), np.int64))
+        return send(grams, 0, block=key[0])
 
     known = words.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("of"), "local", "id")
     grouped = blocks.select("block", "skip", "tokens").groupBy("block").cogroup(known.groupBy("of"))
-    filters = grouped.applyInPandas(shard, "part long, block long, filter binary").select("part", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"), "filter")
+    filters = grouped.applyInPandas(shard, "part long, block long, filters array<binary>")
+    filters = filters.select("part", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"), "filters")
+    def merge_at(shared: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+        return lambda key, rows: send(merged(rows), shared, group=key[1])
+
     shared = fan_bits
     while groups > 1:
-
-        def merge(key: tuple, rows: pd.DataFrame, shared: int = shared) -> pd.DataFrame:
-            out = qf.split(*qf.merge(list(rows["filter"])), size, shared, fan_bits)
-            return pd.DataFrame({"part": [x[0] for x in out], "group": [key[1]] * len(out), "filter": pd.Series([x[1] for x in out], dtype=object)})
-
-        filters = filters.groupBy("part", "group").applyInPandas(merge, "part long, group long, filter binary")
+        filters = filters.groupBy("part", "group").applyInPandas(merge_at(shared), "part long, group long, filters array<binary>")
         filters = filters.withColumn("group", F.floor(F.col("group") / fan))
         shared, groups = shared + fan_bits, -(-groups // fan)
 
     def finish(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        limbs, counts = qf.merge(list(rows["filter"]))
-        kept = counts >= least
-        ids = np.stack(qf.unpack(qf.restore([x[kept] for x in limbs], size), bits, longest), axis=1).astype(np.int64)
-        return pd.DataFrame({"key": pd.Series([row[row > 0] for row in ids], dtype=object), "f": counts[kept]})
+        keys, counts = [], []
+        for n, (limbs, f) in merged(rows).items():
+            kept = f >= least
+            ids = qf.unpack(qf.restore([x[kept] for x in limbs], lengths[n]), bits, n, lengths[n])
+            keys += list(np.stack(ids, axis=1).astype(np.int64))
+            counts += f[kept].tolist()
+        return pd.DataFrame({"key": pd.Series(keys, dtype=object), "f": np.array(counts, np.int64)})
 
     return filters.groupBy("part", "group").applyInPandas(finish, "key array<long>, f long")
 

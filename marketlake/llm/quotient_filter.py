@@ -24,23 +24,24 @@ def unmix64(x: np.ndarray) -> np.ndarray:
 
 
 def key_bits(words: int, bits: int) -> int:
-    """Bits of a packed key of so many ids; whole bytes, and one 64-bit limb at least."""
-    return max(64, -(-words * bits // 8) * 8)
+    """Bits of a packed key of so many ids: whole bytes, four at least."""
+    return max(32, -(-words * bits // 8) * 8)
 
 
 def pack(ids: list[np.ndarray], bits: int, size: int) -> list[np.ndarray]:
-    """Ids side by side in limbs of 64 bits; missing ids are 0."""
+    """Ids side by side in limbs of 64 bits; a key of less than one limb stands in its top bits."""
     limbs = [np.zeros(len(ids[0]), np.uint64) for _ in range(-(-size // 64))]
     for i, x in enumerate(ids):
         at, shift = divmod(i * bits, 64)
         limbs[at] |= x.astype(np.uint64) << np.uint64(shift)
         if shift + bits > 64:
             limbs[at + 1] |= x.astype(np.uint64) >> np.uint64(64 - shift)
-    return limbs
+    return [limbs[0] << np.uint64(64 - size)] if size < 64 else limbs
 
 
-def unpack(limbs: list[np.ndarray], bits: int, words: int) -> list[np.ndarray]:
+def unpack(limbs: list[np.ndarray], bits: int, words: int, size: int) -> list[np.ndarray]:
     out, mask = [], np.uint64(2**bits - 1)
+    limbs = [limbs[0] >> np.uint64(64 - size)] if size < 64 else limbs
     for i in range(words):
         at, shift = divmod(i * bits, 64)
         x = limbs[at] >> np.uint64(shift)
@@ -50,11 +51,9 @@ def unpack(limbs: list[np.ndarray], bits: int, words: int) -> list[np.ndarray]:
     return out
 
 
-def _steps(limbs: list[np.ndarray], size: int):
+def _steps(size: int) -> list[tuple[int, int, int]]:
     """The steps of the permutation: each changes one limb by a hash of the others, so each can be undone."""
-    for r in range(2):
-        for i in range(len(limbs)):
-            yield r, i, min(64, size - 64 * i)
+    return [(r, i, min(64, size - 64 * i)) for r in range(2) for i in range(-(-size // 64))]
 
 
 def _others(limbs: list[np.ndarray], i: int, r: int) -> np.ndarray:
@@ -65,18 +64,34 @@ def _others(limbs: list[np.ndarray], i: int, r: int) -> np.ndarray:
     return x
 
 
+def _halves(x: np.ndarray, size: int, rounds: range) -> np.ndarray:
+    """Feistel rounds on the two halves of a key of less than 64 bits; in reverse order they undo themselves."""
+    low = size // 2
+    top, bottom = x >> np.uint64(64 - size + low), x >> np.uint64(64 - size) & np.uint64(2**low - 1)
+    for r in rounds:
+        if r % 2:
+            bottom = bottom ^ (mix64((top + np.uint64(r)) * _ODD) >> np.uint64(64 - low))
+        else:
+            top = top ^ (mix64((bottom + np.uint64(r)) * _ODD) >> np.uint64(64 - (size - low)))
+    return (top << np.uint64(low) | bottom) << np.uint64(64 - size)
+
+
 def permute(limbs: list[np.ndarray], size: int) -> list[np.ndarray]:
     """A bijection on keys of ``size`` bits that spreads them evenly."""
+    if size < 64:
+        return [_halves(limbs[0], size, range(6))]
     limbs = list(limbs)
-    for r, i, width in _steps(limbs, size):
+    for r, i, width in _steps(size):
         x = limbs[i] ^ (_others(limbs, i, r) >> np.uint64(64 - width))
         limbs[i] = mix64(x) if width == 64 else x
     return limbs
 
 
 def restore(limbs: list[np.ndarray], size: int) -> list[np.ndarray]:
+    if size < 64:
+        return [_halves(limbs[0], size, range(5, -1, -1))]
     limbs = list(limbs)
-    for r, i, width in reversed(list(_steps(limbs, size))):
+    for r, i, width in reversed(_steps(size)):
         x = unmix64(limbs[i]) if width == 64 else limbs[i]
         limbs[i] = x ^ (_others(limbs, i, r) >> np.uint64(64 - width))
     return limbs
@@ -105,13 +120,13 @@ def encode(limbs: list[np.ndarray], counts: np.ndarray, size: int, shared: int =
     quotient. All further bits are the remainder, stored whole, so nothing is lost. A bit tells counts above one, which follow.
     """
     n = len(counts)
-    q = min(64 - shared, 24, max(0, (n.bit_length() - 1) // 8 * 8))
+    q = min(min(size, 64) - shared, 24, max(0, (n.bit_length() - 1) // 8 * 8))
     top = int(limbs[0][0] >> np.uint64(64 - shared)) if shared and n else 0
     quotient = (limbs[0] << np.uint64(shared) >> np.uint64(64 - q)).astype(np.int64) if q else np.zeros(n, np.int64)
     runs = np.zeros(n + (1 << q), np.uint8)
     runs[np.arange(n) + quotient] = 1
     rest = [x.astype(">u8").view(np.uint8).reshape(n, 8) for x in limbs]
-    parts = [rest[0][:, (shared + q) // 8 :]] + [x[:, 8 - min(8, (size - 64 * i) // 8) :] for i, x in enumerate(rest[1:], 1)]
+    parts = [rest[0][:, (shared + q) // 8 : min(size, 64) // 8]] + [x[:, 8 - min(8, (size - 64 * i) // 8) :] for i, x in enumerate(rest[1:], 1)]
     many = counts > 1
     big = counts[many]
     small = np.minimum(big, 255).astype(np.uint8)
@@ -131,13 +146,14 @@ def decode(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
 
     runs = np.unpackbits(take(-(-(n + (1 << q)) // 8)), count=n + (1 << q))
     quotient = np.flatnonzero(runs) - np.arange(n)
-    first, others = 8 - (shared + q) // 8, [min(8, (size - 64 * i) // 8) for i in range(1, -(-size // 64))]
-    rest, limbs, begin = take(n * (first + sum(others))).reshape(n, first + sum(others)), [], 0
-    for width in (first, *others):
+    places = [((shared + q) // 8, min(size, 64) // 8)] + [(8 - min(8, (size - 64 * i) // 8), 8) for i in range(1, -(-size // 64))]
+    width = sum(b - a for a, b in places)
+    rest, limbs, begin = take(n * width).reshape(n, width), [], 0
+    for a, b in places:
         full = np.zeros((n, 8), np.uint8)
-        full[:, 8 - width :] = rest[:, begin : begin + width]
+        full[:, a:b] = rest[:, begin : begin + b - a]
         limbs.append(full.reshape(-1).view(">u8").astype(np.uint64))
-        begin += width
+        begin += b - a
     if q:
         limbs[0] |= quotient.astype(np.uint64) << np.uint64(64 - shared - q)
     if shared:
@@ -159,7 +175,9 @@ def merge(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
 
 def split(limbs: list[np.ndarray], counts: np.ndarray, size: int, shared: int, step: int) -> list[tuple[int, bytes]]:
     """(range, filter) for each range of the next ``step`` top bits that has entries."""
-    parts = (limbs[0] >> np.uint64(64 - shared - step)).astype(np.uint64)
-    begins = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(parts) else np.zeros(0, np.int64)
+    if not len(counts):
+        return []
+    parts = limbs[0] >> np.uint64(64 - shared - step)
+    begins = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
     whole = (shared + step) // 8 * 8  # filters share whole bytes
     return [(int(parts[i]), encode([x[i:j] for x in limbs], counts[i:j], size, whole)) for i, j in zip(begins, [*begins[1:], len(parts)], strict=True)]
