@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window, WindowSpec
 
+from marketlake.functions.prefix import running_sums, sliced_join
 from marketlake.functions.scan import linear_scan
 
 
@@ -119,27 +120,44 @@ def history(x: str, n: int) -> Column:
     return F.collect_list(x).over(last_n(n))
 
 
-def ema(df: DataFrame, x: str, n: int, out: str, seed: str = "first", key: str = "symbol", order: str = "ts", alpha: float | None = None) -> DataFrame:
+def ema(
+    df: DataFrame, x: str, n: int, out: str, seed: str = "first", key: str = "symbol", order: str = "ts", alpha: float | None = None, slices: str | None = None
+) -> DataFrame:
     """Exponential mean with weight 2/(n+1), or ``alpha``; it starts from the first non-null value, or for seed "sma" from
-    the mean of the first n, and is null before."""
+    the mean of the first n, and is null before. Rows without a value have no mean and do not move it. With ``slices``, a column that follows
+    the order, a symbol is computed slice by slice in as many tasks."""
     if n <= 0:
         raise ValueError("period must be positive")
     a = 2 / (n + 1) if alpha is None else alpha
-    w = by_symbol(key, order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("__n", F.count(x).over(w)).withColumn("__m", F.avg(x).over(w))
+    if slices is None:
+        w = by_symbol(key, order).rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumn("__n", F.count(x).over(w)).withColumn("__m", F.avg(x).over(w))
+    else:
+        df = running_sums(df, [key], slices, [order], {"__n": F.col(x).isNotNull().cast("long"), "__m": F.col(x).cast("double")})
+        df = df.withColumn("__m", F.try_divide("__m", "__n"))
     start = 1 if seed == "first" else n
-    u = F.when(F.col(x).isNull(), 0.0).when(F.col("__n") < start, 0.0).when(F.col("__n") == start, F.col("__m")).otherwise(F.col(x) * a)
-    done = linear_scan(df.withColumn("__u", u), key, order, "__u", 1 - a, "__y")
+    u = F.when(F.col("__n") < start, 0.0).when(F.col("__n") == start, F.col("__m")).otherwise(F.col(x) * a)
+    done = linear_scan(df.withColumn("__u", F.when(F.col(x).isNotNull(), u)), key, order, "__u", 1 - a, "__y", slices)
     return done.withColumn(out, F.when(F.col(x).isNotNull() & (F.col("__n") >= start), F.col("__y"))).drop("__n", "__m", "__u", "__y")
 
 
-def rsi(df: DataFrame, n: int = 14, x: str = "close", out: str = "rsi", key: str = "symbol", order: str = "ts") -> DataFrame:
+def _change(df: DataFrame, x: str, out: str, key: str, order: str, slices: str | None) -> DataFrame:
+    """The change from the row before; over slices the last value of the slice before is carried over."""
+    if slices is None:
+        return df.withColumn(out, F.col(x) - F.lag(x).over(by_symbol(key, order)))
+    ends = df.groupBy(key, slices).agg(F.max_by(F.struct(x), order).alias("__end"))
+    ends = ends.select(key, slices, F.lag("__end").over(Window.partitionBy(key).orderBy(slices))[x].alias("__end"))
+    w = Window.partitionBy(key, slices).orderBy(order)
+    rows = sliced_join(df.withColumn("__first", F.row_number().over(w) == 1).withColumn("__lag", F.lag(x).over(w)), ends, [key, slices])
+    return rows.withColumn(out, F.col(x) - F.when(F.col("__first"), F.col("__end")).otherwise(F.col("__lag"))).drop("__first", "__lag", "__end")
+
+
+def rsi(df: DataFrame, n: int = 14, x: str = "close", out: str = "rsi", key: str = "symbol", order: str = "ts", slices: str | None = None) -> DataFrame:
     """Wilder's index: simple means of the first n changes, then (mean * (n-1) + change) / n; no loss gives 100."""
-    change = F.col(x) - F.lag(x).over(by_symbol(key, order))
-    df = df.withColumn("__d", change).withColumn("__g", F.greatest("__d", F.lit(0.0))).withColumn("__l", F.greatest(-F.col("__d"), F.lit(0.0)))
+    df = _change(df, x, "__d", key, order, slices).withColumn("__g", F.greatest("__d", F.lit(0.0))).withColumn("__l", F.greatest(-F.col("__d"), F.lit(0.0)))
     df = df.withColumn("__g", F.when(F.col("__d").isNotNull(), F.col("__g"))).withColumn("__l", F.when(F.col("__d").isNotNull(), F.col("__l")))
-    df = ema(df, "__g", n, "__ag", "sma", key, order, 1 / n)
-    df = ema(df, "__l", n, "__al", "sma", key, order, 1 / n)
+    df = ema(df, "__g", n, "__ag", "sma", key, order, 1 / n, slices)
+    df = ema(df, "__l", n, "__al", "sma", key, order, 1 / n, slices)
     value = F.when(F.col("__al") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("__ag", "__al")))
     return df.withColumn(out, F.when(F.col("__al").isNotNull(), value)).drop("__d", "__g", "__l", "__ag", "__al")
 
@@ -154,10 +172,10 @@ def rsi_two_point(n: int = 14, x: str = "close", key: str = "symbol", order: str
     return F.when(before.isNotNull() & now.isNotNull(), F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(g, loss))))
 
 
-def macd(df: DataFrame, x: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+def macd(df: DataFrame, x: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, slices: str | None = None) -> DataFrame:
     """Adds macd, macd_signal and macd_hist; all means start from simple ones."""
-    df = ema(ema(df, x, fast, "__f", "sma"), x, slow, "__s", "sma")
-    df = ema(df.withColumn("macd", F.col("__f") - F.col("__s")), "macd", signal, "macd_signal", "sma")
+    df = ema(ema(df, x, fast, "__f", "sma", slices=slices), x, slow, "__s", "sma", slices=slices)
+    df = ema(df.withColumn("macd", F.col("__f") - F.col("__s")), "macd", signal, "macd_signal", "sma", slices=slices)
     return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("__f", "__s")
 
 

@@ -73,7 +73,20 @@ def vwap_schedule(parents: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def pov_schedule(parents: DataFrame, bars: DataFrame, rate: float = 0.1) -> DataFrame:
-    """(order_id, ts, quantity): max(1, int(volume * rate)) of each of the symbol's bars from the start on while any is left."""
-    rows = parents.join(bars.select("symbol", "ts", "volume"), "symbol").filter("ts >= start")
-    out = _capped(rows, F.greatest(F.floor(F.col("volume") * rate), F.lit(1)), "ts")
-    return out.filter("take > 0").select("order_id", "ts", F.col("take").alias("quantity"))
+    """(order_id, ts, quantity): max(1, int(volume * rate)) of each of the symbol's bars from the start on while any is left.
+
+    Bars have a running sum of what may be taken. Parents sorted in among them by time learn what was there before their start, and
+    sorted in by that plus their quantity, at which bar it is used up; so a parent meets only the bars that it takes from, and no others.
+    """
+    by_time = Window.partitionBy("symbol").orderBy("ts", "bar", "order_id").rowsBetween(Window.unboundedPreceding, 0)
+    takes = bars.filter("ts IS NOT NULL").select("symbol", "ts", F.greatest(F.floor(F.col("volume") * rate), F.lit(1)).cast("long").alias("want"), F.lit(True).alias("bar"))
+    asks = parents.filter("quantity > 0 AND start IS NOT NULL").select("symbol", F.col("start").alias("ts"), F.lit(0).cast("long").alias("want"), F.lit(False).alias("bar"), "order_id", "quantity")
+    both = takes.unionByName(asks, allowMissingColumns=True)  # of equal times a parent comes first: its own bar counts
+    both = both.withColumn("upto", F.sum("want").over(by_time)).withColumn("number", F.count_if("bar").over(by_time))
+    by_volume = Window.partitionBy("symbol").orderBy("at", "bar", "order_id").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("at", F.col("upto") + F.coalesce("quantity", F.lit(0)))
+    both = both.withColumn("bars_before", F.count_if("bar").over(by_volume))
+    found = both.filter("NOT bar").select("symbol", "order_id", F.col("upto").alias("base"), F.col("at").alias("end"), F.explode(F.sequence(F.col("number") + 1, F.col("bars_before") + 1)).alias("number"))
+    numbered = both.filter("bar").select("symbol", "number", "ts", "want", "upto")
+    taken = F.least("upto", "end") - F.greatest(F.col("upto") - F.col("want"), F.col("base"))
+    return found.join(numbered, ["symbol", "number"]).select("order_id", "ts", taken.alias("quantity")).filter("quantity > 0")

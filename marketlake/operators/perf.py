@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from marketlake.functions.prefix import running_sums, slice_of, value_bounds
+
 
 def performance_report(nav: DataFrame, benchmark: DataFrame | None = None, rf: float = 0.03, periods: int = 252) -> DataFrame:
     """One row per strategy from (strategy, ts, total_value[, positions_value, positions_count]).
@@ -103,12 +105,13 @@ def histogram_percentile(hist: DataFrame, q: float, lowest: float = 0.0) -> Data
 
 
 def classification_metrics(df: DataFrame, score: str, label: str, cutoff: float = 0.5) -> DataFrame:
-    """Accuracy, precision, recall, and the area under the curve from rank sums of distinct scores."""
+    """Accuracy, precision, recall, and the area under the curve from rank sums of distinct scores, added up by slices of the scores."""
     p, y = F.col(score) >= cutoff, F.col(label) == 1
     base = df.agg(F.avg((p == y).cast("double")).alias("accuracy"), F.try_divide(F.count_if(p & y), F.count_if(p)).alias("precision"), F.try_divide(F.count_if(p & y), F.count_if(y)).alias("recall"))
     d = df.groupBy(score).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-    below = F.sum("neg").over(Window.orderBy(score)) - F.col("neg")
-    auc = d.withColumn("below", below).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
+    d = d.withColumn("slice", slice_of(F.col(score).cast("double"), value_bounds(d, score)))
+    below = running_sums(d, [], "slice", [score], {"upto": F.col("neg")}).withColumn("below", F.col("upto") - F.col("neg"))
+    auc = below.agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
     return base.join(F.broadcast(auc))  # one row each
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from marketlake.functions.prefix import running_sums, slice_of, value_bounds
+
 
 def cs_zscore(x: str, by: str = "date") -> Column:
     d = Window.partitionBy(by)
@@ -50,18 +52,13 @@ def ts_rank_pct(x: str, key: str = "symbol") -> Column:
 
 def rank_ic(df: DataFrame, pred: str, actual: str) -> DataFrame:
     """Spearman correlation over all rows with both values. Ranks over a whole table need one total order: the ranks
-    come from counts per distinct value, added up, so no row-level window runs in one task."""
+    come from counts per distinct value, added up by slices of the values, so no row-level window runs in one task."""
     both = df.filter(F.col(pred).isNotNull() & F.col(actual).isNotNull())
     for c in (pred, actual):
         counts = both.groupBy(c).agg(F.count("*").alias("__n"))
-        # buckets of the value's rank in time order: one small total per range partition, then an offset for each
-        ordered = counts.repartitionByRange(c).withColumn("__p", F.spark_partition_id())
-        inside = F.sum("__n").over(Window.partitionBy("__p").orderBy(c))
-        offsets = ordered.groupBy("__p").agg(F.sum("__n").alias("__t"))
-        offsets = offsets.withColumn("__o", F.sum("__t").over(Window.orderBy("__p")) - F.col("__t")).drop("__t")  # a row per partition
-        ranked = ordered.withColumn("__r", inside).join(F.broadcast(offsets), "__p")
-        ranked = ranked.select(c, (F.col("__o") + F.col("__r") - (F.col("__n") - 1) / 2).alias(f"__rank_{c}"))
-        both = both.join(ranked, c)
+        counts = counts.withColumn("__slice", slice_of(F.col(c).cast("double"), value_bounds(both, c)))
+        upto = running_sums(counts, [], "__slice", [c], {"__upto": F.col("__n")})
+        both = both.join(upto.select(c, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(f"__rank_{c}")), c)
     return both.agg(F.corr(f"__rank_{pred}", f"__rank_{actual}").alias("rank_ic"))
 
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.functions import factors, signals
+from marketlake.plans.spec import node_order
 
 
 def _column(make: Callable[..., Column]) -> Callable[[DataFrame, list[str], dict, str], DataFrame]:
@@ -46,13 +46,8 @@ def apply_factor_graph(bars: DataFrame, spec: list[dict], extra: dict[str, Calla
             raise ValueError(f"unknown operation {n['op']}")
         if bad := [i for i in n["inputs"] if i not in nodes and i not in bars.columns]:
             raise ValueError(f"{n['id']} refers to {bad}")
-    try:
-        order = list(TopologicalSorter({k: {i for i in n["inputs"] if i in nodes} for k, n in nodes.items()}).static_order())
-    except CycleError as e:
-        raise ValueError(f"cycle: {e.args[1]}") from e
-    for name in order:
-        n = nodes[name]
-        bars = ops[n["op"]](bars, n["inputs"], n.get("params", {}), name)
+    for n in node_order(spec):
+        bars = ops[n["op"]](bars, n["inputs"], n.get("params", {}), n["id"])
     return bars
 
 

@@ -76,7 +76,7 @@ def _chain(spark, d):
     root = f"{shared_root(spark)}/chain-{uuid.uuid4().hex}"
     with state_store(spark):
         live.chain(events_stream(spark, d).withColumnRenamed("price", "close"), f"{root}/t", f"{root}/c", lambda s: s.withColumn("approved", F.col("close") < 100)).awaitTermination()
-    return spark.read.parquet(f"{root}/t/orders").groupBy("symbol", "side", "approved").agg(F.count("*").alias("n"))
+    return live.chain_tables(spark, f"{root}/t")["orders"].groupBy("symbol", "side", "approved").agg(F.count("*").alias("n"))
 
 
 add("st10_live_chain", _chain, ORACLE["st05_live_signals"].replace("SELECT symbol, ts, ", "SELECT symbol, ts, close, ").replace("SELECT symbol, CASE", "SELECT symbol, close < 100 AS approved, CASE").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3"))

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from marketlake.functions import news as nw
 from marketlake.operators import backtest as bt
 from marketlake.operators.orders import TRANSITIONS
-from marketlake.sources.bars import upsert
+from marketlake.sources.merge_table import MergeTable
+from marketlake.streaming.spec_factors import live_spec_factors
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -41,35 +40,27 @@ def subscribe(events: DataFrame, symbols: list[str] | None = None, types: list[s
     return events.filter(F.col("type").isin(types)) if types else events
 
 
-def upsert_sink(path: str, keys: list[str], sequence: str | None = None) -> Callable[[DataFrame, int], None]:
+def upsert_sink(path: str, keys: list[str], sequence: str | None = None, part: Column | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: last write per key wins, within a batch the one with the greatest ``sequence``.
 
-    A batch only adds a folder of its own: written beside the table, then put into it by one rename, so a reader never sees half
-    of it. A batch that is replayed finds its folder and adds nothing. Nothing that was written is read or replaced here.
+    A batch is a layer of the parts that it touches in a ``MergeTable``, in the log by one entry, so a reader never sees half of it; a
+    batch that is replayed is there already and adds nothing.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        target, staging = f"{path}/batch={number}", f"{path}-staging-{uuid.uuid4().hex}"
-        where, name = fs.FileSystem.from_uri(target)
-        if where.get_file_info(name).type != fs.FileType.NotFound:
-            return
-        upsert(batch.limit(0), batch, keys, sequence).write.parquet(staging)
-        where.create_dir(name.rsplit("/", 1)[0], recursive=True)
-        where.move(fs.FileSystem.from_uri(staging)[1], name)
+        MergeTable(batch.sparkSession, path, keys, part, sequence).merge(batch, "upserts", number)
 
     return write
 
 
 def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """An upserted table as it is now: of each key the row of the last batch that has it."""
-    rows = spark.read.parquet(path)
-    w = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
-    return rows.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "batch")
+    return MergeTable(spark, path, keys).read()
 
 
-def compact(spark: SparkSession, path: str, target: str, keys: list[str]) -> None:
-    """The table at the path as batch -1 of a new table at ``target``, for when batches have become many."""
-    upsert_sink(target, keys)(current(spark, path, keys), -1)
+def compact(spark: SparkSession, path: str, target: str, keys: list[str], part: Column | None = None) -> None:
+    """The table at the path as a new one of one layer at ``target``; ``MergeTable.compact`` does it in place."""
+    MergeTable(spark, target, keys, part).merge(current(spark, path, keys))
 
 
 class LiveFactors(StatefulProcessor):
@@ -110,38 +101,108 @@ def live_factors(bars: DataFrame) -> DataFrame:
 
 
 class Breaker(StatefulProcessor):
-    """Orders of an account in time order; after some rejections in a row all are rejected for a while."""
+    """Orders of an account in time order; after some rejections in a row all are rejected for a while. With event time a timer ends it."""
 
-    def __init__(self, rejects: int, seconds: float) -> None:
-        self.rejects, self.seconds = rejects, seconds
+    def __init__(self, rejects: int, seconds: float, timers: bool = False) -> None:
+        self.rejects, self.seconds, self.timers = rejects, seconds, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("breaker", "streak int, until timestamp")
 
+    def rows(self, out: list[tuple]) -> pd.DataFrame:
+        if self.timers:
+            frame = pd.DataFrame(out, columns=["order_id", "account", "ts", "broken", "final", "reset"])
+            return frame.astype({"order_id": "Int64", "ts": "datetime64[us]"})
+        return pd.DataFrame([(i, account, broken, final) for i, account, _, broken, final, _ in out], columns=["order_id", "account", "broken", "final"])
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         streak, until = self.state.get() if self.state.exists() else (0, None)
         out, batch = [], pd.concat(list(rows)).sort_values(["ts", "order_id"])
         for order, ts, ok in zip(batch["order_id"], batch["ts"], batch["approved"], strict=True):
+            if self.timers and until is not None and ts >= until:  # ended before the order, though the timer has not come yet
+                self.handle.deleteTimer(_millis(until))
+                out.append((None, key[0], until, False, None, True))
+                streak, until = 0, None
             broken = until is not None and ts < until
             if not broken:
                 streak = 0 if ok else streak + 1
                 if streak >= self.rejects:
                     streak, until = 0, ts + pd.Timedelta(seconds=self.seconds)
-            out.append((int(order), key[0], bool(broken), bool(ok and not broken)))
+                    if self.timers:
+                        self.handle.registerTimer(_millis(until))
+            out.append((int(order), key[0], ts, bool(broken), bool(ok and not broken), False))
         self.state.update((int(streak), until))
-        yield pd.DataFrame(out, columns=["order_id", "account", "broken", "final"])
+        yield self.rows(out)
+
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        streak, until = self.state.get() if self.state.exists() else (0, None)
+        if until is not None and _millis(until) <= expired.getExpiryTimeInMs():
+            self.state.clear()
+            yield self.rows([(None, key[0], pd.Timestamp(until), False, None, True)])
 
     def close(self) -> None:
         pass
 
 
+def _millis(ts) -> int:
+    return int(pd.Timestamp(ts).timestamp() * 1000)
+
+
 def circuit_breaker(orders: DataFrame, rejects: int = 3, seconds: float = 300.0) -> DataFrame:
     """A stream of checked orders (order_id, account, ts, approved) with broken and final."""
     return orders.groupBy("account").transformWithStateInPandas(Breaker(rejects, seconds), "order_id long, account long, broken boolean, final boolean", "Append", "None")
 
 
+def timed_breaker(orders: DataFrame, rejects: int = 3, seconds: float = 300.0, delay: str = "1 minute") -> DataFrame:
+    """As ``circuit_breaker``, in event time: (order_id, account, ts, broken, final, reset) with a row of its own, without an order, when a
+    breaker closes. A timer closes it once the watermark has passed the end of its cooldown, whether or not the account orders again, and the
+    account's state goes; orders later than the delay are dropped."""
+    schema = "order_id long, account long, ts timestamp, broken boolean, final boolean, reset boolean"
+    rows = orders.withWatermark("ts", delay).select("order_id", "account", "ts", "approved")
+    return rows.groupBy("account").transformWithStateInPandas(Breaker(rejects, seconds, True), schema, "Append", "EventTime")
+
+
+class Rates(StatefulProcessor):
+    """Each order of an account with the number of its orders in the seconds up to it; only the times of these seconds are kept."""
+
+    def __init__(self, limit: int, seconds: int) -> None:
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "second long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["ts", "order_id"])
+        before = np.array([t for (t,) in self.times.get()], np.int64) if self.times.exists() else np.zeros(0, np.int64)
+        now = np.array([pd.Timestamp(t).timestamp() // 1 for t in batch["ts"]], np.int64)
+        every = np.sort(np.concatenate([before, now]))
+        n = np.searchsorted(every, now, "right") - np.searchsorted(every, now - self.seconds, "left")
+        kept = every[every >= every[-1] - self.seconds]
+        self.times.put([(int(t),) for t in kept])
+        self.handle.registerTimer(int(every[-1] + self.seconds + 1) * 1000)
+        yield pd.DataFrame({"order_id": batch["order_id"].astype("int64").to_numpy(), "account": key[0], "ts": batch["ts"].to_numpy(), "orders": n, "passed": n <= self.limit})
+
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        if self.times.exists() and max(t for (t,) in self.times.get()) + self.seconds < expired.getExpiryTimeInMs() // 1000:
+            self.times.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def order_rate_limit(orders: DataFrame, limit: int, seconds: int = 60, delay: str = "1 minute") -> DataFrame:
+    """A stream of orders (order_id, account, ts) with orders, their number in the account's last seconds, this one and others of its second
+    included, and passed. An account's state goes when the watermark has passed its last order by as long."""
+    schema = "order_id long, account long, ts timestamp, orders long, passed boolean"
+    rows = orders.withWatermark("ts", delay).select("order_id", "account", "ts")
+    return rows.groupBy("account").transformWithStateInPandas(Rates(limit, seconds), schema, "Append", "EventTime")
+
+
 def order_rates(orders: DataFrame, limit: int, delay: str = "1 minute") -> DataFrame:
-    """(account, start, n) of the sliding minutes in which an account sends more orders than the limit."""
+    """(account, start, n) of the sliding minutes in which an account sends more orders than the limit; ``order_rate_limit`` judges each order."""
     w = orders.withWatermark("ts", delay).groupBy("account", F.window("ts", "60 seconds", "10 seconds")).agg(F.count("*").alias("n"))
     return w.filter(F.col("n") > limit).select("account", F.col("window.start").alias("start"), "n")
 
@@ -192,21 +253,43 @@ def envelope(df: DataFrame, channel: Column, ts: str = "ts") -> DataFrame:
     return df.select(F.to_json(F.struct(channel.alias("channel"), data.alias("data"), F.col(ts).alias("ts"))).alias("value"))
 
 
-def chain(bars: DataFrame, path: str, checkpoint: str, rules: Callable[[DataFrame], DataFrame], trigger: dict | None = None) -> StreamingQuery:
-    """Bars to factors to signals to checked orders to fills, one query; each stage appends to a table under ``path``. Orders that the rules
-    reject have no fill; the others fill at the close, worsened by slippage, with commission."""
+CHAIN = ("factors", "signals", "orders", "fills")
+
+
+def chain(
+    bars: DataFrame, path: str, checkpoint: str, rules: Callable[[DataFrame], DataFrame], trigger: dict | None = None, spec: list[dict] | None = None, signals: tuple[str, ...] = ("cross",)
+) -> StreamingQuery:
+    """Bars to factors to signals to checked orders to fills, one query; each stage merges into a table under ``path``. Factors are those of
+    the spec, or three means and their cross. Of a bar's signals the first one that is not zero counts, in the order given. Orders that the rules
+    reject have no fill; the others fill at the close, worsened by slippage, with commission. A replayed batch adds nothing to the tables
+    that have it; ``chain_tables`` reads them at a batch that all have."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
-        signals = batch.filter("cross <> 0").select("symbol", "ts", "close", F.col("cross").alias("signal"))
-        orders = rules(signals.withColumn("side", F.when(F.col("signal") > 0, "BUY").otherwise("SELL")))
-        price = bt.slippage(F.col("close"), F.col("side"))
-        fills = orders.filter("approved").select("symbol", "ts", "side", price.alias("price"), bt.commission(price, F.col("side")).alias("commission"))
-        for name, df in (("factors", batch), ("signals", signals), ("orders", orders), ("fills", fills)):
-            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-        batch.unpersist()
-
-    return live_factors(bars).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        try:
+            fired = F.coalesce(*[F.when(F.col(s) != 0, F.col(s)) for s in signals])
+            found = batch.withColumn("signal", fired).filter("signal IS NOT NULL").select("symbol", "ts", "close", "signal")
+            orders = rules(found.withColumn("side", F.when(F.col("signal") > 0, "BUY").otherwise("SELL")))
+            price = bt.slippage(F.col("close"), F.col("side"))
+            fills = orders.filter("approved").select("symbol", "ts", "side", price.alias("price"), bt.commission(price, F.col("side")).alias("commission"))
+            for name, df in zip(CHAIN, (batch, found, orders, fills), strict=True):
+                MergeTable(batch.sparkSession, f"{path}/{name}", ["symbol", "ts"]).merge(df, "chain", number)
+        finally:
+            batch.unpersist()
+
+    if spec is None:
+        factors = live_factors(bars)
+    else:
+        nodes = live_spec_factors(bars.withColumn("__close", F.col("close")), [*spec, {"id": "close", "op": "FIELD", "inputs": ["__close"]}], {"FIELD": lambda state, ins, params: ins[0]})
+        factors = nodes.filter("NOT late").drop("late")
+    return factors.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def chain_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a chain by name, all as of the last batch that each of them has."""
+    tables = {name: MergeTable(spark, f"{path}/{name}", ["symbol", "ts"]) for name in CHAIN}
+    batch = min(t.last_batch("chain") for t in tables.values())
+    return {name: t.read(t.version_with("chain", batch)) for name, t in tables.items()}
 
 
 def news_stream(news: DataFrame, **dictionaries) -> DataFrame:
