@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window, WindowSpec
 
-from marketlake.functions.prefix import running_sums, sliced_join
+from marketlake.functions.prefix import cut, running_sums, sliced_join
 from marketlake.functions.scan import linear_scan
 
 
@@ -125,7 +125,7 @@ def ema(
 ) -> DataFrame:
     """Exponential mean with weight 2/(n+1), or ``alpha``; it starts from the first non-null value, or for seed "sma" from
     the mean of the first n, and is null before. Rows without a value have no mean and do not move it. With ``slices``, a column that follows
-    the order, a symbol is computed slice by slice in as many tasks."""
+    the order, a symbol is computed slice by slice in as many tasks; rows are checkpointed between the steps."""
     if n <= 0:
         raise ValueError("period must be positive")
     a = 2 / (n + 1) if alpha is None else alpha
@@ -133,7 +133,7 @@ def ema(
         w = by_symbol(key, order).rowsBetween(Window.unboundedPreceding, 0)
         df = df.withColumn("__n", F.count(x).over(w)).withColumn("__m", F.avg(x).over(w))
     else:
-        df = running_sums(df, [key], slices, [order], {"__n": F.col(x).isNotNull().cast("long"), "__m": F.col(x).cast("double")})
+        df = running_sums(cut(df), [key], slices, [order], {"__n": F.col(x).isNotNull().cast("long"), "__m": F.col(x).cast("double")})
         df = df.withColumn("__m", F.try_divide("__m", "__n"))
     start = 1 if seed == "first" else n
     u = F.when(F.col("__n") < start, 0.0).when(F.col("__n") == start, F.col("__m")).otherwise(F.col(x) * a)
@@ -145,6 +145,7 @@ def _change(df: DataFrame, x: str, out: str, key: str, order: str, slices: str |
     """The change from the row before; over slices the last value of the slice before is carried over."""
     if slices is None:
         return df.withColumn(out, F.col(x) - F.lag(x).over(by_symbol(key, order)))
+    df = cut(df)
     ends = df.groupBy(key, slices).agg(F.max_by(F.struct(x), order).alias("__end"))
     ends = ends.select(key, slices, F.lag("__end").over(Window.partitionBy(key).orderBy(slices))[x].alias("__end"))
     w = Window.partitionBy(key, slices).orderBy(order)

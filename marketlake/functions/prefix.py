@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the cluster's shared folder (``spark.checkpoint.dir``), so that what reads it twice does not compute it twice."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="marketlake-"))
+    return df.checkpoint()
+
+
 def value_bounds(df: DataFrame, x: str, n: int = 128) -> list[float]:
     """Bounds of about n slices of equal rows, from approximate quantiles; how good they are decides how even slices are, not what they give."""
     wanted = [i / n for i in range(1, n)]

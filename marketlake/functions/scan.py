@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from marketlake.functions.prefix import sliced_join
+from marketlake.functions.prefix import cut, sliced_join
 
 #: Blocks are so long that a carry shrinks to 1e-8 over one, so what comes from beyond two blocks is below a double's precision.
 _SHRINK = 1e-8
@@ -50,6 +50,7 @@ def _scan(df: DataFrame, keys: list[str], order: str, u: str, c: float, out: str
 def _sliced(df: DataFrame, key: str, order: str, u: str, c: float, out: str, slices: str) -> DataFrame:
     inside = Window.partitionBy(key, slices).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = _scan(df.withColumn("__at", F.count(u).over(inside)), [key, slices], order, u, c, "__local", F.col("__at") - 1)
+    rows = cut(rows)  # read for the maps and again for the result
     # a row a slice: how many steps it has and where it ends on its own
     maps = rows.groupBy(key, slices).agg(F.max("__at").alias("m"), F.max_by("__local", order).alias("e"))
     so_far = Window.partitionBy(key).orderBy(slices).rowsBetween(Window.unboundedPreceding, 0)

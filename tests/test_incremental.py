@@ -152,17 +152,19 @@ def test_state_does_not_grow():
         assert max(sizes[100:]) <= max(sizes[:100]) + 40
 
 
-@pytest.mark.parametrize("width", [1, 7, 200, 10_000])
+@pytest.mark.parametrize("width", [7, 10_000])
 def test_slices_of_a_symbol_give_the_same(spark, width):
     rows = [("a", i, None if i % 17 == 3 or 300 < i < 340 else float((i * 37) % 101)) for i in range(1200)] + [("b", i, 1.0) for i in range(3)] + [("c", 1, None)]
     df = spark.createDataFrame(rows, "symbol string, ts int, close double").withColumn("slice", F.floor(F.col("ts") / width))
-    one, many = df, df
-    for n, seed in ((9, "first"), (14, "sma"), (300, "sma")):
-        one, many = fx.ema(one, "close", n, f"e{n}", seed), fx.ema(many, "close", n, f"e{n}", seed, slices="slice")
-    one, many = fx.macd(fx.rsi(one)), fx.macd(fx.rsi(many, slices="slice"), slices="slice")
-    a, b = ({(r["symbol"], r["ts"]): r for r in x.collect()} for x in (one, many))
-    assert a.keys() == b.keys()
-    assert [(k, c, a[k][c], b[k][c]) for k in a for c in ("e9", "e14", "e300", "rsi", "macd_hist") if a[k][c] != pytest.approx(b[k][c], abs=1e-9)] == []
+    for one, many in (
+        (fx.ema(df, "close", 9, "y"), fx.ema(df, "close", 9, "y", slices="slice")),
+        (fx.ema(df, "close", 300, "y", "sma"), fx.ema(df, "close", 300, "y", "sma", slices="slice")),
+        (fx.rsi(df, out="y"), fx.rsi(df, out="y", slices="slice")),
+        (fx.macd(df).withColumnRenamed("macd_hist", "y"), fx.macd(df, slices="slice").withColumnRenamed("macd_hist", "y")),
+    ):
+        a, b = ({(r["symbol"], r["ts"]): r["y"] for r in x.collect()} for x in (one, many))
+        assert a.keys() == b.keys() and any(v is not None for v in a.values())
+        assert [(k, a[k], b[k]) for k in a if a[k] != pytest.approx(b[k], abs=1e-9)] == []
 
 
 def test_a_missing_value_does_not_move_a_mean(spark):
