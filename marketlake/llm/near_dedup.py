@@ -413,9 +413,13 @@ def _labels(sigs: DataFrame, texts: DataFrame, k: int, threshold: float, trees:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with the smallest id; equal rows are one.
 
-    Rows without an id and rows without words are kept as they are.
+    Rows without an id and rows without words are kept as they are. Of an id with several texts all rows stay or go together, as the
+    id does. Columns of any name are carried.
     """
     found = near_duplicates(docs, id_col, text_col, shingle, threshold)
-    kept = materialize(found.filter(F.col(id_col).isNotNull() & F.col("kept")).select(F.col(id_col).alias("__kept")).distinct(), "kept")
-    rows = docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    mark = "__kept"
+    while mark in docs.columns:
+        mark += "_"
+    kept = materialize(found.filter(F.col(id_col).isNotNull() & F.col("kept")).select(F.col(id_col).alias(mark)).distinct(), "kept")
+    rows = docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col(mark), "left_semi").dropDuplicates()
     return rows.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import collections
 import random
 
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from marketlake.llm import near_dedup
 from marketlake.llm.encode import default_path
 
 SYLLABLES = "the of and thing er ion est ha re on in at ble ou wh".split()
@@ -62,3 +64,16 @@ def test_stages_on_odd_rows(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path, [], [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_deduplicate_keeps_all_texts_of_an_id_and_columns_of_any_name(spark):
+    words = [f"w{i}" for i in range(40)]
+    first, other = " ".join(words), " ".join(reversed(words))
+    rows = [(1, first, 7), (1, other, 7), (1, other, 7), (2, first + " more", 8), (None, first, 9), (None, first, 9), (3, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __kept int").withColumn("__kept_", F.lit("x"))
+    got = near_dedup.deduplicate(docs)
+    assert got.columns == docs.columns
+    found = sorted(((r["doc_id"], r["text"], r["__kept"]) for r in got.collect()), key=str)
+    kept = [r for r in found if r[0] == 1]
+    assert kept == sorted([(1, first, 7), (1, other, 7)], key=str)
+    assert [r for r in found if r[0] is None] == [(None, first, 9)] * 2 and (3, None, 1) in found
