@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from marketlake.llm import quotient_filter as qf
-from marketlake.llm.shared import materialize, numbered, passing_tables, spread_rows
+from marketlake.llm.shared import materialize, passing_tables, spread_rows
 
 _BREAK = b"\xff"  # no byte of UTF-8
 _BYTES = bytes(0xFF if x in b".,;:!?\n\x0b\x0c\r" else 0x20 if x == 9 else x + 32 if 65 <= x <= 90 else x for x in range(256))
@@ -94,14 +94,28 @@ def _blocks(docs: DataFrame, longest: int, size: int) -> DataFrame:
     return docs.mapInArrow(run, "block long, skip int, tokens binary, langs array<string>, lang_at array<int>, words array<string>, counts array<long>")
 
 
-def count_phrases(words: DataFrame, blocks: DataFrame, vocabulary: DataFrame, least: int, longest: int, fan_bits: int) -> DataFrame:
+def _known(words: DataFrame, blocks: DataFrame, least: int) -> DataFrame:
+    """(block, local, id, lang, word, count): the id of each block's frequent words; language, word and count stand in one row of each word only.
+
+    Words are dealt into buckets by hash and sorted there once: that gives their counts, ids without gaps in a bucket, and each block's share.
+    """
+    rows = blocks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    buckets = max(64, int(rows // 200_000))
+    own = Window.partitionBy("bucket", "lang", "word")
+    found = words.withColumn("bucket", F.pmod(F.xxhash64("lang", "word"), F.lit(buckets))).withColumn("count", F.sum("count").over(own)).filter(F.col("count") >= least)
+    found = found.withColumn("rank", F.dense_rank().over(Window.partitionBy("bucket").orderBy("lang", "word"))).withColumn("first", F.row_number().over(own.orderBy("block")) == 1)
+    shown = [F.when(F.col("first"), F.col(c)).alias(c) for c in ("lang", "word", "count")]
+    return found.select("block", "local", ((F.col("rank") - 1) * buckets + F.col("bucket") + 1).alias("id"), *shown)
+
+
+def count_phrases(known: DataFrame, blocks: DataFrame, least: int, longest: int, fan_bits: int) -> DataFrame:
     """(key, f): arrays of the ids of 2 to ``longest`` words that occur ``least`` times or more.
 
     Each block makes one filter of its n-grams and sends each range of it to its own group; groups merge the sorted filters of up to
     2^fan_bits blocks. While several groups hold a range, it is split further and they are merged in turn, so the messages of a round grow with
     the input and the rounds with its logarithm. The permutation makes ranges alike, whatever words are frequent.
     """
-    bits = max(1, int(vocabulary.count()).bit_length())
+    bits = max(1, int(known.agg(F.max("id")).first()[0] or 0).bit_length())
     lengths = {n: qf.key_bits(n, bits) for n in range(2, longest + 1)}  # each length has a filter of its own, as wide as its ids
     fan = 1 << fan_bits
     groups = -(-max(1, blocks.count()) // fan)
@@ -136,8 +150,8 @@ def count_phrases(words: DataFrame, blocks: DataFrame, vocabulary: DataFrame, le
                     grams[n] = qf.combine(limbs, np.ones(len(limbs[0]), np.int64))
         return send(grams, 0, block=key[0])
 
-    known = words.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("of"), "local", "id")
-    grouped = blocks.select("block", "skip", "tokens").groupBy("block").cogroup(known.groupBy("of"))
+    asked = known.select(F.col("block").alias("of"), "local", "id")
+    grouped = blocks.select("block", "skip", "tokens").groupBy("block").cogroup(asked.groupBy("of"))
     filters = grouped.applyInPandas(shard, "part long, block long, filters array<binary>")
     filters = filters.select("part", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"), "filters")
     def merge_at(shared: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
@@ -179,10 +193,10 @@ def phrases(
         blocks = materialize(_blocks(spread_rows(picked.filter("text <> ''")), longest, block_tokens), "blocks")
         words = blocks.select("block", "langs", F.posexplode(F.arrays_zip("lang_at", "words", "counts")).alias("at", "w"))
         words = words.select("block", (F.col("at") + 1).alias("local"), F.element_at("langs", F.col("w.lang_at") + 1).alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
-        counted = words.groupBy("lang", "word").agg(F.sum("count").alias("count"))
-        vocabulary = numbered(counted.filter(F.col("count") >= least), ["lang", "word"], "vocabulary").withColumn("id", F.col("number") + 1)
         totals = materialize(words.groupBy("lang").agg(F.sum("count").alias("n")), "totals")
-        found = materialize(count_phrases(words, blocks, vocabulary, least, longest, fan_bits), "found")
+        known = materialize(_known(words, blocks, least), "known")
+        vocabulary = known.filter("word IS NOT NULL").select("id", "lang", "word", "count")
+        found = materialize(count_phrases(known, blocks, least, longest, fan_bits), "found")
         # words of phrases: a frequent word is asked for by many, so each asks one of its copies
         copies = vocabulary.select("id", "lang", "word", "count", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
         asked = found.select("key", "f", F.posexplode("key").alias("at", "id")).withColumn("salt", F.pmod(F.xxhash64("key", "at"), F.lit(salts)).cast("int"))
