@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from marketlake.functions.factors import sma
+
 
 def slippage(price: Column, side: Column, model: str = "percentage", rate: float = 0.001) -> Column:
     """The price worsened for the side: by a share, a fixed amount or basis points."""
@@ -45,15 +47,9 @@ def trade_log(fills: DataFrame) -> DataFrame:
     return fills.select(F.to_date("ts").alias("date"), "symbol", "side", "quantity", F.round("price", 2).alias("price"))
 
 
-def backtest_single(bars: DataFrame, signal: str, keys: list[str], cash: float = 1_000_000.0, buy_weight: float = 0.95, sell_weight: float = 1.0, min_signal: float = 0.0) -> DataFrame:
-    """NAV rows (keys, ts, cash, position, total_value) of each group of ``keys`` on its own cash.
-
-    Signals change the state, other bars do not: only rows with a signal are folded, in time order within each group, and what
-    comes out is carried forward to all bars by a window. A positive signal buys int(cash * weight / price), a negative one
-    sells int(position * weight). The fold is sequential by nature; it sees signal rows only, spread over all groups, and streams
-    through them in sorted batches with the state of one group.
-    """
-    live = bars.filter((F.abs(signal) > min_signal) & (F.col(signal) != 0) & F.col(signal).isNotNull() & (F.col("close") > 0))
+def _states(live: DataFrame, signal: str, keys: list[str], cash: float, buy_weight: float, sell_weight: float) -> DataFrame:
+    """(keys, ts, __cash, __pos) after each row with a signal, in time order within each group. A positive signal buys int(cash * weight / price),
+    a negative one sells int(position * weight). The fold streams through sorted batches with the state of one group."""
     rows = live.select(*keys, "ts", F.col(signal).alias("__s"), F.col("close").alias("__p"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, "ts").schema) + ", __cash double, __pos long"
 
@@ -74,37 +70,53 @@ def backtest_single(bars: DataFrame, signal: str, keys: list[str], cash: float =
                 out.append((money, held))
             yield batch[[*keys, "ts"]].assign(__cash=[x[0] for x in out], __pos=[x[1] for x in out])
 
-    state = rows.repartition(*keys).sortWithinPartitions(*keys, "ts").mapInPandas(fold, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "ts").mapInPandas(fold, schema)
+
+
+def _live(signal: str, least: float = 0.0) -> Column:
+    return (F.abs(signal) > least) & (F.col(signal) != 0) & F.col(signal).isNotNull() & (F.col("close") > 0)
+
+
+def backtest_single(bars: DataFrame, signal: str, keys: list[str], cash: float = 1_000_000.0, buy_weight: float = 0.95, sell_weight: float = 1.0, min_signal: float = 0.0) -> DataFrame:
+    """NAV rows (keys, ts, cash, position, total_value) of each group of ``keys`` on its own cash.
+
+    Signals change the state, other bars do not: only rows with a signal are folded, and what comes out is carried forward to all bars by a
+    window. The fold is sequential by nature; it sees signal rows only, spread over all groups.
+    """
+    state = _states(bars.filter(_live(signal, min_signal)), signal, keys, cash, buy_weight, sell_weight)
     w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     nav = bars.select(*keys, "ts", "close").join(state, [*keys, "ts"], "left")
     money, held = F.coalesce(F.last("__cash", True).over(w), F.lit(cash)), F.coalesce(F.last("__pos", True).over(w), F.lit(0))
     return nav.select(*keys, "ts", money.alias("cash"), held.cast("long").alias("position"), (money + held * F.col("close")).alias("total_value"))
 
 
+#: So many strategies at most are broadcast to the bars; more are joined by the shuffle of a plain cross join's rows.
+FEW = 10_000
+
+
 def batch_backtest(bars: DataFrame, strategies: DataFrame, cash: float = 1_000_000.0) -> DataFrame:
     """(strategy, symbol, final_value, n, error) of average crosses (strategy, fast, slow) on every symbol, each on its own cash.
 
-    A strategy with bad periods has one row with its error, and the others run. Each average is a window over the arrays
-    of the last closes, as wide as the longest period; strategies are few.
+    A strategy with bad periods has one row with its error, and the others run. There is one window for each distinct period; bars meet
+    the strategies map-side and only rows with a signal go on to the fold. A final value needs the last state and the last bar.
     """
     wrong = F.when(F.coalesce(F.col("fast") <= 0, F.lit(True)) | F.coalesce(F.col("slow") <= 0, F.lit(True)), "period must be positive").when(F.col("fast") >= F.col("slow"), "fast period must be below slow")
     checked = strategies.withColumn("error", wrong)
-    good = checked.filter("error is null")
-    longest = good.agg(F.max("slow")).first()[0] or 1
-    w = Window.partitionBy("symbol").orderBy("ts")
-    closes = bars.select("symbol", "ts", "close", F.collect_list("close").over(w.rowsBetween(-longest, 0)).alias("c"), F.row_number().over(w).alias("i"))
-
-    def mean(n: Column, back: int) -> Column:
-        """The mean of the n closes that end ``back`` rows before."""
-        part = F.slice("c", F.size("c") - back - n + 1, n)
-        return F.when(F.col("i") - back >= n, F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / n)
-
-    rows = closes.join(F.broadcast(good.select("strategy", "fast", "slow")), how="cross")
-    f, s, pf, ps = (mean(F.col(c), back) for back in (0, 1) for c in ("fast", "slow"))
+    good = checked.filter("error is null").select("strategy", "fast", "slow")
+    periods = sorted({int(r[0]) for r in good.select("fast").union(good.select("slow")).distinct().collect()})
+    few = good.count() <= FEW
+    given = F.broadcast(good) if few else good
+    means = F.create_map(*[x for n in periods for x in (F.lit(n), sma("close", n))]) if periods else F.lit(None).cast("map<int,double>")
+    closes = bars.select("symbol", "ts", "close", means.alias("m")).withColumn("p", F.lag("m").over(Window.partitionBy("symbol").orderBy("ts")))
+    f, s, pf, ps = (F.col(m)[F.col(c)] for m in ("m", "p") for c in ("fast", "slow"))
     signal = F.when((pf <= ps) & (f > s), 1.0).when((pf >= ps) & (f < s), -1.0).otherwise(0.0)
-    nav = backtest_single(rows.withColumn("signal", signal).drop("c", "i"), "signal", ["strategy", "symbol"], cash)
-    done = nav.groupBy("strategy", "symbol").agg(F.max_by("total_value", "ts").alias("final_value"), F.count("*").alias("n"))
-    return done.withColumn("error", F.lit(None).cast("string")).unionByName(checked.filter("error is not null").select("strategy", "error"), allowMissingColumns=True)
+    fired = closes.join(given, how="cross").select("strategy", "symbol", "ts", "close", signal.alias("signal")).filter(_live("signal"))
+    states = _states(fired, "signal", ["strategy", "symbol"], cash, 0.95, 1.0)
+    last = states.groupBy("strategy", "symbol").agg(F.max_by(F.struct("__cash", "__pos"), "ts").alias("s"))
+    ends = bars.groupBy("symbol").agg(F.max_by("close", "ts").alias("close"), F.count("*").alias("n")).join(given.select("strategy"), how="cross")
+    value = F.coalesce("s.__cash", F.lit(cash)) + F.coalesce("s.__pos", F.lit(0)) * F.col("close")
+    done = ends.join(last, ["strategy", "symbol"], "left").select("strategy", "symbol", value.alias("final_value"), "n", F.lit(None).cast("string").alias("error"))
+    return done.unionByName(checked.filter("error is not null").select("strategy", "error"), allowMissingColumns=True)
 
 
 def backtest_portfolio(signals: DataFrame, cash: float = 1_000_000.0, weight: float = 0.95, sequential: bool = False) -> DataFrame:

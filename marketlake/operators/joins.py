@@ -17,10 +17,17 @@ def constituent_diff(members: DataFrame, a: str, b: str) -> DataFrame:
     return added.unionByName(old.join(new, "code", "left_anti").select(F.lit("removed").alias("change"), "code"))
 
 
-def align_calendar(bars: DataFrame) -> DataFrame:
-    """Every symbol on every time that any symbol has; missing bars are null. Dates and symbols are dimensions."""
+def align_calendar(bars: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
+    """The bars of each time of a calendar (ts), or of the union of all symbols' times; a symbol without a bar has no row, a time without any has
+    one with a null symbol."""
+    times = bars.select("ts").distinct() if calendar is None else calendar.select("ts").distinct()
+    return times.join(bars, "ts", "left")
+
+
+def dense_calendar(bars: DataFrame, few: int = 100_000) -> DataFrame:
+    """Every symbol on every time that any symbol has, missing bars being null: rows are times by symbols. Up to ``few`` symbols are broadcast."""
     times, symbols = bars.select("ts").distinct(), bars.select("symbol").distinct()
-    return times.join(F.broadcast(symbols), how="cross").join(bars, ["symbol", "ts"], "left")
+    return times.join(F.broadcast(symbols) if symbols.count() <= few else symbols, how="cross").join(bars, ["symbol", "ts"], "left")
 
 
 def overlay(cached: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:

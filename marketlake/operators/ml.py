@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -82,6 +82,22 @@ def add_version(row: DataFrame, model: GBTRegressionModel | None, path: str) ->
     return row.sparkSession.read.schema(row.schema).parquet(f"{path}/versions")
 
 
+def load_model(spark: SparkSession, path: str, version: str | None = None) -> tuple[GBTRegressionModel, str]:
+    """A saved model and its version: the one named, else the one in production."""
+    if version is None:
+        row = promoted_version(spark.read.parquet(f"{path}/versions")).first()
+        if row is None:
+            raise ValueError("no version is in production")
+        version = row["version"]
+    return GBTRegressionModel.load(f"{path}/models/{version}"), version
+
+
+def score_with(spark: SparkSession, path: str, df: DataFrame, features: list[str], version: str | None = None) -> DataFrame:
+    """Rows with the prediction of a saved model and its version."""
+    model, name = load_model(spark, path, version)
+    return predict(model, df, features).withColumn("version", F.lit(name))
+
+
 def latest_version(versions: DataFrame) -> DataFrame:
     """The newest row of the table of versions."""
     return versions.orderBy(F.col("created").desc(), F.col("version").desc()).limit(1)

@@ -6,13 +6,19 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from marketlake.functions import factors as fx
+from marketlake.operators import joins as jn
+from marketlake.operators import ml
 from marketlake.plans.incremental import factor_rows, keep_factors
-from marketlake.queries.base import BE, Query, W, bars_events, last_n, rounded, sma_sql, table
-from marketlake.queries.checks import _breaker_sql, _mean_from
+from marketlake.queries.base import BE, BO, Query, W, bars_events, bars_orders, last_n, rounded, sma_sql, table
+from marketlake.queries.checks import _FEATURES, _breaker_sql, _mean_from
+from marketlake.queries.market import ORACLE as MARKET
 from marketlake.queries.portfolio import ORACLE as PORTFOLIO
-from marketlake.queries.text import _run, events_stream, shared_root, state_store
+from marketlake.queries.text import CONFIGS, _run, events_stream, shared_root, state_store
 from marketlake.sources.merge_table import MergeTable
+from marketlake.sources.progress import Loader
 from marketlake.streaming import live
+from marketlake.streaming.counters import IngestCounters, ingest_bars
 from marketlake.streaming.spec_factors import live_spec_factors
 
 QUERIES: dict[str, Query] = {}
@@ -147,3 +153,72 @@ def _resets(spark, d):
 add("st08_timed_breaker", _resets, f"""WITH RECURSIVE o AS (SELECT user_id AS account, ts, value < 60 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), {_breaker_sql('o', 'INTERVAL 1 DAY')},
  r AS (SELECT DISTINCT account, until FROM done WHERE until <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)), c AS (SELECT account, count(*) AS resets, max(until) AS last_reset FROM r GROUP BY 1)
  SELECT account, count(*) FILTER (broken) AS broken, count(*) FILTER (final) AS approved, coalesce(any_value(resets), 0) AS resets, CAST(any_value(last_reset) AS TIMESTAMP) AS last_reset FROM done LEFT JOIN c USING (account) GROUP BY 1""")
+
+
+# IO-09: days loaded in three batches, one of them twice, then a symbol anew
+def _progress(spark, d):
+    source = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("symbol"), F.to_date("o_orderdate").alias("date")).agg(F.sum("o_totalprice").alias("close"))
+    loader, symbols = Loader(spark, scratch(spark, "loads")), source.select("symbol")
+    loader.load(source, symbols.filter("symbol < '3'"), "1995-01-01", "1996-06-30")
+    loader.load(source.withColumn("close", -F.col("close")), symbols, "1995-01-01", "1997-12-31")
+    loader.load(source, symbols, "1995-01-01", "1999-12-31", batch=1)  # comes again: it is there
+    loader.clear(symbols.filter("symbol = '5-LOW'"))
+    loader.load(source, symbols.filter("symbol >= '4'"), "1997-01-01", "1998-12-31")
+    data = loader.data.read().groupBy("symbol").agg(F.count("*").alias("days"), F.sum("close").alias("total"))
+    return rounded(data.join(loader.progress_table(), "symbol"), 2)
+
+
+add("io09_progress", _progress, """WITH s AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS close FROM orders GROUP BY 1, 2), l AS (
+ SELECT symbol, date, CASE WHEN symbol < '3' AND date <= DATE '1996-06-30' THEN close WHEN symbol = '5-LOW' AND date >= DATE '1997-01-01' THEN close WHEN date <= DATE '1997-12-31' THEN -close ELSE close END AS close
+ FROM s WHERE date <= DATE '1997-12-31' OR (symbol >= '4' AND date <= DATE '1998-12-31')) SELECT symbol, count(*) AS days, round(sum(close), 2) AS total, max(date) AS last_date FROM l WHERE date >= DATE '1995-01-01' GROUP BY 1""")
+
+
+# IO-22: messages of which some are broken and some lack a field, counted by a listener
+def _stream_counts(spark, d):
+    root = scratch(spark, "messages")
+    e = table(spark, d, "events")
+    price = F.format_string("%.2f", F.col("value") + 1)
+    volume = F.when(F.col("event_id") % 10 != 1, F.col("user_id"))
+    message = F.to_json(F.struct(F.col("event_type").alias("symbol"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), *[price.alias(c) for c in ("open", "high", "low", "close")], volume.alias("volume")))
+    e.select(F.when(F.col("event_id") % 10 == 0, F.lit('{"symbol": "cut off')).otherwise(message).alias("value")).write.text(f"{root}/in")
+    bars = MergeTable(spark, f"{root}/bars", ["symbol", "ts_us"], F.year(F.timestamp_micros("ts_us")).cast("string"))
+    counters = IngestCounters()
+    spark.streams.addListener(counters)
+    try:
+        query = ingest_bars(spark.readStream.text(f"{root}/in"), bars, f"{root}/checkpoint")
+        query.awaitTermination()
+        counters.wait(query)
+    finally:
+        spark.streams.removeListener(counters)
+    return bars.read().agg(F.count("*").alias("in_table")).select("in_table", *[F.lit(n).cast("long").alias(c) for c, n in counters.totals("ingest").items()])
+
+
+add("io22_stream_counters", _stream_counts, "SELECT count(DISTINCT (event_type, epoch_ms(ts))) FILTER (event_id % 10 > 1) AS in_table, count(*) AS received, count(*) FILTER (event_id % 10 > 1) AS stored, count(*) FILTER (event_id % 10 = 1) AS failed, count(*) FILTER (event_id % 10 = 0) AS parse_errors FROM events")
+
+# JN-06: bars on a calendar of days, of which some have none
+add("jn06_calendar_days", lambda s, d: rounded(jn.align_calendar(bars_orders(s, d).select("symbol", "ts", "close").filter("day(ts) > 2"), table(s, d, "orders").select(F.date_trunc("DAY", "o_orderdate").cast("timestamp_ntz").alias("ts"))), 4), f"WITH {BO} SELECT ts, symbol, round(close, 4) AS close FROM (SELECT DISTINCT CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS ts FROM orders) LEFT JOIN (SELECT symbol, ts, close FROM bo WHERE day(ts) > 2) USING (ts)")
+
+# TS-02, TS-04: symbols cut into slices of days
+add("ts02_sliced_ema", lambda s, d: rounded(fx.ema(_in_slices(s, d), "close", 20, "ema", slices="days").select("symbol", "ts", "ema"), 4), MARKET["ts02_ema_first"])
+add("ts04_sliced_rsi", lambda s, d: rounded(fx.rsi(_in_slices(s, d), slices="days").select("symbol", "ts", "rsi"), 4), MARKET["ts04_rsi"])
+
+
+def _in_slices(spark, d):
+    return bars_events(spark, d).withColumn("days", F.floor(F.datediff("ts", F.lit("2024-01-01")) / 3))
+
+
+# ML-03, ML-04: a model of full size saved, put into production, loaded and held against the one that was fitted
+def _reloaded(spark, d):
+    path = scratch(spark, "models")
+    rows = ml.build_features(bars_orders(spark, d), CONFIGS)
+    names = [c for c in rows.columns if c not in ("symbol", "date", "label")]
+    model = ml.fit_trees(ml.split_by_date(rows).filter("split = 'train'"), names)
+    row = spark.createDataFrame([("v1", False)], "version string, production boolean").withColumn("created", F.lit("2024-01-01").cast("timestamp_ntz"))
+    ml.promote(ml.add_version(row, model, path), "v1").write.mode("overwrite").parquet(f"{path}-promoted/versions")
+    model.write().save(f"{path}-promoted/models/v1")
+    fitted = ml.predict(model, rows, names).select("symbol", "date", F.col("prediction").alias("p"))
+    again = ml.score_with(spark, f"{path}-promoted", rows, names)
+    return again.join(fitted, ["symbol", "date"]).groupBy("version").agg(F.count("*").alias("n"), F.count_if(F.col("p") != F.col("prediction")).alias("different"))
+
+
+add("ml04_reloaded", _reloaded, _FEATURES + " SELECT 'v1' AS version, count(*) AS n, 0 AS different FROM ft")

@@ -139,7 +139,7 @@ add("fp12_calendar", lambda s, d: mc.calendar_within(table(s, d, "orders").selec
 add("ts26_trading_days", lambda s, d: cal.neighbours(cal.trading_days(bars_orders(s, d))).withColumn("number", F.col("number").cast("long")), f"WITH {BO}, t AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM bo) SELECT day, lag(day) OVER (ORDER BY day) AS prev_day, lead(day) OVER (ORDER BY day) AS next_day, row_number() OVER (ORDER BY day) AS number FROM t")
 add("fp08_market_phase", lambda s, d: table(s, d, "events").select("event_id", cal.market_phase(F.col("ts"), F.dayofweek("ts").between(2, 6)).alias("phase"), cal.within_trading_hours(F.col("ts")).alias("open")), "WITH m AS (SELECT event_id, hour(ts) * 60 + minute(ts) AS m, isodow(ts) <= 5 AS t FROM events) SELECT event_id, CASE WHEN NOT t THEN 'Closed' WHEN m >= 900 THEN 'AfterHours' WHEN m >= 897 THEN 'ClosingAuction' WHEN m >= 780 THEN 'Afternoon' WHEN m >= 690 THEN 'Noon' WHEN m >= 570 THEN 'Morning' WHEN m >= 565 THEN 'PreContinuous' WHEN m >= 555 THEN 'CallAuction' ELSE 'PreOpen' END AS phase, m BETWEEN 570 AND 900 AS open FROM m")
 add("jn04_constituents", lambda s, d: jn.constituent_diff(table(s, d, "orders").select(F.year("o_orderdate").cast("string").alias("snapshot"), F.col("o_custkey").alias("code")), "1996", "1997"), "WITH m AS (SELECT DISTINCT year(o_orderdate) AS y, o_custkey AS code FROM orders) SELECT 'added' AS change, code FROM (SELECT code FROM m WHERE y = 1997 EXCEPT SELECT code FROM m WHERE y = 1996) UNION ALL SELECT 'removed', code FROM (SELECT code FROM m WHERE y = 1996 EXCEPT SELECT code FROM m WHERE y = 1997)")
-add("jn06_align_calendar", lambda s, d: rounded(jn.align_calendar(bars_events(s, d).select("symbol", "ts", "close"))), f"WITH {BE} SELECT symbol, ts, round(close, 6) AS close FROM (SELECT DISTINCT ts FROM be) CROSS JOIN (SELECT DISTINCT symbol FROM be) LEFT JOIN be USING (symbol, ts)")
+add("jn06_align_calendar", lambda s, d: rounded(jn.dense_calendar(bars_events(s, d).select("symbol", "ts", "close"))), f"WITH {BE} SELECT symbol, ts, round(close, 6) AS close FROM (SELECT DISTINCT ts FROM be) CROSS JOIN (SELECT DISTINCT symbol FROM be) LEFT JOIN be USING (symbol, ts)")
 
 
 def _overlay(spark, d):

@@ -135,9 +135,9 @@ class Breaker(StatefulProcessor):
         self.state.update((int(streak), until))
         yield self.rows(out)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         streak, until = self.state.get() if self.state.exists() else (0, None)
-        if until is not None and _millis(until) <= expired.getExpiryTimeInMs():
+        if until is not None and _millis(until) <= expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
             yield self.rows([(None, key[0], pd.Timestamp(until), False, None, True)])
 
@@ -184,8 +184,8 @@ class Rates(StatefulProcessor):
         self.handle.registerTimer(int(every[-1] + self.seconds + 1) * 1000)
         yield pd.DataFrame({"order_id": batch["order_id"].astype("int64").to_numpy(), "account": key[0], "ts": batch["ts"].to_numpy(), "orders": n, "passed": n <= self.limit})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        if self.times.exists() and max(t for (t,) in self.times.get()) + self.seconds < expired.getExpiryTimeInMs() // 1000:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.times.exists() and max(t for (t,) in self.times.get()) + self.seconds < expiredTimerInfo.getExpiryTimeInMs() // 1000:
             self.times.clear()
         return iter(())
 
