@@ -86,11 +86,15 @@ def with_sentiment(
     the rule together with the two before it."""
     pos, neg = positive or POSITIVE, negative or NEGATIVE
     strong, nots = INTENSIFIERS if intensifiers is None else intensifiers, NEGATORS if negators is None else negators
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    t, n, z, s = (prefix + x for x in "tnzs")  # names that no column has
     listed = lambda c, words: c.isin(words) if words else F.lit(False)
     weight = F.create_map(*[F.lit(x) for kv in strong.items() for x in kv]) if strong else None
-    df = df.withColumn("__t", tokenize(text, [*pos, *neg, *strong, *nots])).withColumn("__n", F.size("__t"))
-    shifted = lambda k: F.slice(F.concat(F.array(*[F.lit("")] * k), "__t"), F.lit(1), F.col("__n"))
-    df = df.withColumn("__z", F.arrays_zip(F.col("__t").alias("w"), shifted(1).alias("b"), shifted(2).alias("bb")))
+    df = df.withColumn(t, tokenize(text, [*pos, *neg, *strong, *nots])).withColumn(n, F.size(t))
+    shifted = lambda k: F.slice(F.concat(F.array(*[F.lit("")] * k), t), F.lit(1), F.col(n))
+    df = df.withColumn(z, F.arrays_zip(F.col(t).alias("w"), shifted(1).alias("b"), shifted(2).alias("bb")))
 
     def one(x: Column) -> Column:
         w = F.coalesce(F.try_element_at(weight, x["b"]), F.lit(1.0)) if weight is not None else F.lit(1.0)
@@ -99,12 +103,12 @@ def with_sentiment(
         return F.struct(F.when(listed(x["w"], pos), signed).otherwise(0.0).alias("p"), F.when(listed(x["w"], neg), signed).otherwise(0.0).alias("n"))
 
     start = F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("t"))
-    sums = F.aggregate(F.transform("__z", one), start, lambda s, x: F.struct((s["r"] + x["p"] - x["n"]).alias("r"), (s["t"] + F.abs(x["p"]) + F.abs(x["n"])).alias("t")))
-    df = df.withColumn("__s", sums)
-    total = F.col("__s.t")
-    score = F.when(total > 0, F.least(F.greatest(F.col("__s.r") / total, F.lit(-1.0)), F.lit(1.0))).otherwise(0.0)
-    df = df.withColumn("score", score).withColumn("magnitude", F.least(F.lit(1.0), total / F.greatest("__n", F.lit(1)) * 2))
-    return df.withColumn("labels", sentiment_labels(F.col("score"), F.col("magnitude"))).drop("__t", "__n", "__z", "__s")
+    sums = F.aggregate(F.transform(z, one), start, lambda y, x: F.struct((y["r"] + x["p"] - x["n"]).alias("r"), (y["t"] + F.abs(x["p"]) + F.abs(x["n"])).alias("t")))
+    df = df.withColumn(s, sums)
+    total = F.col(s)["t"]
+    score = F.when(total > 0, F.least(F.greatest(F.col(s)["r"] / total, F.lit(-1.0)), F.lit(1.0))).otherwise(0.0)
+    df = df.withColumn("score", score).withColumn("magnitude", F.least(F.lit(1.0), total / F.greatest(n, F.lit(1)) * 2))
+    return df.withColumn("labels", sentiment_labels(F.col("score"), F.col("magnitude"))).drop(t, n, z, s)
 
 
 def sentiment_labels(score: Column, magnitude: Column) -> Column:
@@ -113,14 +117,21 @@ def sentiment_labels(score: Column, magnitude: Column) -> Column:
     return F.array_compact(F.array(base, strong))
 
 
-def event_types(text: Column, keywords: dict[str, list[str]] | None = None) -> Column:
+def event_types(text: Column, keywords: dict[str, list[str]] | None = None, word_boundary: bool = False) -> Column:
     """Types by falling number of their keywords that the text holds, ties in the given order; ["other"] for none. The text is
-    lower-cased once, and each keyword is looked for once."""
+    lower-cased once, and each keyword is looked for once. With ``word_boundary`` a keyword of Latin letters or digits does not count inside a longer word."""
+
+    def held(low: Column, word: str) -> Column:
+        if word_boundary:
+            before, after = ("(?<![a-z0-9])" if re.match("[a-z0-9]", word) else ""), ("(?![a-z0-9])" if re.search("[a-z0-9]$", word) else "")
+            if before or after:
+                return F.rlike(low, F.lit(before + re.escape(word) + after))
+        return F.contains(low, F.lit(word))
 
     def counted(low: Column) -> Column:
         found = []
         for order, (name, words) in enumerate((keywords or KEYWORDS).items()):
-            n = sum((F.contains(low, F.lit(w.lower())).cast("int") for w in words), F.lit(0))
+            n = sum((held(low, w.lower()).cast("int") for w in words), F.lit(0))
             found.append(F.struct((-n).alias("n"), F.lit(order).alias("o"), F.lit(name).alias("name")))
         return F.array_sort(F.filter(F.array(*found), lambda x: x["n"] < 0))
 
@@ -140,10 +151,12 @@ def event_importance(types: Column) -> Column:
     return F.coalesce(F.try_element_at(lookup, F.coalesce(F.get(types, F.lit(0)), F.lit(""))), F.lit(0.3))
 
 
-def extract_codes(text: Column) -> Column:
-    """Six-digit codes with their exchange, given or from the first digit; sorted and distinct."""
+def extract_codes(text: Column, word_boundary: bool = False) -> Column:
+    """Six-digit codes with their exchange, given or from the first digit; sorted and distinct. With ``word_boundary`` six digits inside a
+    longer number or word are no code."""
     text = F.coalesce(text, F.lit(""))
-    pattern = F.lit(r"(\d{6})(?:\.(SH|SZ|BJ))?")
+    code = r"(\d{6})(?:\.(SH|SZ|BJ))?"
+    pattern = F.lit(rf"(?<![0-9A-Za-z]){code}(?![0-9A-Za-z])" if word_boundary else code)
     codes, ends = F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2))
 
     def full(code: Column, end: Column) -> Column:

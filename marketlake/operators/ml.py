@@ -50,8 +50,17 @@ def split_by_date(df: DataFrame, train: float = 0.7, valid: float = 0.15) -> Dat
 
 
 def fit_trees(train: DataFrame, features: list[str], label: str = "label", trees: int = 200, depth: int = 6, rate: float = 0.05, seed: int = 42) -> GBTRegressionModel:
-    rows = VectorAssembler(inputCols=features, outputCol="x", handleInvalid="skip").transform(train.filter(F.col(label).isNotNull()))
-    return GBTRegressor(featuresCol="x", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed).fit(rows)
+    """Boosted trees. Each level of each tree is a job over all rows, so they are kept, in partitions of some 50,000 rows: small tables are not cut into
+    tasks that do nothing but start."""
+    rows = VectorAssembler(inputCols=features, outputCol="x", handleInvalid="skip").transform(train.filter(F.col(label).isNotNull())).select("x", label).persist()
+    try:
+        return _boosted(label, trees, depth, rate, seed).fit(rows.coalesce(max(1, rows.count() // 50_000)))
+    finally:
+        rows.unpersist()
+
+
+def _boosted(label: str, trees: int, depth: int, rate: float, seed: int) -> GBTRegressor:
+    return GBTRegressor(featuresCol="x", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
 
 
 def predict(model: GBTRegressionModel, df: DataFrame, features: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from marketlake.functions import factors as fx
+from marketlake.functions import news as nw
 from marketlake.operators import joins as jn
 from marketlake.operators import ml
 from marketlake.plans.incremental import factor_rows, keep_factors
@@ -15,6 +16,7 @@ from marketlake.queries.checks import _FEATURES, _breaker_sql, _mean_from
 from marketlake.queries.market import ORACLE as MARKET
 from marketlake.queries.portfolio import ORACLE as PORTFOLIO
 from marketlake.queries.text import CONFIGS, _run, events_stream, shared_root, state_store
+from marketlake.sources import bars as src
 from marketlake.sources.merge_table import MergeTable
 from marketlake.sources.progress import Loader
 from marketlake.streaming import live
@@ -207,12 +209,13 @@ def _in_slices(spark, d):
     return bars_events(spark, d).withColumn("days", F.floor(F.datediff("ts", F.lit("2024-01-01")) / 3))
 
 
-# ML-03, ML-04: a model of full size saved, put into production, loaded and held against the one that was fitted
+# ML-03, ML-04: a model saved, put into production, loaded and held against the one that was fitted; of its 200 trees a tenth, since each level of
+# each tree is a job of its own
 def _reloaded(spark, d):
     path = scratch(spark, "models")
     rows = ml.build_features(bars_orders(spark, d), CONFIGS)
     names = [c for c in rows.columns if c not in ("symbol", "date", "label")]
-    model = ml.fit_trees(ml.split_by_date(rows).filter("split = 'train'"), names)
+    model = ml.fit_trees(ml.split_by_date(rows).filter("split = 'train'"), names, trees=20)
     row = spark.createDataFrame([("v1", False)], "version string, production boolean").withColumn("created", F.lit("2024-01-01").cast("timestamp_ntz"))
     ml.promote(ml.add_version(row, model, path), "v1").write.mode("overwrite").parquet(f"{path}-promoted/versions")
     model.write().save(f"{path}-promoted/models/v1")
@@ -222,3 +225,18 @@ def _reloaded(spark, d):
 
 
 add("ml04_reloaded", _reloaded, _FEATURES + " SELECT 'v1' AS version, count(*) AS n, 0 AS different FROM ft")
+
+
+# IO-18: bars and their signals in tables of the same buckets; the join and the window after it stay where the rows are
+def _bucketed(spark, d):
+    bars = bars_events(spark, d)
+    tables = []
+    for name, rows in (("bars", bars), ("signals", bars.filter("close > open").select("symbol", "ts", (F.col("close") - F.col("open")).alias("gain")))):
+        tables.append(src.write_bucketed(rows, f"marketlake_{name}_{uuid.uuid4().hex}", 8, path=scratch(spark, name)))
+    both = tables[0].join(tables[1].hint("merge"), ["symbol", "ts"])
+    return rounded(both.select("symbol", "ts", fx.sma("gain", 3).alias("gain")), 4)
+
+
+add("io18_bucketed", _bucketed, f"WITH {BE}, g AS (SELECT symbol, ts, close - open AS gain FROM be WHERE close > open) SELECT symbol, ts, round({sma_sql('gain', 3)}, 4) AS gain FROM g")
+add("nw07_bounded_codes", lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(nw.extract_codes(F.concat_ws(" ", "text", F.lpad(F.col("doc_id").cast("string"), 7, "6"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit("x600519"), F.lit("600036.SH")), True), ",").alias("codes")),
+    r"WITH c AS (SELECT doc_id, list_distinct(regexp_extract_all(regexp_replace(concat_ws(' ', text, lpad(CAST(doc_id AS VARCHAR), 7, '6'), lpad(CAST(doc_id AS VARCHAR), 6, '0'), 'x600519', '600036.SH'), '[0-9A-Za-z]*([0-9]{7}|[A-Za-z][0-9]{6}|[0-9]{6}[A-Za-z])[0-9A-Za-z]*', '#', 'g'), '[0-9]{6}(\.SH|\.SZ|\.BJ)?')) AS l FROM documents), e AS (SELECT doc_id, unnest(l) AS x FROM c), f AS (SELECT DISTINCT doc_id, CASE WHEN length(x) > 6 THEN x WHEN x[1] IN ('6', '9') THEN x || '.SH' WHEN x[1] IN ('0', '2', '3') THEN x || '.SZ' WHEN x[1] = '4' THEN x || '.BJ' END AS y FROM e) SELECT doc_id, coalesce(string_agg(y, ',' ORDER BY y), '') AS codes FROM f GROUP BY 1")

@@ -122,6 +122,14 @@ def write_bars(bars: DataFrame, path: str) -> None:
     out.write.mode("overwrite").partitionBy("freq", "year").parquet(path)
 
 
+def write_bucketed(rows: DataFrame, table: str, buckets: int, key: str = "symbol", order: str = "ts", path: str | None = None) -> DataFrame:
+    """A table of so many buckets by key, each one sorted file, and the table read back. Tables of the same buckets join, group and have windows by the key
+    without a shuffle; a key lies in one bucket."""
+    out = rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key, order).mode("overwrite").format("parquet")
+    (out.option("path", path) if path else out).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def scan_bars(bars: DataFrame, symbol: str | None, start: str, end: str, days: bool = False) -> DataFrame:
     """Bars in an inclusive range; with ``days`` the end is a day and all of it counts."""
     last = F.lit(end).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY") if days else F.lit(end).cast("timestamp_ntz")

@@ -7,12 +7,14 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from marketlake.functions import news as nw
 from marketlake.operators import backtest as bt
 from marketlake.operators import joins as jn
 from marketlake.operators import orders as ox
 from marketlake.operators import perf
 from marketlake.operators import xsection as xs
 from marketlake.queries.text import state_store
+from marketlake.sources.bars import write_bucketed
 from marketlake.sources.merge_table import MergeTable
 from marketlake.sources.progress import Loader
 from marketlake.streaming import live
@@ -146,3 +148,23 @@ def test_batches_of_none_and_of_bad_strategies(spark):
     schema = "strategy string, fast int, slow int"
     assert bt.batch_backtest(bars, spark.createDataFrame([], schema)).count() == 0
     assert {r["error"] for r in bt.batch_backtest(bars, spark.createDataFrame([("x", 5, 2), ("y", None, 2)], schema)).collect()} == {"fast period must be below slow", "period must be positive"}
+
+
+def test_buckets_join_without_a_shuffle(spark, tmp_path):
+    rows = spark.range(400).selectExpr("cast(id % 7 as string) AS symbol", "id AS ts", "id * 1.0 AS x")
+    a, b = (write_bucketed(rows.withColumnRenamed("x", n), f"bucketed_{n}", 4, path=f"{tmp_path}/{n}") for n in ("xa", "xb"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = a.join(b.hint("merge"), ["symbol", "ts"]).groupBy("symbol").agg(F.sum(F.col("xa") - F.col("xb")).alias("d"), F.count("*").alias("n"))
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {(r["d"], r["n"] // 57) for r in out.collect()} == {(0.0, 1)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_words_and_their_bounds(spark):
+    df = spark.createDataFrame([("best 1600519 600519 x600036 600036.SH.", "kept", "own")], "text string, __t string, __s string")
+    row = df.select(nw.extract_codes(F.col("text"), True).alias("c"), nw.extract_codes(F.col("text")).alias("all"), nw.event_types(F.col("text"), {"bad": ["ST"]}, True).alias("t"), nw.event_types(F.col("text"), {"bad": ["ST"]}).alias("u")).first()
+    assert (row["c"], row["t"], row["u"]) == (["600036.SH", "600519.SH"], ["other"], ["bad"]) and len(row["all"]) == 2
+    scored = nw.with_sentiment(df, F.col("text"))
+    assert scored.columns == ["text", "__t", "__s", "score", "magnitude", "labels"] and scored.first()["__t"] == "kept"
