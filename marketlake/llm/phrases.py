@@ -108,71 +108,135 @@ def _known(words: DataFrame, blocks: DataFrame, least: int) -> DataFrame:
     return found.select("block", "local", ((F.col("rank") - 1) * buckets + F.col("bucket") + 1).alias("id"), *shown)
 
 
-def count_phrases(known: DataFrame, blocks: DataFrame, least: int, longest: int, fan_bits: int) -> DataFrame:
-    """(key, f): arrays of the ids of 2 to ``longest`` words that occur ``least`` times or more.
+def _send(found: dict[int, tuple], lengths: dict[int, int], shared: int, step: int, sender: int) -> pd.DataFrame:
+    """A row for each range, with the filter of each length."""
+    out: dict[int, dict[int, bytes]] = {}
+    for n, (limbs, counts) in found.items():
+        for part, blob in qf.split(limbs, counts, lengths[n], shared, step):
+            out.setdefault(part, {})[n] = blob
+    return pd.DataFrame({"part": list(out), "sender": [sender] * len(out), "filters": pd.Series([[x.get(n, b"") for n in lengths] for x in out.values()], dtype=object)})
+
+
+def _merged(rows: pd.DataFrame, lengths: dict[int, int]) -> dict[int, tuple]:
+    found = {n: [x[i] for x in rows["filters"] if len(x[i])] for i, n in enumerate(lengths)}
+    return {n: qf.merge(blobs) for n, blobs in found.items() if blobs}
+
+
+def _answers(rows: pd.DataFrame, kept: np.ndarray, size: int) -> list[tuple]:
+    """(part, sender, filter) of those of each sender's pairs that are among the sorted keys."""
+    out = []
+    for part, sender, filters in zip(rows["part"], rows["sender"], rows["filters"], strict=True):
+        (mine,), _ = qf.decode(filters[0])
+        mine = mine[_among(mine, kept)]
+        if len(mine):
+            out.append((part, sender, qf.encode([mine], np.ones(len(mine), np.int64), size)))
+    return out
+
+
+def _among(x: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(kept, x)
+    return (at < len(kept)) & (kept[np.minimum(at, max(0, len(kept) - 1))] == x) if len(kept) else np.zeros(len(x), bool)
+
+
+_MESSAGE = "part long, sender long, filters array<binary>"
+
 
-    Each block makes one filter of its n-grams and sends each range of it to its own group; groups merge the sorted filters of up to
-    2^fan_bits blocks. While several groups hold a range, it is split further and they are merged in turn, so the messages of a round grow with
-    the input and the rounds with its logarithm. The permutation makes ranges alike, whatever words are frequent.
+def _tally(sent: DataFrame, lengths: dict[int, int], bits: int, groups: int, least: int, fan_bits: int, answer: bool) -> tuple[DataFrame, DataFrame]:
+    """(key, f) of what occurs ``least`` times or more over all messages (part, sender, filters), and the answers (sender, filter) with each block's
+    pairs among it.
+
+    While several groups hold a range, each merges its filters and splits the range further; then these are merged in turn, so the messages of a
+    round grow with the input and the rounds with its logarithm. Answers go back the same way.
     """
-    bits = max(1, int(known.agg(F.max("id")).first()[0] or 0).bit_length())
-    lengths = {n: qf.key_bits(n, bits) for n in range(2, longest + 1)}  # each length has a filter of its own, as wide as its ids
-    fan = 1 << fan_bits
-    groups = -(-max(1, blocks.count()) // fan)
-
-    def send(found: dict[int, tuple], shared: int, **columns) -> pd.DataFrame:
-        """A row for each range, with the filter of each length."""
-        out: dict[int, dict[int, bytes]] = {}
-        for n, (limbs, counts) in found.items():
-            for part, blob in qf.split(limbs, counts, lengths[n], shared, fan_bits):
-                out.setdefault(part, {})[n] = blob
-        frame = {"part": list(out), "filters": pd.Series([[x.get(n, b"") for n in lengths] for x in out.values()], dtype=object)}
-        return pd.DataFrame(frame | {k: [v] * len(out) for k, v in columns.items()})
-
-    def merged(rows: pd.DataFrame) -> dict[int, tuple]:
-        found = {n: [x[i] for x in rows["filters"] if len(x[i])] for i, n in enumerate(lengths)}
-        return {n: qf.merge(blobs) for n, blobs in found.items() if blobs}
-
-    def shard(key: tuple, block: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        grams = {}
-        if len(block) and len(known):
-            one = block.iloc[0]
-            local = np.frombuffer(zstandard.ZstdDecompressor().decompress(one["tokens"]), np.uint32)
-            ids = np.zeros(max(int(local.max()), int(known["local"].max())) + 1, np.uint64)
-            ids[known["local"].to_numpy()] = known["id"].to_numpy().astype(np.uint64)
-            ids = ids[local]
-            for n, size in lengths.items():
-                run = [ids[i : max(0, len(ids) - n + 1) + i] for i in range(n)] if len(ids) >= n else [ids[:0]] * n
-                whole = np.logical_and.reduce([x > 0 for x in run])
-                whole[: max(0, int(one["skip"]) - n + 1)] = False  # these end in the block before
-                if whole.any():
-                    limbs = qf.permute(qf.pack([x[whole] for x in run], bits, size), size)
-                    grams[n] = qf.combine(limbs, np.ones(len(limbs[0]), np.int64))
-        return send(grams, 0, block=key[0])
-
-    asked = known.select(F.col("block").alias("of"), "local", "id")
-    grouped = blocks.select("block", "skip", "tokens").groupBy("block").cogroup(asked.groupBy("of"))
-    filters = grouped.applyInPandas(shard, "part long, block long, filters array<binary>")
-    filters = filters.select("part", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("group"), "filters")
+    fan, shared, levels = 1 << fan_bits, fan_bits, []
+
     def merge_at(shared: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-        return lambda key, rows: send(merged(rows), shared, group=key[1])
+        return lambda key, rows: _send(_merged(rows, lengths), lengths, shared, fan_bits, key[1])
 
-    shared = fan_bits
+    def finish(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        keys, counts, answers = [], [], []
+        for n, (limbs, f) in _merged(rows, lengths).items():
+            kept = [x[f >= least] for x in limbs]
+            keys += list(np.stack(qf.unpack(qf.restore(kept, lengths[n]), bits, n, lengths[n]), axis=1).astype(np.int64))
+            counts += f[f >= least].tolist()
+            if answer:
+                answers = _answers(rows, kept[0], lengths[n])
+        none = [None] * len(answers)
+        return pd.DataFrame({
+            "key": pd.Series(keys + none, dtype=object), "f": pd.array(counts + none, "Int64"), "part": pd.array([None] * len(keys) + [x[0] for x in answers], "Int64"),
+            "sender": pd.array([None] * len(keys) + [x[1] for x in answers], "Int64"), "filter": pd.Series([None] * len(keys) + [x[2] for x in answers], dtype=object),
+        })
+
+    def narrow(key: tuple, rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        kept = np.sort(np.concatenate([np.zeros(0, np.uint64), *[qf.decode(x)[0][0] for x in above["filter"]]]))
+        out = _answers(rows, kept, lengths[2])
+        return pd.DataFrame({"part": [x[0] for x in out], "sender": [x[1] for x in out], "filter": pd.Series([x[2] for x in out], dtype=object)})
+
+    rows = sent.withColumn("group", F.pmod(F.xxhash64("sender"), F.lit(groups)))
     while groups > 1:
-        filters = filters.groupBy("part", "group").applyInPandas(merge_at(shared), "part long, group long, filters array<binary>")
-        filters = filters.withColumn("group", F.floor(F.col("group") / fan))
+        if answer:
+            rows = materialize(rows, "messages")
+            levels.append(rows)
+        rows = rows.groupBy("part", "group").applyInPandas(merge_at(shared), _MESSAGE).withColumn("group", F.floor(F.col("sender") / fan))
         shared, groups = shared + fan_bits, -(-groups // fan)
+    done = materialize(rows.groupBy("part", "group").applyInPandas(finish, "key array<long>, f long, part long, sender long, filter binary"), "tallied")
+    answers = done.filter("key IS NULL").select("part", "sender", "filter")
+    for rows in reversed(levels):
+        above = answers.select(F.floor(F.col("part") / fan).alias("p"), F.col("sender").alias("g"), "filter")
+        down = rows.groupBy("part", "group").cogroup(above.groupBy("p", "g")).applyInPandas(narrow, "part long, sender long, filter binary")
+        answers = materialize(down, "answers")
+    return done.filter("key IS NOT NULL").select("key", "f"), answers.select("sender", "filter")
 
-    def finish(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = [], []
-        for n, (limbs, f) in merged(rows).items():
-            kept = f >= least
-            ids = qf.unpack(qf.restore([x[kept] for x in limbs], lengths[n]), bits, n, lengths[n])
-            keys += list(np.stack(ids, axis=1).astype(np.int64))
-            counts += f[kept].tolist()
-        return pd.DataFrame({"key": pd.Series(keys, dtype=object), "f": np.array(counts, np.int64)})
-
-    return filters.groupBy("part", "group").applyInPandas(finish, "key array<long>, f long")
+
+def count_phrases(known: DataFrame, blocks: DataFrame, least: int, longest: int, fan_bits: int) -> DataFrame:
+    """(key, f): arrays of the ids of 2 to ``longest`` words that occur ``least`` times or more.
+
+    Each block makes one filter of its pairs of words and sends each range of it to its own group, where the sorted filters of up to
+    2^fan_bits blocks are merged. Each block is told which of its pairs are frequent; only longer n-grams all of whose pairs are so can be,
+    and only these are sent in the second turn. The permutation makes ranges alike, whatever words are frequent.
+    """
+    bits = max(1, int(known.agg(F.max("id")).first()[0] or 0).bit_length())
+    if bits > 32:
+        raise ValueError("more than 2^32 frequent words")
+    groups = -(-max(1, blocks.count()) // (1 << fan_bits))
+    lengths = {n: qf.key_bits(n, bits) for n in range(2, longest + 1)}  # each length has filters of its own, as wide as its ids
+
+    def sender(mine: dict[int, int]) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+        def send(key: tuple, block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            grams, own = {}, asked[asked["id"].notna()]
+            if len(block) and len(own):
+                one = block.iloc[0]
+                local = np.frombuffer(zstandard.ZstdDecompressor().decompress(one["tokens"]), np.uint32)
+                ids = np.zeros(max(int(local.max()), int(own["local"].max())) + 1, np.uint64)
+                ids[own["local"].to_numpy(np.int64)] = own["id"].to_numpy(np.int64).astype(np.uint64)
+                ids = ids[local]
+                pair = (ids[:-1] > 0) & (ids[1:] > 0)
+                if 2 not in mine:  # the second turn
+                    frequent = np.sort(np.concatenate([np.zeros(0, np.uint64), *[qf.decode(x)[0][0] for x in asked["filter"] if x is not None]]))
+                    at = np.flatnonzero(pair)
+                    (packed,) = qf.permute(qf.pack([ids[at], ids[at + 1]], bits, lengths[2]), lengths[2])
+                    pair[at] = _among(packed, frequent) | (at < int(one["skip"]) - 1)  # pairs of the block before were not asked for here
+                for n, size in mine.items():
+                    if len(ids) >= n:
+                        whole = np.logical_and.reduce([pair[i : len(pair) - n + 2 + i] for i in range(n - 1)])
+                        whole[: max(0, int(one["skip"]) - n + 1)] = False  # these end in the block before
+                        at = np.flatnonzero(whole)
+                        if len(at):
+                            limbs = qf.permute(qf.pack([ids[at + i] for i in range(n)], bits, size), size)
+                            grams[n] = qf.combine(limbs, np.ones(len(at), np.int64))
+            return _send(grams, mine, 0, fan_bits, key[0])
+
+        return send
+
+    texts = blocks.select("block", "skip", "tokens").groupBy("block")
+    asked = known.select(F.col("block").alias("of"), "local", "id", F.lit(None).cast("binary").alias("filter"))
+    pairs = {2: lengths[2]}
+    found, answers = _tally(texts.cogroup(asked.groupBy("of")).applyInPandas(sender(pairs), _MESSAGE), pairs, bits, groups, least, fan_bits, longest > 2)
+    if longest == 2:
+        return found
+    told = asked.unionByName(answers.select(F.col("sender").alias("of"), F.lit(None).cast("int").alias("local"), F.lit(None).cast("long").alias("id"), "filter"))
+    longer = {n: size for n, size in lengths.items() if n > 2}
+    return found.unionByName(_tally(texts.cogroup(told.groupBy("of")).applyInPandas(sender(longer), _MESSAGE), longer, bits, groups, least, fan_bits, False)[0])
 
 
 def phrases(
