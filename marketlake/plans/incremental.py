@@ -82,19 +82,18 @@ def keep_factors(bars: MergeTable, factors: MergeTable, spec: list[dict], fields
 
     def run(batch: DataFrame, number: int) -> None:
         before = bars.version_before(stream, number)
-        new = batch.select(*KEYS, *fields)
-        w = Window.partitionBy(*KEYS).orderBy(*([F.col(bars.sequence).desc()] if bars.sequence else [F.lit(1)]))
-        new = new.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
-        old = bars.read(before) if before else new.limit(0)
         version = bars.merge(batch, stream, number)
         if factors.version_before(stream, number) != factors.version():
             return
+        now = bars.read(version)
+        new = now.join(batch.select(*KEYS).distinct(), KEYS, "left_semi").select(*KEYS, *fields)  # as it was stored
+        old = bars.read(before) if before else new.limit(0)
         found = changes(old.join(new.select(*KEYS), KEYS, "left_semi"), new, fields)
         flags = found.agg(*[F.coalesce(F.max(f"changed_{f}"), F.lit(False)).alias(f) for f in fields]).first()
         changed = {f for f in fields if flags[f]}
         if not dependents(spec, changed):
             return
         stored = factors.read() if factors.version() else None
-        factors.merge(recompute_rows(bars.read(version), found.select(*KEYS), spec, changed, stored, extra, extra_reach), stream, number)
+        factors.merge(recompute_rows(now, found.select(*KEYS), spec, changed, stored, extra, extra_reach), stream, number)
 
     return run

@@ -124,7 +124,7 @@ def write_bars(bars: DataFrame, path: str) -> None:
 
 def write_bucketed(rows: DataFrame, table: str, buckets: int, key: str = "symbol", order: str = "ts", path: str | None = None) -> DataFrame:
     """A table of so many buckets by key, each one sorted file, and the table read back. Tables of the same buckets join, group and have windows by the key
-    without a shuffle; a key lies in one bucket."""
+    without a shuffle; joins by the key and more do so where ``spark.sql.requireAllClusterKeysForCoPartition`` is off. A key lies in one bucket."""
     out = rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key, order).mode("overwrite").format("parquet")
     (out.option("path", path) if path else out).saveAsTable(table)
     return rows.sparkSession.table(table)

@@ -48,7 +48,11 @@ def upsert_sink(path: str, keys: list[str], sequence: str | None = None, part: C
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        MergeTable(batch.sparkSession, path, keys, part, sequence).merge(batch, "upserts", number)
+        table = MergeTable(batch.sparkSession, path, keys, part, sequence)
+        if table.last_batch("upserts") >= number:
+            batch.write.format("noop").mode("overwrite").save()  # a stream with state wants each batch to be run
+            return
+        table.merge(batch, "upserts", number)
 
     return write
 
@@ -267,6 +271,7 @@ def chain(
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
+            batch.count()  # run also if all tables have the batch: the state of the factors goes on with it
             fired = F.coalesce(*[F.when(F.col(s) != 0, F.col(s)) for s in signals])
             found = batch.withColumn("signal", fired).filter("signal IS NOT NULL").select("symbol", "ts", "close", "signal")
             orders = rules(found.withColumn("side", F.when(F.col("signal") > 0, "BUY").otherwise("SELL")))
@@ -280,7 +285,7 @@ def chain(
     if spec is None:
         factors = live_factors(bars)
     else:
-        nodes = live_spec_factors(bars.withColumn("__close", F.col("close")), [*spec, {"id": "close", "op": "FIELD", "inputs": ["__close"]}], {"FIELD": lambda state, ins, params: ins[0]})
+        nodes = live_spec_factors(bars.withColumn("close_of_bar", F.col("close")), [*spec, {"id": "close", "op": "FIELD", "inputs": ["close_of_bar"]}], {"FIELD": lambda state, ins, params: ins[0]})
         factors = nodes.filter("NOT late").drop("late")
     return factors.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -153,13 +153,16 @@ def test_batches_of_none_and_of_bad_strategies(spark):
 def test_buckets_join_without_a_shuffle(spark, tmp_path):
     rows = spark.range(400).selectExpr("cast(id % 7 as string) AS symbol", "id AS ts", "id * 1.0 AS x")
     a, b = (write_bucketed(rows.withColumnRenamed("x", n), f"bucketed_{n}", 4, path=f"{tmp_path}/{n}") for n in ("xa", "xb"))
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    options = ("spark.sql.adaptive.enabled", "spark.sql.requireAllClusterKeysForCoPartition")
+    for name in options:
+        spark.conf.set(name, "false")
     try:
         out = a.join(b.hint("merge"), ["symbol", "ts"]).groupBy("symbol").agg(F.sum(F.col("xa") - F.col("xb")).alias("d"), F.count("*").alias("n"))
         assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
         assert {(r["d"], r["n"] // 57) for r in out.collect()} == {(0.0, 1)}
     finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
+        for name in options:
+            spark.conf.unset(name)
 
 
 def test_words_and_their_bounds(spark):
