@@ -196,19 +196,21 @@ def count_phrases(known: DataFrame, blocks: DataFrame, least: int, longest: int,
     and only these are sent in the second turn. The permutation makes ranges alike, whatever words are frequent.
     """
     bits = max(1, int(known.agg(F.max("id")).first()[0] or 0).bit_length())
-    if bits > 32:
-        raise ValueError("more than 2^32 frequent words")
+    if bits > 31:
+        raise ValueError("more than 2^31 frequent words")
     groups = -(-max(1, blocks.count()) // (1 << fan_bits))
     lengths = {n: qf.key_bits(n, bits) for n in range(2, longest + 1)}  # each length has filters of its own, as wide as its ids
 
     def sender(mine: dict[int, int]) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
         def send(key: tuple, block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            grams, own = {}, asked[asked["id"].notna()]
+            grams, own = {}, asked["word"].to_numpy(np.int64)
+            own = own[own >= 0]
             if len(block) and len(own):
+                at, own = own >> 32, (own & 0xFFFFFFFF).astype(np.uint64)
                 one = block.iloc[0]
                 local = np.frombuffer(zstandard.ZstdDecompressor().decompress(one["tokens"]), np.uint32)
-                ids = np.zeros(max(int(local.max()), int(own["local"].max())) + 1, np.uint64)
-                ids[own["local"].to_numpy(np.int64)] = own["id"].to_numpy(np.int64).astype(np.uint64)
+                ids = np.zeros(max(int(local.max()), int(at.max())) + 1, np.uint64)
+                ids[at] = own
                 ids = ids[local]
                 pair = (ids[:-1] > 0) & (ids[1:] > 0)
                 if 2 not in mine:  # the second turn
@@ -229,12 +231,13 @@ def count_phrases(known: DataFrame, blocks: DataFrame, least: int, longest: int,
         return send
 
     texts = blocks.select("block", "skip", "tokens").groupBy("block")
-    asked = known.select(F.col("block").alias("of"), "local", "id", F.lit(None).cast("binary").alias("filter"))
+    asked = known.select(F.col("block").alias("of"), F.shiftleft(F.col("local").cast("long"), 32).bitwiseOR(F.col("id")).alias("word"))  # both in one number
     pairs = {2: lengths[2]}
     found, answers = _tally(texts.cogroup(asked.groupBy("of")).applyInPandas(sender(pairs), _MESSAGE), pairs, bits, groups, least, fan_bits, longest > 2)
     if longest == 2:
         return found
-    told = asked.unionByName(answers.select(F.col("sender").alias("of"), F.lit(None).cast("int").alias("local"), F.lit(None).cast("long").alias("id"), "filter"))
+    # answers have -1, not null: a column of numbers with nulls would come as doubles, which are too short
+    told = asked.unionByName(answers.select(F.col("sender").alias("of"), F.lit(-1).cast("long").alias("word"), "filter"), allowMissingColumns=True)
     longer = {n: size for n, size in lengths.items() if n > 2}
     return found.unionByName(_tally(texts.cogroup(told.groupBy("of")).applyInPandas(sender(longer), _MESSAGE), longer, bits, groups, least, fan_bits, False)[0])
 
