@@ -120,9 +120,13 @@ def _run(df, mode="append"):
     return spark.read.schema(df.schema).parquet(f"{out}/data")
 
 
+def table_stream(spark, d, name):
+    """A table as a stream, be it one file or a folder of files; the name is a pattern, since a path that is a file is no source of streams."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
 def events_stream(spark, d):
-    schema = table(spark, d, "events").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d)
+    s = table_stream(spark, d, "events")
     return s.select("event_id", "user_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.col("event_id").alias("seq"))
 
 
@@ -141,9 +145,7 @@ add("st11_envelope", lambda s, d: _run(live.envelope(events_stream(s, d).select(
 
 
 def _news_stream(spark, d):
-    schema = table(spark, d, "documents").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet*").parquet(d)
-    s = s.select("doc_id", F.substring("text", 1, 60).alias("title"), F.col("text").alias("content"))
+    s = table_stream(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("title"), F.col("text").alias("content"))
     return _run(live.news_stream(s, keywords=TOPICS, names={"the": "600001.SH"})).select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
