@@ -209,8 +209,8 @@ add("st09_lifecycle", _lifecycle, PORTFOLIO["ox02_invalid_transitions"])
 def _fills(spark, d):
     root = scratch(spark, "chain")
     with state_store(spark):
-        live.chain(events_stream(spark, d).withColumnRenamed("price", "close"), root, f"{root}-checkpoint", lambda s: s.withColumn("approved", F.col("close") < 100)).awaitTermination()
-    fills = live.chain_tables(spark, root)["fills"]
+        live.chain(events_stream(spark, d).withColumnRenamed("price", "close"), root, f"{root}-checkpoint", lambda s: s.withColumn("approved", F.col("close") < 100), sequence="seq").awaitTermination()
+    fills = live.chain_tables(spark, root, "seq")["fills"]
     return rounded(fills.groupBy("symbol", "side").agg(F.count("*").alias("n"), F.sum("price").alias("price"), F.sum("commission").alias("commission")), 4)
 
 

@@ -64,7 +64,7 @@ add("st02_drop_repeated", _dedup_stream, f"WITH {BE} SELECT symbol, count(*) AS
 
 
 def _live_signals(spark, d):
-    f = _run(live.live_factors(events_stream(spark, d).withColumnRenamed("price", "close")))
+    f = _run(live.live_factors(events_stream(spark, d).withColumnRenamed("price", "close"), "seq"))
     return f.filter("cross <> 0").groupBy("symbol", F.when(F.col("cross") > 0, "BUY").otherwise("SELL").alias("side")).agg(F.count("*").alias("n"))
 
 
@@ -75,8 +75,8 @@ def _chain(spark, d):
     """The whole live chain, then its orders table."""
     root = f"{shared_root(spark)}/chain-{uuid.uuid4().hex}"
     with state_store(spark):
-        live.chain(events_stream(spark, d).withColumnRenamed("price", "close"), f"{root}/t", f"{root}/c", lambda s: s.withColumn("approved", F.col("close") < 100)).awaitTermination()
-    return live.chain_tables(spark, f"{root}/t")["orders"].groupBy("symbol", "side", "approved").agg(F.count("*").alias("n"))
+        live.chain(events_stream(spark, d).withColumnRenamed("price", "close"), f"{root}/t", f"{root}/c", lambda s: s.withColumn("approved", F.col("close") < 100), sequence="seq").awaitTermination()
+    return live.chain_tables(spark, f"{root}/t", "seq")["orders"].groupBy("symbol", "side", "approved").agg(F.count("*").alias("n"))
 
 
 add("st10_live_chain", _chain, ORACLE["st05_live_signals"].replace("SELECT symbol, ts, ", "SELECT symbol, ts, close, ").replace("SELECT symbol, CASE", "SELECT symbol, close < 100 AS approved, CASE").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3"))

@@ -137,7 +137,7 @@ def _closed(spark, d):
 
 add("st01_windowed_bars", _closed, f"WITH {BE} SELECT symbol, ts, round(open,6) AS open, round(high,6) AS high, round(low,6) AS low, round(close,6) AS close, volume FROM be WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)")
 add("st03_subscribe", lambda s, d: _run(live.subscribe(events_stream(s, d).withColumn("type", F.lit("tick")), ["purchase"], ["tick"])).select("event_id", "symbol"), "SELECT event_id, event_type AS symbol FROM events WHERE event_type = 'purchase'")
-add("st04_live_factors", lambda s, d: rounded(_run(live.live_factors(events_stream(s, d).withColumnRenamed("price", "close"))).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "sma_5", "sma_20", "cross"), 5), "WITH e AS (SELECT event_type AS symbol, ts, value AS close FROM events), m AS (SELECT symbol, ts, " + sma_sql("close", 5) + " AS f, " + sma_sql("close", 20) + f" AS s FROM e), x AS (SELECT *, lag(f) OVER ({W}) AS pf, lag(s) OVER ({W}) AS p FROM m) SELECT symbol, ts, round(f, 5) AS sma_5, round(s, 5) AS sma_20, CASE WHEN pf <= p AND f > s THEN 1.0::DOUBLE WHEN pf >= p AND f < s THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"cross\" FROM x")
+add("st04_live_factors", lambda s, d: rounded(_run(live.live_factors(events_stream(s, d).withColumnRenamed("price", "close"), "seq")).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "sma_5", "sma_20", "cross"), 5), "WITH e AS (SELECT event_type AS symbol, ts, value AS close FROM events), m AS (SELECT symbol, ts, " + sma_sql("close", 5) + " AS f, " + sma_sql("close", 20) + f" AS s FROM e), x AS (SELECT *, lag(f) OVER ({W}) AS pf, lag(s) OVER ({W}) AS p FROM m) SELECT symbol, ts, round(f, 5) AS sma_5, round(s, 5) AS sma_20, CASE WHEN pf <= p AND f > s THEN 1.0::DOUBLE WHEN pf >= p AND f < s THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"cross\" FROM x")
 add("st07_order_rates", lambda s, d: _run(live.order_rates(events_stream(s, d).withColumn("account", F.lit(1)), 1)).withColumn("start", F.col("start").cast("timestamp_ntz")))
 add("st08_circuit_breaker", lambda s, d: _run(live.circuit_breaker(events_stream(s, d).select(F.col("event_id").alias("order_id"), F.col("user_id").alias("account"), "ts", (F.col("price") < 60).alias("approved")), 3, 86400.0)).groupBy("account").agg(F.count_if("broken").alias("broken"), F.count_if("final").alias("approved")))
 add("st09_order_status", lambda s, d: _run(live.order_status(events_stream(s, d).select(F.col("user_id").alias("order_id"), F.col("symbol").alias("status"), "seq")), "complete").select("order_id", "status"), "SELECT user_id AS order_id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1")

@@ -70,6 +70,9 @@ def compact(spark: SparkSession, path: str, target: str, keys: list[str], part:
 class LiveFactors(StatefulProcessor):
     """Per symbol and bar in time order: simple means of 5 and 20, an exponential mean and the cross of the two means."""
 
+    def __init__(self, sequence: str | None = None) -> None:
+        self.order = ["ts", sequence] if sequence else ["ts"]
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("factors", "closes array<double>, ema double, n long, f double, s double")
 
@@ -78,8 +81,8 @@ class LiveFactors(StatefulProcessor):
         if self.state.exists():
             closes, ema, n, pf, ps = self.state.get()
             closes = list(closes)
-        out, batch = [], pd.concat(list(rows)).sort_values("ts")
-        for ts, close in zip(batch["ts"], batch["close"], strict=True):
+        out, batch = [], pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        for close, *at in zip(batch["close"], *[batch[c] for c in self.order], strict=True):
             closes, n = [*closes, float(close)][-20:], n + 1
             ema = float(close) if ema is None else ema + (float(close) - ema) * 2 / 21
             f = sum(closes[-5:]) / 5 if n >= 5 else None
@@ -87,21 +90,24 @@ class LiveFactors(StatefulProcessor):
             cross = 0.0
             if None not in (f, s, pf, ps):
                 cross = 1.0 if pf <= ps and f > s else -1.0 if pf >= ps and f < s else 0.0
-            out.append((key[0], ts, float(close), f, s, ema, cross))
+            out.append((key[0], *at, float(close), f, s, ema, cross))
             pf, ps = f, s
         self.state.update((closes, ema, n, pf, ps))
-        frame = pd.DataFrame(out, columns=["symbol", "ts", "close", "sma_5", "sma_20", "ema_20", "cross"])
+        frame = pd.DataFrame(out, columns=["symbol", *self.order, "close", "sma_5", "sma_20", "ema_20", "cross"])
         yield frame.astype({c: "float64" for c in ("sma_5", "sma_20", "ema_20", "cross")})
 
     def close(self) -> None:
         pass
 
 
-def live_factors(bars: DataFrame) -> DataFrame:
+def live_factors(bars: DataFrame, sequence: str | None = None) -> DataFrame:
     """Factors of a stream of closed bars (symbol, ts, close): constant state per symbol. Bars have to come in time order
-    from batch to batch; a late one belongs to ``recompute``."""
-    schema = "symbol string, ts timestamp, close double, sma_5 double, sma_20 double, ema_20 double, cross double"
-    return bars.select("symbol", "ts", "close").groupBy("symbol").transformWithStateInPandas(LiveFactors(), schema, "Append", "None")
+    from batch to batch; a late one belongs to ``recompute``. Where a symbol has several rows of one time, as ticks have, ``sequence`` orders
+    them; without it they are taken as they come."""
+    own = [sequence] if sequence else []
+    kept = "".join(f"`{c}` {bars.schema[c].dataType.simpleString()}, " for c in own)
+    schema = f"symbol string, ts timestamp, {kept}close double, sma_5 double, sma_20 double, ema_20 double, cross double"
+    return bars.select("symbol", "ts", *own, "close").groupBy("symbol").transformWithStateInPandas(LiveFactors(sequence), schema, "Append", "None")
 
 
 class Breaker(StatefulProcessor):
@@ -261,38 +267,44 @@ CHAIN = ("factors", "signals", "orders", "fills")
 
 
 def chain(
-    bars: DataFrame, path: str, checkpoint: str, rules: Callable[[DataFrame], DataFrame], trigger: dict | None = None, spec: list[dict] | None = None, signals: tuple[str, ...] = ("cross",)
+    bars: DataFrame, path: str, checkpoint: str, rules: Callable[[DataFrame], DataFrame], trigger: dict | None = None, spec: list[dict] | None = None, signals: tuple[str, ...] = ("cross",),
+    sequence: str | None = None,
 ) -> StreamingQuery:
     """Bars to factors to signals to checked orders to fills, one query; each stage merges into a table under ``path``. Factors are those of
     the spec, or three means and their cross. Of a bar's signals the first one that is not zero counts, in the order given. Orders that the rules
     reject have no fill; the others fill at the close, worsened by slippage, with commission. A replayed batch adds nothing to the tables
-    that have it; ``chain_tables`` reads them at a batch that all have."""
+    that have it; ``chain_tables`` reads them at a batch that all have. Tables hold one row of a symbol and time, or with ``sequence`` one of each of
+    its numbers; a spec takes one bar of each time."""
+    if sequence and spec is not None:
+        raise ValueError("a spec takes one bar of each time, so no sequence")
+    keys = ["symbol", "ts", sequence] if sequence else ["symbol", "ts"]
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
             batch.count()  # run also if all tables have the batch: the state of the factors goes on with it
             fired = F.coalesce(*[F.when(F.col(s) != 0, F.col(s)) for s in signals])
-            found = batch.withColumn("signal", fired).filter("signal IS NOT NULL").select("symbol", "ts", "close", "signal")
+            found = batch.withColumn("signal", fired).filter("signal IS NOT NULL").select(*keys, "close", "signal")
             orders = rules(found.withColumn("side", F.when(F.col("signal") > 0, "BUY").otherwise("SELL")))
             price = bt.slippage(F.col("close"), F.col("side"))
-            fills = orders.filter("approved").select("symbol", "ts", "side", price.alias("price"), bt.commission(price, F.col("side")).alias("commission"))
+            fills = orders.filter("approved").select(*keys, "side", price.alias("price"), bt.commission(price, F.col("side")).alias("commission"))
             for name, df in zip(CHAIN, (batch, found, orders, fills), strict=True):
-                MergeTable(batch.sparkSession, f"{path}/{name}", ["symbol", "ts"]).merge(df, "chain", number)
+                MergeTable(batch.sparkSession, f"{path}/{name}", keys).merge(df, "chain", number)
         finally:
             batch.unpersist()
 
     if spec is None:
-        factors = live_factors(bars)
+        factors = live_factors(bars, sequence)
     else:
         nodes = live_spec_factors(bars.withColumn("close_of_bar", F.col("close")), [*spec, {"id": "close", "op": "FIELD", "inputs": ["close_of_bar"]}], {"FIELD": lambda state, ins, params: ins[0]})
         factors = nodes.filter("NOT late").drop("late")
     return factors.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def chain_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def chain_tables(spark: SparkSession, path: str, sequence: str | None = None) -> dict[str, DataFrame]:
     """The tables of a chain by name, all as of the last batch that each of them has."""
-    tables = {name: MergeTable(spark, f"{path}/{name}", ["symbol", "ts"]) for name in CHAIN}
+    keys = ["symbol", "ts", sequence] if sequence else ["symbol", "ts"]
+    tables = {name: MergeTable(spark, f"{path}/{name}", keys) for name in CHAIN}
     batch = min(t.last_batch("chain") for t in tables.values())
     return {name: t.read(t.version_with("chain", batch)) for name, t in tables.items()}
 
