@@ -72,9 +72,14 @@ NAMES = {
 }
 
 
+def _any_of(terms: list[str]) -> str:
+    """A pattern of the longest term that fits."""
+    return "|".join(re.escape(t) for t in sorted(dict.fromkeys(terms), key=lambda t: (-len(t), t)))
+
+
 def tokenize(text: Column, terms: list[str]) -> Column:
     """Lower-cased tokens: at each place the longest term that fits, else one character."""
-    pattern = "|".join(re.escape(t) for t in sorted(dict.fromkeys(terms), key=lambda t: (-len(t), t)))
+    pattern = _any_of(terms)
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?s)({pattern}|.)" if pattern else "(?s)(.)"), F.lit(1))
 
 
@@ -82,33 +87,45 @@ def with_sentiment(
     df: DataFrame, text: Column, positive: list[str] | None = None, negative: list[str] | None = None, intensifiers: dict[str, float] | None = None, negators: list[str] | None = None
 ) -> DataFrame:
     """Adds score in [-1, 1], magnitude in [0, 1] and labels of a text; a listed word counts with the weight of an intensifier before
-    it and -0.5 of it behind a negator, also one before the intensifier. Tokens are made once per row, and each goes through
-    the rule together with the two before it."""
+    it and -0.5 of it behind a negator, also one before the intensifier. Only runs of terms that follow one another are taken from a text, since
+    other characters are tokens that count for nothing; in a run each term goes through the rule together with the two before it."""
     pos, neg = positive or POSITIVE, negative or NEGATIVE
     strong, nots = INTENSIFIERS if intensifiers is None else intensifiers, NEGATORS if negators is None else negators
     prefix = "__"
     while any(c.startswith(prefix) for c in df.columns):
         prefix += "_"
-    t, n, z, s = (prefix + x for x in "tnzs")  # names that no column has
+    t, n, r, s = (prefix + x for x in "tnrs")  # names that no column has
     listed = lambda c, words: c.isin(words) if words else F.lit(False)
     weight = F.create_map(*[F.lit(x) for kv in strong.items() for x in kv]) if strong else None
-    df = df.withColumn(t, tokenize(text, [*pos, *neg, *strong, *nots])).withColumn(n, F.size(t))
-    shifted = lambda k: F.slice(F.concat(F.array(*[F.lit("")] * k), t), F.lit(1), F.col(n))
-    df = df.withColumn(z, F.arrays_zip(F.col(t).alias("w"), shifted(1).alias("b"), shifted(2).alias("bb")))
-
-    def one(x: Column) -> Column:
-        w = F.coalesce(F.try_element_at(weight, x["b"]), F.lit(1.0)) if weight is not None else F.lit(1.0)
-        negated = listed(x["b"], nots) | (listed(x["b"], list(strong)) & listed(x["bb"], nots))
-        signed = F.when(negated, -0.5 * w).otherwise(w)
-        return F.struct(F.when(listed(x["w"], pos), signed).otherwise(0.0).alias("p"), F.when(listed(x["w"], neg), signed).otherwise(0.0).alias("n"))
-
-    start = F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("t"))
-    sums = F.aggregate(F.transform(z, one), start, lambda y, x: F.struct((y["r"] + x["p"] - x["n"]).alias("r"), (y["t"] + F.abs(x["p"]) + F.abs(x["n"])).alias("t")))
-    df = df.withColumn(s, sums)
+    pattern = _any_of([*pos, *neg, *strong, *nots])
+    df = df.withColumn(t, F.lower(F.coalesce(text, F.lit(""))))
+    df = df.withColumn(r, F.regexp_extract_all(t, F.lit(f"(?:{pattern})++"), F.lit(0)))  # possessive: a loop, however long a run is
+
+    def value(w: Column, b: Column, bb: Column) -> Column:
+        x = F.coalesce(F.try_element_at(weight, b), F.lit(1.0)) if weight is not None else F.lit(1.0)
+        negated = listed(b, nots) | (listed(b, list(strong)) & listed(bb, nots))
+        return F.when(negated, -0.5 * x).otherwise(x)
+
+    none = F.lit("")
+    start = F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("t"), F.lit(0).alias("less"), none.alias("b"), none.alias("bb"))
+
+    def term(y: Column, w: Column, b: Column, bb: Column) -> Column:
+        x = value(w, b, bb)
+        p, q = F.when(listed(w, pos), x).otherwise(0.0), F.when(listed(w, neg), x).otherwise(0.0)
+        return F.struct((y["r"] + p - q).alias("r"), (y["t"] + F.abs(p) + F.abs(q)).alias("t"), (y["less"] + F.length(w) - 1).alias("less"), w.alias("b"), b.alias("bb"))
+
+    def run(y: Column, x: Column) -> Column:
+        single = term(y, x, none, none)
+        begun = F.struct(y["r"].alias("r"), y["t"].alias("t"), y["less"].alias("less"), none.alias("b"), none.alias("bb"))
+        several = F.aggregate(F.regexp_extract_all(x, F.lit(f"({pattern})"), F.lit(1)), begun, lambda z, w: term(z, w, z["b"], z["bb"]))
+        return F.when(listed(x, list(dict.fromkeys([*pos, *neg, *strong, *nots]))), single).otherwise(several)
+
+    sums = F.aggregate(r, start, run)
+    df = df.withColumn(s, sums).withColumn(n, F.length(t) - F.col(s)["less"])
     total = F.col(s)["t"]
     score = F.when(total > 0, F.least(F.greatest(F.col(s)["r"] / total, F.lit(-1.0)), F.lit(1.0))).otherwise(0.0)
     df = df.withColumn("score", score).withColumn("magnitude", F.least(F.lit(1.0), total / F.greatest(n, F.lit(1)) * 2))
-    return df.withColumn("labels", sentiment_labels(F.col("score"), F.col("magnitude"))).drop(t, n, z, s)
+    return df.withColumn("labels", sentiment_labels(F.col("score"), F.col("magnitude"))).drop(t, n, r, s)
 
 
 def sentiment_labels(score: Column, magnitude: Column) -> Column:
