@@ -207,7 +207,11 @@ XU = "xu AS (SELECT user_id AS symbol, CAST(ts AS DATE) AS date, avg(value) AS v
 
 
 def users(spark, d):
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("symbol"), F.to_date("ts").alias("date")).agg(F.avg("value").alias("v"))
+    """A user's mean value of a day, added up in the order of events: doubles added in another order would break ties of means, and so ranks."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("symbol"), F.to_date("ts").alias("date"), "event_id", "value")
+    so_far = F.sum("value").over(Window.partitionBy("symbol", "date").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = rows.withColumn("sum", so_far).groupBy("symbol", "date").agg(F.max_by("sum", "event_id").alias("sum"), F.count("value").alias("n"))
+    return last.select("symbol", "date", F.try_divide("sum", "n").alias("v"))
 
 
 add("xs01_zscore_rank", lambda s, d: rounded(users(s, d).select("symbol", "date", xs.cs_zscore("v").alias("z"), xs.cs_rank_pct("v").alias("rank"), xs.ts_zscore("v").alias("tz"), xs.ts_rank_pct("v").alias("trank"))),
