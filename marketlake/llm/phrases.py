@@ -102,7 +102,7 @@ def _known(words: DataFrame, blocks: DataFrame, least: int) -> DataFrame:
     rows = blocks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     buckets = max(64, int(rows // 200_000))
     own = Window.partitionBy("bucket", "lang", "word")
-    found = words.withColumn("bucket", F.pmod(F.xxhash64("lang", "word"), F.lit(buckets))).withColumn("count", F.sum("count").over(own)).filter(F.col("count") >= least)
+    found = words.withColumn("bucket", F.pmod(F.xxhash64("lang", "word"), F.lit(buckets))).repartition("bucket").withColumn("count", F.sum("count").over(own)).filter(F.col("count") >= least)
     found = found.withColumn("rank", F.dense_rank().over(Window.partitionBy("bucket").orderBy("lang", "word"))).withColumn("first", F.row_number().over(own.orderBy("block")) == 1)
     shown = [F.when(F.col("first"), F.col(c)).alias(c) for c in ("lang", "word", "count")]
     return found.select("block", "local", ((F.col("rank") - 1) * buckets + F.col("bucket") + 1).alias("id"), *shown)
