@@ -181,7 +181,8 @@ def _stream_counts(spark, d):
     e = table(spark, d, "events")
     price = F.format_string("%.2f", F.col("value") + 1)
     volume = F.when(F.col("event_id") % 10 != 1, F.col("user_id"))
-    message = F.to_json(F.struct(F.col("event_type").alias("symbol"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), *[price.alias(c) for c in ("open", "high", "low", "close")], volume.alias("volume")))
+    millis = F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")  # the nearest, as epoch_ms has it
+    message = F.to_json(F.struct(F.col("event_type").alias("symbol"), millis.alias("ts"), *[price.alias(c) for c in ("open", "high", "low", "close")], volume.alias("volume")))
     e.select(F.when(F.col("event_id") % 10 == 0, F.lit('{"symbol": "cut off')).otherwise(message).alias("value")).write.text(f"{root}/in")
     bars = MergeTable(spark, f"{root}/bars", ["symbol", "ts_us"], F.year(F.timestamp_micros("ts_us")).cast("string"))
     counters = IngestCounters()
