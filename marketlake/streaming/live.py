@@ -15,6 +15,7 @@ from marketlake.functions import news as nw
 from marketlake.operators import backtest as bt
 from marketlake.operators.orders import TRANSITIONS
 from marketlake.sources.merge_table import MergeTable
+from marketlake.streaming.moving import window_means
 from marketlake.streaming.spec_factors import live_spec_factors
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -77,24 +78,22 @@ class LiveFactors(StatefulProcessor):
         self.state = handle.getValueState("factors", "closes array<double>, ema double, n long, f double, s double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        closes, ema, n, pf, ps = [], None, 0, None, None
+        before, ema, n, f, s = [], None, 0, None, None
         if self.state.exists():
-            closes, ema, n, pf, ps = self.state.get()
-            closes = list(closes)
-        out, batch = [], pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        for close, *at in zip(batch["close"], *[batch[c] for c in self.order], strict=True):
-            closes, n = [*closes, float(close)][-20:], n + 1
-            ema = float(close) if ema is None else ema + (float(close) - ema) * 2 / 21
-            f = sum(closes[-5:]) / 5 if n >= 5 else None
-            s = sum(closes) / 20 if n >= 20 else None
-            cross = 0.0
-            if None not in (f, s, pf, ps):
-                cross = 1.0 if pf <= ps and f > s else -1.0 if pf >= ps and f < s else 0.0
-            out.append((key[0], *at, float(close), f, s, ema, cross))
-            pf, ps = f, s
-        self.state.update((closes, ema, n, pf, ps))
-        frame = pd.DataFrame(out, columns=["symbol", *self.order, "close", "sma_5", "sma_20", "ema_20", "cross"])
-        yield frame.astype({c: "float64" for c in ("sma_5", "sma_20", "ema_20", "cross")})
+            before, ema, n, f, s = self.state.get()
+            before = list(before)
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        closes, emas = batch["close"].to_numpy("float64"), []
+        for x in closes.tolist():
+            ema = x if ema is None else ema + (x - ema) * 2 / 21
+            emas.append(ema)
+        every = np.concatenate([before, closes])
+        means = [window_means(every, k, n - len(before))[len(before) :] for k in (5, 20)]
+        (fs, ss), (pf, ps) = means, [np.concatenate([[np.nan if x is None else x], m[:-1]]) for x, m in zip((f, s), means, strict=True)]
+        cross = np.where((pf <= ps) & (fs > ss), 1.0, np.where((pf >= ps) & (fs < ss), -1.0, 0.0))  # 0 where a mean is missing
+        f, s = (None if np.isnan(m[-1]) else float(m[-1]) for m in means)
+        self.state.update((every[-20:].tolist(), ema, n + len(closes), f, s))
+        yield pd.DataFrame({"symbol": key[0], **{c: batch[c].to_numpy() for c in self.order}, "close": closes, "sma_5": fs, "sma_20": ss, "ema_20": emas, "cross": cross})
 
     def close(self) -> None:
         pass

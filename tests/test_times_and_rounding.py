@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import duckdb
+import numpy as np
 
 from marketlake import registry
 from marketlake.queries.keyed import _stream_counts
+from marketlake.streaming.moving import window_means, window_sum
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -27,3 +30,33 @@ def test_messages_have_the_nearest_millisecond(spark, tmp_path):
     sql = _events(spark, str(tmp_path), [(10 * i + 5, t, 1.0) for i, t in enumerate(times)])
     found = _stream_counts(spark, str(tmp_path))
     assert [tuple(found.first()[c] for c in ("in_table", "received", "stored", "failed", "parse_errors"))] == sql("io22_stream_counters") == [(5, 8, 8, 0, 0)]
+
+
+def _near_ties(n, seconds):
+    """Values that are so few that means of 5 and of 20 are often equal but for rounding, one every so many seconds."""
+    rng = random.Random(11)
+    return [(i, i * seconds * 1_000_000, rng.randint(1, 9) / 100) for i in range(n)]
+
+
+def _rows(df, names):
+    return sorted(tuple(r[c] for c in names) for r in df.collect())
+
+
+def test_live_means_that_are_equal_but_for_rounding_cross_as_in_the_sql(spark, tmp_path):
+    sql = _events(spark, str(tmp_path), _near_ties(3000, 60))
+    for name, names in (("st05_live_signals", ["symbol", "side", "n"]), ("st04_live_factors", ["ts", "cross"]), ("st10_live_chain", ["symbol", "side", "approved", "n"])):
+        want = sorted((r[1], r[4]) if name == "st04_live_factors" else tuple(r[i] for i in ((0, 2, 1, 3) if len(names) == 4 else (0, 1, 2))) for r in sql(name))
+        assert _rows(registry.QUERIES[name](spark, str(tmp_path)), names) == want
+
+
+def test_means_by_windows_are_those_of_each_window():
+    values = np.random.default_rng(1).random(200).round(2)
+    for n in (1, 5, 16, 20, 50):
+        for first in (0, 7, 16, 29):
+            each = [window_sum(values[i - n + 1 : i + 1].tolist(), first + i - n + 1) / n for i in range(n - 1, 200)]
+            assert window_means(values, n, first).tolist()[n - 1 :] == each
+    con = duckdb.connect()
+    con.execute("create table v as select unnest(range(200)) as i, unnest(?::double[]) as x", [values.tolist()])
+    for n in (5, 20, 50):
+        sql = con.execute(f"select avg(x) over (order by i rows between {n - 1} preceding and current row) from v order by i").fetchall()
+        assert window_means(values, n, 0).tolist()[n - 1 :] == [x for (x,) in sql[n - 1 :]]
