@@ -12,27 +12,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from marketlake.plans.spec import node_order
+from marketlake.streaming.moving import window_sum
 
 Step = Callable[[list, tuple, dict], float | None]
 
 
-def _window(state: list, x: float | None, n: int) -> list | None:
-    """The last n values, if all are there."""
-    state.append(x)
-    del state[:-n]
-    return state if len(state) == n and None not in state else None
+def _window(state: list, x: float | None, n: int) -> tuple[list, float] | None:
+    """The last n values and their mean, if all are there; state: the number of rows so far and the last values."""
+    rows, last = state or (0, [])
+    rows, last = rows + 1, [*last, x][-n:]
+    state[:] = (rows, last)
+    return (last, window_sum(last, rows - n) / n) if len(last) == n and None not in last else None
 
 
 def _sma(state: list, ins: tuple, p: dict) -> float | None:
-    last = _window(state, ins[0], int(p.get("period", 20)))
-    return sum(last) / len(last) if last else None
+    found = _window(state, ins[0], int(p.get("period", 20)))
+    return found[1] if found else None
 
 
 def _boll(state: list, ins: tuple, p: dict) -> float | None:
-    last = _window(state, ins[0], int(p.get("period", 20)))
-    if not last:
+    found = _window(state, ins[0], int(p.get("period", 20)))
+    if not found:
         return None
-    mean = sum(last) / len(last)
+    last, mean = found
     side = {"upper": 1, "middle": 0, "lower": -1}[p.get("band", "middle")]
     return mean + side * float(p.get("k", 2.0)) * math.sqrt(sum((x - mean) ** 2 for x in last) / len(last))
 

@@ -60,3 +60,11 @@ def test_means_by_windows_are_those_of_each_window():
     for n in (5, 20, 50):
         sql = con.execute(f"select avg(x) over (order by i rows between {n - 1} preceding and current row) from v order by i").fetchall()
         assert window_means(values, n, 0).tolist()[n - 1 :] == [x for (x,) in sql[n - 1 :]]
+
+
+def test_nodes_of_a_graph_as_state_cross_as_in_the_sql(spark, tmp_path):
+    sql = _events(spark, str(tmp_path), _near_ties(1500, 3600))  # a bar each
+    names = ["ts", "fast", "slow", "up", "down"]
+    want = sorted((r[1], r[2], r[3], r[4], r[5]) for r in sql("st04_spec_factors"))
+    found = registry.QUERIES["st04_spec_factors"](spark, str(tmp_path)).fillna(-1.0, ["fast", "slow"])
+    assert _rows(found, names) == [tuple(-1.0 if x is None else x for x in r) for r in want]
