@@ -16,6 +16,7 @@ from marketlake.operators import backtest as bt
 from marketlake.operators.orders import TRANSITIONS
 from marketlake.sources.merge_table import MergeTable
 from marketlake.streaming.moving import window_means
+from marketlake.streaming.ordered import in_order
 from marketlake.streaming.spec_factors import live_spec_factors
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -82,18 +83,19 @@ class LiveFactors(StatefulProcessor):
         if self.state.exists():
             before, ema, n, f, s = self.state.get()
             before = list(before)
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        closes, emas = batch["close"].to_numpy("float64"), []
-        for x in closes.tolist():
-            ema = x if ema is None else ema + (x - ema) * 2 / 21
-            emas.append(ema)
-        every = np.concatenate([before, closes])
-        means = [window_means(every, k, n - len(before))[len(before) :] for k in (5, 20)]
-        (fs, ss), (pf, ps) = means, [np.concatenate([[np.nan if x is None else x], m[:-1]]) for x, m in zip((f, s), means, strict=True)]
-        cross = np.where((pf <= ps) & (fs > ss), 1.0, np.where((pf >= ps) & (fs < ss), -1.0, 0.0))  # 0 where a mean is missing
-        f, s = (None if np.isnan(m[-1]) else float(m[-1]) for m in means)
-        self.state.update((every[-20:].tolist(), ema, n + len(closes), f, s))
-        yield pd.DataFrame({"symbol": key[0], **{c: batch[c].to_numpy() for c in self.order}, "close": closes, "sma_5": fs, "sma_20": ss, "ema_20": emas, "cross": cross})
+        for batch in in_order((x[[*self.order, "close"]] for x in rows), self.order):
+            closes, emas = batch["close"].to_numpy("float64"), []
+            for x in closes.tolist():
+                ema = x if ema is None else ema + (x - ema) * 2 / 21
+                emas.append(ema)
+            every = np.concatenate([before, closes])
+            means = [window_means(every, k, n - len(before))[len(before) :] for k in (5, 20)]
+            (fs, ss), (pf, ps) = means, [np.concatenate([[np.nan if x is None else x], m[:-1]]) for x, m in zip((f, s), means, strict=True)]
+            cross = np.where((pf <= ps) & (fs > ss), 1.0, np.where((pf >= ps) & (fs < ss), -1.0, 0.0))  # 0 where a mean is missing
+            before, n = every[-20:].tolist(), n + len(closes)
+            f, s = (None if np.isnan(m[-1]) else float(m[-1]) for m in means)
+            yield pd.DataFrame({"symbol": key[0], **{c: batch[c].to_numpy() for c in self.order}, "close": closes, "sma_5": fs, "sma_20": ss, "ema_20": emas, "cross": cross})
+        self.state.update((before, ema, n, f, s))
 
     def close(self) -> None:
         pass
@@ -101,8 +103,8 @@ class LiveFactors(StatefulProcessor):
 
 def live_factors(bars: DataFrame, sequence: str | None = None) -> DataFrame:
     """Factors of a stream of closed bars (symbol, ts, close): constant state per symbol. Bars have to come in time order
-    from batch to batch; a late one belongs to ``recompute``. Where a symbol has several rows of one time, as ticks have, ``sequence`` orders
-    them; without it they are taken as they come."""
+    from batch to batch; a late one belongs to ``recompute``. However many rows of a symbol a batch has, they pass in time order in frames of
+    bounded size. Where a symbol has several rows of one time, as ticks have, ``sequence`` orders them; without it they are taken as they come."""
     own = [sequence] if sequence else []
     kept = "".join(f"`{c}` {bars.schema[c].dataType.simpleString()}, " for c in own)
     schema = f"symbol string, ts timestamp, {kept}close double, sma_5 double, sma_20 double, ema_20 double, cross double"
