@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.sources.bars import make_bars
@@ -16,9 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def round_as_sql(x: Column, digits: int) -> Column:
+    """A double rounded as the SQL rounds it: the product with the power of ten, in doubles, goes to the nearest whole number. Spark's own rounding
+    goes by the shortest decimal of the double, and so takes a double a little below a half up."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that sums in another order compare equal."""
-    return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    return df.select(*[round_as_sql(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def bars_events(spark: SparkSession, sf_dir: str) -> DataFrame:

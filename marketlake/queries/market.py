@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from marketlake.functions import factors as fx
 from marketlake.functions import signals as sg
 from marketlake.operators import xsection as xs
-from marketlake.queries.base import BE, BO, Query, W, bars_events, bars_orders, last_n, rounded, sma_sql, table
+from marketlake.queries.base import BE, BO, Query, W, bars_events, bars_orders, last_n, round_as_sql, rounded, sma_sql, table
 from marketlake.sources import bars as src
 
 QUERIES: dict[str, Query] = {}
@@ -191,7 +191,7 @@ add("sg03_signal_algebra", _signals, f"""WITH {BE}, m AS (SELECT symbol, ts, clo
 def _strategies(spark, d):
     e = table(spark, d, "events")
     x = e.groupBy("user_id", F.to_date("ts").alias("ts"), (F.length("event_type") % 4).alias("strategy_no")).agg(F.avg("value").alias("v"))
-    v = F.round(F.col("v"), 6)
+    v = round_as_sql(F.col("v"), 6)
     return x.select(F.col("ts"), F.col("user_id").alias("symbol"), F.col("strategy_no").cast("int").alias("strategy_no"), (F.col("strategy_no") + 1.0).alias("weight"), F.when(v > 40, "LONG").when(v > 20, "SHORT").otherwise("EXIT").alias("direction"), (v / 100).alias("strength"))
 
 

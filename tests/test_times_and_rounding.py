@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 
 from marketlake import registry
+from marketlake.queries.base import rounded
 from marketlake.queries.keyed import _stream_counts
 from marketlake.streaming.moving import window_means, window_sum
 
@@ -68,3 +69,14 @@ def test_nodes_of_a_graph_as_state_cross_as_in_the_sql(spark, tmp_path):
     want = sorted((r[1], r[2], r[3], r[4], r[5]) for r in sql("st04_spec_factors"))
     found = registry.QUERIES["st04_spec_factors"](spark, str(tmp_path)).fillna(-1.0, ["fast", "slow"])
     assert _rows(found, names) == [tuple(-1.0 if x is None else x for x in r) for r in want]
+
+
+def test_doubles_are_rounded_as_in_the_sql(spark):
+    rng = random.Random(2)
+    halves = [(10 * rng.randrange(10**6) + 5) / 10**7 for _ in range(3000)]
+    others = [rng.uniform(-1, 1) * 10 ** rng.randint(-8, 9) for _ in range(1000)]
+    values = [0.0640625, -0.0640625, 0.0, *halves, *[-x for x in halves], *others, None, 1e300, float("inf")]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+    for digits in (2, 4, 5, 6):
+        sql = duckdb.sql(f"select round(unnest({values!r}::double[]), {digits})".replace("None", "null").replace("inf]", "'inf'::double]")).fetchall()
+        assert [r["x"] for r in rounded(df, digits).orderBy("i").collect()] == [x for (x,) in sql]
