@@ -80,3 +80,12 @@ def test_doubles_are_rounded_as_in_the_sql(spark):
     for digits in (2, 4, 5, 6):
         sql = duckdb.sql(f"select round(unnest({values!r}::double[]), {digits})".replace("None", "null").replace("inf]", "'inf'::double]")).fetchall()
         assert [r["x"] for r in rounded(df, digits).orderBy("i").collect()] == [x for (x,) in sql]
+
+
+def test_ranks_of_a_day_are_rounded_as_in_the_sql(spark, tmp_path):
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame([(i, START, i, "x", float(i), None) for i in range(640)], schema).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    sql = con.execute("select symbol, rank from (" + registry.ORACLE["xs01_zscore_rank"] + ") order by 1").fetchall()
+    assert _rows(registry.QUERIES["xs01_zscore_rank"](spark, str(tmp_path)), ["symbol", "rank"]) == sql
